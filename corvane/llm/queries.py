@@ -25,6 +25,20 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import mixing
+
+    mix = mixing.fair_mix(common.table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import sharding
+
+    placed = sharding.hilbert_shards(common.table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import quality_rules
 
@@ -34,7 +48,36 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
+    "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op6_mixing": f"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+l AS (SELECT *, ((place - 1) % 3 + 1)::BIGINT AS weight, 3 * source_size AS most FROM w),
+b AS (SELECT *,
+    (sum(source_size) OVER ())::BIGINT - coalesce(sum(most) OVER up, 0)::BIGINT AS rest,
+    (sum(weight) OVER ())::BIGINT - coalesce(sum(weight) OVER up, 0)::BIGINT AS weights
+  FROM l WINDOW up AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, rest / weights AS level, most <= (rest / weights) * weight AS is_full FROM b),
+o AS (SELECT arg_min(level, (most / weight, place)) AS level FROM f WHERE NOT is_full),
+t AS (SELECT f.source, source_size, CASE WHEN is_full THEN most::DOUBLE ELSE weight * o.level END AS target FROM f, o),
+q AS (SELECT doc_id, size, source_size, target,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT size, (upto + e * source_size) / target AS f FROM q, (VALUES (0), (1), (2)) AS x(e) WHERE size > 0 AND target > 0),
+c AS (SELECT coalesce(max(f), 0) AS cut FROM (SELECT f, sum(sum(size)) OVER (ORDER BY f) AS spent FROM r GROUP BY f)
+  WHERE spent <= (SELECT sum(size) FROM d))
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size > 0 AND target > 0 THEN size * (((upto / target) <= cut)::BIGINT + (((upto + source_size) / target) <= cut)::BIGINT
+    + (((upto + 2 * source_size) / target) <= cut)::BIGINT) ELSE 0 END AS taken
+FROM q, c""",
+    "op8_quality_rules": "",
+}
+del ORACLES["op8_quality_rules"]
