@@ -25,6 +25,30 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import decontamination
+
+    index = decontamination.build_index(common.table(spark, sf_dir, "documents"))
+    hits = decontamination.search(index, common.table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort("items"), ",")
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        common.sha256_utf8(ids).alias("items_sha256"),
+        decontamination.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import language
+
+    docs = common.table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs))
+    return found.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import mixing
 
@@ -47,7 +71,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
+    "op4_language": op4_language,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
@@ -56,6 +82,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": r"""
+WITH d AS (SELECT doc_id, rowid_, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, list_slice(w, k, k + least(len(w), 13) - 1) AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT rowid_, n, k, list_slice(w, k, k + n - 1) AS win
+  FROM (SELECT rowid_, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT dw.rowid_, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+h AS (SELECT rowid_, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rowid_, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT rowid_, k, n FROM m)) GROUP BY rowid_),
+t AS (SELECT rowid_, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rowid_, item_id::VARCHAR AS item FROM m WHERE item_id IS NOT NULL) GROUP BY rowid_)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (rowid_) LEFT JOIN t USING (rowid_)""",
     "op6_mixing": f"""
 WITH d AS (SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
