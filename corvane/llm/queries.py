@@ -70,6 +70,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import substring_dedup
+
+    return substring_dedup.dedup(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -119,6 +126,14 @@ SELECT doc_id, size, source_size, target,
   CASE WHEN size > 0 AND target > 0 THEN size * (((upto / target) <= cut)::BIGINT + (((upto + source_size) / target) <= cut)::BIGINT
     + (((upto + 2 * source_size) / target) <= cut)::BIGINT) ELSE 0 END AS taken
 FROM q, c""",
-    "op8_quality_rules": "",
+    "op10_substring_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+x AS (SELECT r, doc_id, unnest(range(1, len(w) - 48)) AS k, w FROM d WHERE len(w) >= 50),
+y AS (SELECT r, doc_id, k, hash(list_slice(w, k, k + 49)) AS h, md5(array_to_string(list_slice(w, k, k + 49), ' ')) AS m FROM x),
+g AS (SELECT h, m, min(doc_id) AS least FROM y GROUP BY h, m),
+z AS (SELECT y.r, y.k FROM y JOIN g USING (h, m) WHERE y.doc_id > g.least),
+c AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(k, k + 50)) AS p FROM z) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (r)""",
 }
-del ORACLES["op8_quality_rules"]
