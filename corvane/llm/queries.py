@@ -25,6 +25,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import quality_classifier
+
+    docs = common.table(spark, sf_dir, "documents")
+    space = quality_classifier.learn(docs, common.table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, space)
+    return scored.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import decontamination
 
@@ -70,6 +79,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import near_duplicates
+
+    return near_duplicates.join(common.table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm import substring_dedup
 
@@ -77,12 +92,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_language": op4_language,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
