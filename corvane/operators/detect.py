@@ -137,10 +137,13 @@ def has_repeated(items: Column, times: int) -> Column:
     return let(F.sort_array(items), within)
 
 
-def phrases(items: Column, n: int = 3) -> Column:
+def phrases(items: Column, n: int = 3, hashed: bool = False) -> Column:
+    """Runs of ``n`` items joined by spaces, or their 64-bit hashes: numbers sort far faster than strings."""
+
     def within(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
-        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<string>"))
+        one = (lambda *x: F.xxhash64(*x)) if hashed else (lambda *x: F.concat_ws(" ", *x))
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: one(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<bigint>" if hashed else "array<string>"))
 
     return let(items, within)
 
@@ -199,9 +202,9 @@ def abuse(name: str) -> Column:
             (n >= lim["char_run"]) & text.rlike(r"(?s)(.)\1{%d}" % (lim["char_run"] - 1)),
             match("char_repetition_attack", "Single character repeated excessively (DoS pattern)", say("Run of %d characters", longest_run(text, lim["char_run"])), 1.0, 3),
         ),
-        F.when((n >= 2 * lim["word"] - 1) & has_repeated(w, lim["word"]), match("word_repetition_attack", "Same word repeated excessively (padding/inflation attack)", F.concat(F.lit("Word repeated: "), most_frequent(w)["item"]), 1.0, 3)),
+        F.when((n >= 2 * lim["word"] - 1) & has_repeated(phrases(w, 1, True), lim["word"]), match("word_repetition_attack", "Same word repeated excessively (padding/inflation attack)", F.concat(F.lit("Word repeated: "), most_frequent(w)["item"]), 1.0, 3)),
         F.when(
-            (n >= 2 * lim["phrase"] + 3) & has_repeated(phrases(w), lim["phrase"]),
+            (n >= 2 * lim["phrase"] + 3) & has_repeated(phrases(w, 3, True), lim["phrase"]),
             match("phrase_repetition_attack", "Repeated phrase detected (prompt stuffing attack)", F.concat(F.lit("Phrase repeated: "), most_frequent(phrases(w))["item"]), 1.0, 3),
         ),
         F.when((n >= 50) & (entropy(text) < lim["entropy"]), match("low_entropy_input", "Extremely low entropy", F.lit("Low Shannon entropy"), 1.0, 2)),

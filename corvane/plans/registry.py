@@ -1,4 +1,6 @@
 """Registered queries of the screening engine."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corvane.plans import analytics, screening
+
+QUERIES: dict = {**screening.QUERIES, **analytics.QUERIES}
+ORACLES: dict = {**screening.ORACLES, **analytics.ORACLES}
