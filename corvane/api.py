@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ class Engine:
 
         The split is explicit, since a user function would otherwise run on all rows.
         """
-        import pandas as pd
-
         @F.pandas_udf("double")
         def run(s: pd.Series) -> pd.Series:
             return s.map(scorer)

@@ -74,11 +74,13 @@ def nearest(queries: DataFrame, cache: DataFrame, limit: float, most: int = 2000
         import numpy as np
         import pyarrow as pa
 
+        if not sent.value:
+            return
         ids = np.array([k for k, _ in sent.value], np.int64)
-        known = np.array([v for _, v in sent.value], np.float64).reshape(len(ids), -1)
-        known = known / np.linalg.norm(known, axis=1, keepdims=True) if len(ids) else known
+        known = np.array([v for _, v in sent.value], np.float64)
+        known = known / np.linalg.norm(known, axis=1, keepdims=True)
         for batch in batches:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows:
                 continue
             v = np.array(batch.column(1).to_pylist(), np.float64)
             far = 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ known.T

@@ -78,15 +78,21 @@ def _group(pattern: str) -> int:
     return min(1, re.compile(pattern).groups)
 
 
+#: Kinds that a text without any digit may still have; the others are skipped for such texts.
+NO_DIGIT = ("email", "upi_id", "account_number", "mac_address", "ipv6", "blood_group", "gender", "name_with_title", "religion", "caste")
+
+
 def pii(name: str) -> Column:
     """All patterns in catalogue order over column ``name``; of equal values (but for case) the first stays."""
-    every = []
+    with_digit, without = [], []
     for k, (kind, pattern, description, _) in enumerate(catalog.PII):
         weight = 4 if kind in C.PII_CRITICAL else 3 if kind in C.PII_HIGH else 1
         value = r"regexp_replace(v, '(?U)^\\s+|\\s+$', '')"
         found_ = f"regexp_extract_all(substring({name}, 1, {C.PII_LONGEST}), {quoted(java_regex(pattern, _pii_flags(description)))}, {_group(pattern)})"
-        every.append(f"transform({found_}, (v, j) -> named_struct('key', lower({value}), 'at', {k << 20} + j, 'm', {_match_sql(kind, description, value, pii_confidence(kind), weight)}))")
-    sorted_ = F.sort_array(F.filter(F.expr(f"flatten(array({', '.join(every)}))"), lambda x: x["key"] != ""))
+        (without if kind in NO_DIGIT else with_digit).append(f"transform({found_}, (v, j) -> named_struct('key', lower({value}), 'at', {k << 20} + j, 'm', {_match_sql(kind, description, value, pii_confidence(kind), weight)}))")
+    digits = f"CASE WHEN {name} RLIKE '\\\\p{{Nd}}' THEN flatten(array({', '.join(with_digit)})) ELSE array() END"
+    every = F.expr(f"concat({digits}, flatten(array({', '.join(without)})))")
+    sorted_ = F.sort_array(F.filter(every, lambda x: x["key"] != ""))
     # a value's first occurrence comes first among its equals
     firsts = F.aggregate(
         sorted_,
@@ -182,6 +188,10 @@ def upper_ratio(text: Column) -> Column:
     return count_of(text, r"\p{Lu}") / letters(text)
 
 
+#: Blocks that hold all homoglyphs; texts without any such character skip the count.
+UNUSUAL = r"[\u0400-\u04ff\u2100-\u214f\uff00-\uffef\x{1d400}-\x{1d7ff}]"
+
+
 def abuse(name: str) -> Column:
     """The measures of column ``name`` in order, then the pattern families."""
     text = F.col(name)
@@ -219,7 +229,7 @@ def abuse(name: str) -> Column:
         ),
         F.when(F.regexp_count(text, F.lit(r"https?://\S+")) > lim["urls"], match("url_flood", "Excessive number of URLs (SSRF harvesting or spam)", F.lit("URLs"), 1.0, 3)),
         F.when(nesting_depth(text) > lim["nesting"], match("deeply_nested_structure", "Deeply nested brackets/braces (ReDoS or parser bomb attempt)", F.lit("Nesting"), 1.0, 3)),
-        F.when(count_of(text, C.HOMOGLYPHS) >= lim["homoglyphs"], match("homoglyph_attack", "Unicode homoglyphs/lookalike characters detected (filter evasion)", F.lit("Homoglyphs"), 1.0, 3)),
+        F.when(text.rlike(UNUSUAL) & (count_of(text, C.HOMOGLYPHS) >= lim["homoglyphs"]), match("homoglyph_attack", "Unicode homoglyphs/lookalike characters detected (filter evasion)", F.lit("Homoglyphs"), 1.0, 3)),
         F.when(count_of(text, C.INVISIBLE) >= lim["invisible"], match("invisible_char_injection", "Invisible/zero-width characters detected (prompt evasion or steganography)", F.lit("Invisible characters"), 1.0, 3)),
     ]
     families, later = [], []

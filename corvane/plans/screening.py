@@ -10,7 +10,7 @@ from corvane.functions import constants as C
 from corvane.functions.dialect import java_regex
 from corvane.operators import decide, detect, interact, session
 from corvane.plans.probes import probes, values
-from corvane.plans.tables import read
+from corvane.plans.tables import read, spread
 from corvane.sources import files
 
 QUERIES: dict = {}
@@ -47,7 +47,7 @@ def _search_oracle(source: str, key: str, patterns, flags: str, text: str = "tex
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 @query("""SELECT doc_id, length(text) > 4000 AS flooding, length(text) > 10000 AS overflow, length(text) // 4 > 2500 AS inflation,
@@ -265,13 +265,13 @@ def calibration(spark, sf_dir):
 @query()
 def decisions(spark, sf_dir):
     """Every document's whole decision."""
-    d = decide.explain(decide.analyze(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    d = decide.explain(decide.analyze(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))))
     return d.select("doc_id", "action", "severity", "risk_score", "risk_level", "ensemble_risk", "gate_score", "adversary_tier", F.array_join("triggered_agents", ",").alias("agents"), "reason", "confidence_level", F.sha2("redacted_text", 256).alias("redacted_sha256"))
 
 
 @query()
 def decision_summary(spark, sf_dir):
-    return decide.analyze(read(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("action", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("risk_score"), 4).alias("mean_risk"))
+    return decide.analyze(spread(read(spark, sf_dir, "documents").select("doc_id", "text"))).groupBy("action", "severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("risk_score"), 4).alias("mean_risk"))
 
 
 @query()

@@ -12,6 +12,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Deals texts out to all cores if their files make fewer parts than that: screening costs far
+    more than moving a text. On large inputs the scan has parts enough and nothing moves."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").selectExpr(
         "event_id AS id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -63,13 +63,11 @@ def guard(tokens: DataFrame, unsafe: Callable[[str], bool], every: int = CHECK_E
 
 
 def guard_batch(tokens: DataFrame, pattern: str, every: int = CHECK_EVERY) -> DataFrame:
-    """The same over finished streams in one window: where each stream is checked and where it stops.
+    """The same over finished streams: where each stream is checked and where it stops.
 
     ``stream_id, checks, stopped_at, emitted_chars``; ``pattern`` is a Java pattern that stops a stream.
     """
-    w = Window.partitionBy("stream_id").orderBy("seq")
     d = tokens.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "token"))).alias("t"))
-    del w
     start = F.struct(F.lit("").alias("total"), F.lit(0).alias("waiting"), F.lit(0).alias("checks"), F.lit(0).alias("sent"), F.lit(None).cast("long").alias("at"))
 
     def step(a, x):
