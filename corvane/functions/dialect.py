@@ -48,6 +48,52 @@ def java_regex(pattern: str, flags: str = "") -> str:
     return f"(?Uud{flags})" + "".join(out)
 
 
+def required(pattern: str) -> list[frozenset[str]]:
+    """Sets of strings of which every match holds at least one each, the most telling sets first.
+
+    A search for plain strings is many times faster than a regular expression, so detectors ask
+    for these first. Case is left as in the pattern; a pattern may have no such set.
+    """
+
+    def weight(s: frozenset[str]) -> tuple[int, int]:
+        return min(map(len, s)), -len(s)
+
+    def needs(items) -> list[frozenset[str]]:
+        found, run = [], ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(arg)
+                continue
+            if name == "AT":
+                continue
+            if run:
+                found.append(frozenset([run]))
+                run = ""
+            if name == "SUBPATTERN":
+                found += needs(arg[-1])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                found += needs(arg[2])
+            elif name == "IN" and len(arg) <= 3 and all(str(o) == "LITERAL" for o, _ in arg):
+                found.append(frozenset(chr(c) for _, c in arg))
+            elif name == "BRANCH":
+                best = [max(needs(b), key=weight, default=None) for b in arg[1]]
+                if all(best):
+                    found.append(frozenset().union(*best))
+        if run:
+            found.append(frozenset([run]))
+        return found
+
+    kept = [s for s in needs(re._parser.parse(pattern)) if len(s) <= 24 and all(x.isascii() for x in s)]
+    return sorted(set(kept), key=lambda s: (-min(map(len, s)), len(s), sorted(s)))
+
+
+def folded(text: Column) -> Column:
+    """Lower case in which every letter that a pattern without case takes for an ASCII one is that one."""
+    plain = F.lower(text)
+    return F.when(text.rlike("[\u0130\u0131\u017f\u212a]"), F.translate(plain, "\u0131\u017f\u0307", "is")).otherwise(plain)
+
+
 def quoted(text: str) -> str:
     """A SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\x00", "\\0") + "'"

@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import catalog
 from corvane.functions import constants as C
-from corvane.functions.dialect import count_of, double_sum, first_match, found, java_regex, let, quoted, strip, words
+from corvane.functions.dialect import count_of, double_sum, first_match, folded, found, java_regex, let, quoted, required, strip, words
 
 MATCH = "struct<match_type:string,description:string,evidence:string,confidence:double,weight:int,ref_id:string,redact:boolean,match_count:int>"
 
@@ -46,11 +46,24 @@ def _match_sql(kind: str, description: str, evidence: str, confidence: float, we
     return "named_struct(" + ", ".join(f"'{f}', {v}" for f, v in zip(_FIELDS, values, strict=True)) + ")"
 
 
+def _guard_sql(name: str, pattern: str, flags: str) -> str:
+    """Conjuncts that any match fulfils: strings that the column, folded where case is ignored, must hold."""
+    low = "i" in flags
+    column = f"{name}_folded" if low else name
+    sets = [sorted({x.lower() if low else x for x in s}) for s in required(pattern)[:2]]
+    return "".join("(" + " OR ".join(f"contains({column}, {quoted(x)})" for x in s) + ") AND " for s in sets)
+
+
+def with_folded(d: DataFrame, *names: str) -> DataFrame:
+    """Adds ``<name>_folded``, which the pattern searches over column ``name`` ask first."""
+    return d.withColumns({f"{n}_folded": folded(F.col(n)) for n in names})
+
+
 def _search_sql(name: str, kind: str, pattern: str, description: str, confidence: float, weight: int, flags: str, limit: int) -> str:
     """First match of a pattern in column ``name``. Catalogue patterns become one parsed expression:
     thousands of single calls would cost more than the scan of a small table."""
     p = quoted(java_regex(pattern, flags))
-    return f"CASE WHEN {name} RLIKE {p} THEN {_match_sql(kind, description, f'substring(regexp_extract({name}, {p}, 0), 1, {limit})', confidence, weight)} END"
+    return f"CASE WHEN {_guard_sql(name, pattern, flags)}{name} RLIKE {p} THEN {_match_sql(kind, description, f'substring(regexp_extract({name}, {p}, 0), 1, {limit})', confidence, weight)} END"
 
 
 def _gathered_sql(parts: Sequence[str]) -> Column:
@@ -88,7 +101,10 @@ def pii(name: str) -> Column:
     for k, (kind, pattern, description, _) in enumerate(catalog.PII):
         weight = 4 if kind in C.PII_CRITICAL else 3 if kind in C.PII_HIGH else 1
         value = r"regexp_replace(v, '(?U)^\\s+|\\s+$', '')"
-        found_ = f"regexp_extract_all(substring({name}, 1, {C.PII_LONGEST}), {quoted(java_regex(pattern, _pii_flags(description)))}, {_group(pattern)})"
+        flags = _pii_flags(description)
+        found_ = f"regexp_extract_all(substring({name}, 1, {C.PII_LONGEST}), {quoted(java_regex(pattern, flags))}, {_group(pattern)})"
+        guard = _guard_sql(name, pattern, flags)
+        found_ = f"CASE WHEN {guard[:-5]} THEN {found_} ELSE array() END" if guard else found_
         (without if kind in NO_DIGIT else with_digit).append(f"transform({found_}, (v, j) -> named_struct('key', lower({value}), 'at', {k << 20} + j, 'm', {_match_sql(kind, description, value, pii_confidence(kind), weight)}))")
     digits = f"CASE WHEN {name} RLIKE '\\\\p{{Nd}}' THEN flatten(array({', '.join(with_digit)})) ELSE array() END"
     every = F.expr(f"concat({digits}, flatten(array({', '.join(without)})))")

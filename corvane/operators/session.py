@@ -128,13 +128,13 @@ def judge(turns: DataFrame, settings: decide.Settings = decide.Settings()) -> Da
     block = F.coalesce(decide.lookup({k: p.block for k, p in settings.presets.items()}, F.col("policy_profile")), F.lit(12.0))
     types = F.transform(F.filter("agents", lambda a: a["threat_found"]), lambda a: a["threat_type"])
     d = d.withColumn("threat_types", types).withColumn("_joined", recent_text()).withColumn("_prior", F.row_number().over(ordered()) > 1)
-    d = d.withColumn("_norm", detect.normalised(F.col("_joined")))
+    d = detect.with_folded(d.withColumn("_norm", detect.normalised(F.col("_joined"))), "_norm")
     d = d.withColumn("cross_turn_injection", F.col("_prior") & ~F.array_contains("threat_types", "INJECTION") & (F.size(detect.injection("_norm")) > 0))
     own = d.withColumn("triggered_agents", F.when(F.col("cross_turn_injection"), F.concat("triggered_agents", F.array(F.lit("Multi-turn Injection Detector")))).otherwise(F.col("triggered_agents")))
     own = patterns(own)
     scored = threshold_action(F.col("session_score"), decide.action_rank(F.col("action")), flag, block)
     total = F.greatest(scored, F.when(F.col("cross_turn_injection"), 3).otherwise(0), pattern_action(F.col("patterns")))
-    return own.withColumn("session_action", decide.action_name(total)).drop("_joined", "_prior", "_norm")
+    return own.withColumn("session_action", decide.action_name(total)).drop("_joined", "_prior", "_norm", "_norm_folded")
 
 
 def summaries(judged: DataFrame) -> DataFrame:

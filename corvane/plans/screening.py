@@ -36,6 +36,10 @@ def _re2(pattern: str, flags: str) -> str:
     return _lit((f"(?{flags})" if flags else "") + pattern)
 
 
+def _probes(spark: SparkSession) -> DataFrame:
+    return detect.with_folded(probes(spark).withColumn("n", detect.normalised(F.col("text"))), "text", "n")
+
+
 def _types(matches) -> F.Column:
     return F.array_join(F.transform(matches, lambda m: m["match_type"]), ",")
 
@@ -47,7 +51,7 @@ def _search_oracle(source: str, key: str, patterns, flags: str, text: str = "tex
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return detect.with_folded(spread(read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), "text")
 
 
 @query("""SELECT doc_id, length(text) > 4000 AS flooding, length(text) > 10000 AS overflow, length(text) // 4 > 2500 AS inflation,
@@ -173,7 +177,7 @@ def pii_redaction(spark, sf_dir):
 @query("SELECT probe_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {_re2(p, '')}) THEN {_lit(k)} END" for k, p, _, _ in C.SECRETS) + f"], lambda x: x IS NOT NULL), ',') AS found FROM (SELECT probe_id, text AS t FROM {values()})")
 def secret_probes(spark, sf_dir):
     known = F.filter(detect.secrets("text"), lambda m: m["match_type"] != "high_entropy")
-    return probes(spark).select("probe_id", _types(known).alias("found"))
+    return _probes(spark).select("probe_id", _types(known).alias("found"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {_re2(p, '')}) THEN {_lit(k)} END" for k, p, _, _ in C.SECRETS) + "], lambda x: x IS NOT NULL), ',') AS found FROM documents")
@@ -192,12 +196,12 @@ _NORMAL = r"replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\x(
 
 @query(_search_oracle(values(), "probe_id", [(k, p) for k, p, _, _ in catalog.INJECTION], "is", _NORMAL))
 def injection_probes(spark, sf_dir):
-    return probes(spark).withColumn("n", detect.normalised(F.col("text"))).select("probe_id", _types(detect.injection("n")).alias("found"))
+    return _probes(spark).select("probe_id", _types(detect.injection("n")).alias("found"))
 
 
 @query(_search_oracle("documents", "doc_id", [(k, p) for k, p, _, _ in catalog.INJECTION], "is"))
 def injection_documents(spark, sf_dir):
-    return _texts(spark, sf_dir).withColumn("n", detect.normalised(F.col("text"))).select("doc_id", _types(detect.injection("n")).alias("found"))
+    return detect.with_folded(_texts(spark, sf_dir).withColumn("n", detect.normalised(F.col("text"))), "n").select("doc_id", _types(detect.injection("n")).alias("found"))
 
 
 @query(f"SELECT probe_id, {_NORMAL} AS normalised FROM {values()}")
@@ -207,7 +211,7 @@ def injection_normalised(spark, sf_dir):
 
 @query(_search_oracle(values(), "probe_id", [(k, p) for k, p, _, _ in catalog.UNSAFE], "is"))
 def unsafe_probes(spark, sf_dir):
-    return probes(spark).select("probe_id", _types(detect.unsafe("text")).alias("found"))
+    return _probes(spark).select("probe_id", _types(detect.unsafe("text")).alias("found"))
 
 
 @query(f"SELECT probe_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(text, {_re2(p, "is")}) THEN {_lit(i)} END' for i, _, p, _, _, _ in C.INTEL)}], lambda x: x IS NOT NULL), ',') AS found FROM {values()}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import catalog
 from corvane.functions import constants as C
-from corvane.functions.dialect import java_regex
+from corvane.functions.dialect import java_regex, required
 from corvane.operators import decide, detect
 from corvane.plans import probes
 
@@ -20,7 +20,8 @@ def texts():
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    return spark.createDataFrame(list(enumerate(texts())), "id int, text string").cache()
+    d = spark.createDataFrame(list(enumerate(texts())), "id int, text string").withColumn("n", detect.normalised(F.col("text")))
+    return detect.with_folded(d, "text", "n").cache()
 
 
 @pytest.mark.parametrize("family", ["INJECTION", "UNSAFE"])
@@ -28,7 +29,7 @@ def test_searches_agree_with_python(frame, family):
     rules = getattr(catalog, family)
     source = "n" if family == "INJECTION" else "text"
     find = detect.injection if family == "INJECTION" else detect.unsafe
-    got = {r.id: r.f for r in frame.withColumn("n", detect.normalised(F.col("text"))).select("id", F.transform(find(source), lambda m: m["match_type"]).alias("f")).collect()}
+    got = {r.id: r.f for r in frame.select("id", F.transform(find(source), lambda m: m["match_type"]).alias("f")).collect()}
     for k, t in enumerate(texts()):
         if family == "INJECTION":
             t = re.sub(r"\\u(?:0020|0009|000a|000d)", " ", re.sub(r"\\x(?:20|09|0a|0d)", " ", t, flags=re.I), flags=re.I)
@@ -76,7 +77,7 @@ def test_abuse_measures(spark):
         "clean": ("An ordinary sentence about nothing in particular.", set()),
     }
     d = spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "id string, text string")
-    for r in d.select("id", F.transform(detect.abuse("text"), lambda m: m["match_type"]).alias("f")).collect():
+    for r in detect.with_folded(d, "text").select("id", F.transform(detect.abuse("text"), lambda m: m["match_type"]).alias("f")).collect():
         want = rows[r.id][1]
         assert want <= set(r.f) if want else not r.f, (r.id, r.f)
 
@@ -87,7 +88,7 @@ def test_every_secret_family(spark):
         "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2", "bearer_token": "Bearer abcdefghijklmnop", "database_url": "mysql://u:p@h/x", "assignment": "password = 'longenough'",
     }
     d = spark.createDataFrame([*good.items(), ("none", "AKIA123 and a plain sentence")], "id string, text string")
-    for r in d.select("id", F.transform(detect.secrets("text"), lambda m: m["match_type"]).alias("f")).collect():
+    for r in detect.with_folded(d, "text").select("id", F.transform(detect.secrets("text"), lambda m: m["match_type"]).alias("f")).collect():
         assert (r.id in r.f) if r.id != "none" else not r.f
 
 
@@ -122,11 +123,18 @@ def test_allowlist_compliance_and_redaction(spark):
 
 def test_many_matches_keep_catalogue_order(spark):
     t = " ".join(f"user{k}@host.org 10.0.0.{k % 250}" for k in range(800))
-    r = spark.createDataFrame([(t,)], "text string").select(detect.pii("text").alias("m")).first()
+    r = detect.with_folded(spark.createDataFrame([(t,)], "text string"), "text").select(detect.pii("text").alias("m")).first()
     kinds = [m.match_type for m in r.m]
     assert kinds.count("email") == 800 and kinds == sorted(kinds, key=[p[0] for p in catalog.PII].index)
 
 
+def test_required_strings():
+    assert required(r"\b(ignore|forget)\b.{0,40}\b(rules?)\b")[0] == {"ignore", "forget"}
+    assert required(r"a?[bc]\d+") == [{"b", "c"}] and required(r"\d+|x") == []
+    for kind, p, *_ in [*catalog.INJECTION, *catalog.UNSAFE]:
+        assert required(p) or kind == "encoding_obfuscation", kind
+
+
 def test_constants_are_consistent():
     assert set(C.POLICY) >= {v[0] for v in C.DETECTORS.values()}
     assert len(catalog.PII) == 37 and len(catalog.INJECTION) == len(catalog.UNSAFE) == 20
