@@ -1,9 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 ``build_index`` stores the postings of every training token: each row of the index
-is a segment of about ``SEGMENT`` tokens that holds its terms, sorted, and for
-each term the ascending places where it stands. Places of one segment run on
-from document to document with a gap between them, so a phrase can't cross two.
+is a segment of about ``SEGMENT`` tokens that holds its terms and, for each term,
+the ascending places where it stands. Places of one segment run on from document to
+document with a gap between them, so a phrase can't cross two.
 
 ``search`` takes the test phrases (in blocks of at most ``BLOCK`` items, sent to
 every task, so that what is broadcast has a bound) and, in each segment, starts
@@ -20,33 +20,34 @@ benchmark hits nothing; extra columns are not read.
 
 from __future__ import annotations
 
-import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import materialize
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of UTF-8 as the word rule has them: A-Z in lower case, ASCII that is no letter or digit as a space.
+_RULE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 WINDOW = 13
 SEGMENT = 400_000
 BLOCK = 20_000
 
-INDEX_SCHEMA = "segment string, doc_ids array<{id}>, starts array<bigint>, sizes array<bigint>, terms array<string>, bounds binary, places binary"
+INDEX_SCHEMA = "segment string, doc_ids array<{id}>, starts array<bigint>, sizes array<bigint>, terms array<binary>, bounds binary, places binary"
 
 
-def words(text: str | None) -> list[str]:
-    """Words with A-Z lower-cased; null has none."""
-    return WORD.findall(text.translate(_LOWER) if text else "")
+def words(text: str | bytes | None) -> list[bytes]:
+    """Words with A-Z lower-cased, as UTF-8; null has none."""
+    return (text if isinstance(text, bytes) else (text or "").encode()).translate(_RULE).split()
 
 
-def windows(text: str | None, size: int = WINDOW) -> list[tuple[str, ...]]:
+def windows(text: str | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
     w = words(text)
     return [tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))] if w else []
 
@@ -55,30 +56,26 @@ class _Segment:
     """Tokens gathered for one row of the index."""
 
     def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers: defaultdict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
         self.parts: list[np.ndarray] = []
         self.ids, self.starts, self.sizes, self.at = [], [], [], 0
 
-    def add(self, doc_id, found: list[str], gap: int) -> None:
-        number = self.numbers
+    def add(self, doc_id, found: list[bytes], gap: int) -> None:
         self.ids.append(doc_id)
         self.starts.append(self.at)
         self.sizes.append(len(found))
-        self.parts.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found)))
         self.at += len(found) + gap
 
     def row(self, kind: pa.DataType) -> pa.RecordBatch:
         term = np.concatenate([np.zeros(0, np.int32), *self.parts])
         place = np.concatenate([np.zeros(0, np.int64), *[np.arange(s, s + n) for s, n in zip(self.starts, self.sizes, strict=True)]]).astype(np.int32)
         names = list(self.numbers)
-        order = sorted(range(len(names)), key=names.__getitem__)
-        rank = np.empty(len(names), np.int32)
-        rank[order] = np.arange(len(names), dtype=np.int32)
-        term = rank[term] if len(names) else term
         by_term = np.argsort(term, kind="stable")
         bounds = np.searchsorted(term[by_term], np.arange(len(names) + 1)).astype(np.int32)
         one = lambda values, t: pa.array([values], pa.list_(t))
-        cols = [pa.array([uuid.uuid4().hex]), one(self.ids, kind), one(self.starts, pa.int64()), one(self.sizes, pa.int64()), one([names[k] for k in order], pa.string()), pa.array([bounds.tobytes()]), pa.array([place[by_term].tobytes()])]
+        cols = [pa.array([uuid.uuid4().hex]), one(self.ids, kind), one(self.starts, pa.int64()), one(self.sizes, pa.int64()), one(names, pa.binary()), pa.array([bounds.tobytes()]), pa.array([place[by_term].tobytes()])]
         return pa.RecordBatch.from_arrays(cols, ["segment", "doc_ids", "starts", "sizes", "terms", "bounds", "places"])
 
 
@@ -91,8 +88,8 @@ def build_index(docs: DataFrame, gap: int = 64) -> DataFrame:
         segment = _Segment()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, text in zip(ids, batch.column(1), strict=True):
-                segment.add(doc_id, words(text.as_py()), gap)
+            for doc_id, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                segment.add(doc_id, words(text), gap)
                 if segment.at >= SEGMENT:
                     yield segment.row(arrow)
                     segment = _Segment()
@@ -103,7 +100,7 @@ def build_index(docs: DataFrame, gap: int = 64) -> DataFrame:
     return materialize(rows.mapInArrow(run, INDEX_SCHEMA.format(id=kind.simpleString())), "postings")
 
 
-def _find(phrase: tuple[str, ...], lists: dict[str, np.ndarray], slop: int) -> np.ndarray:
+def _find(phrase: tuple[bytes, ...], lists: dict[bytes, np.ndarray], slop: int) -> np.ndarray:
     """Places where the phrase starts, from its rarest term outwards."""
     order = sorted(range(len(phrase)), key=lambda k: (len(lists[phrase[k]]), k))
     first = order[0]
@@ -146,13 +143,15 @@ def search(index: DataFrame, items: DataFrame, slop: int = 0, block: int = BLOCK
 def _pass(index: DataFrame, sent, slop: int, schema: str, with_places: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = sent.value
-        vocabulary = {w for p in phrases for w in p}
+        vocabulary = pa.array(sorted({w for p in phrases for w in p}), pa.binary())
+        spelled = vocabulary.to_pylist()
         for batch in batches:
             for r in range(batch.num_rows):
                 segment, ids, starts, sizes, terms, bounds, places = (batch.column(k)[r] for k in range(7))
                 starts, sizes = np.array(starts.values), np.array(sizes.values)
-                bounds, places = np.frombuffer(bounds.as_py(), np.int32), np.frombuffer(places.as_py(), np.int32).astype(np.int64)
-                lists = {w: places[bounds[k] : bounds[k + 1]] for k, w in enumerate(terms.values.to_pylist()) if w in vocabulary}
+                bounds, places = np.frombuffer(bounds.as_py(), np.int32), np.frombuffer(places.as_py(), np.int32)
+                known = pc.index_in(terms.values, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False) if len(spelled) else np.zeros(0, np.int64)
+                lists = {spelled[known[k]]: places[bounds[k] : bounds[k + 1]].astype(np.int64) for k in np.flatnonzero(known >= 0)}
                 reach = int(starts[-1] + sizes[-1]) + 1 if len(starts) else 1
                 edge = np.zeros(reach + 1, np.int32)
                 found: dict[int, set] = {}
