@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import common
+from corvane.llm import common, quality_rules
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,6 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvane.llm import quality_rules
-
     rows = quality_rules.apply_rules(common.table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -113,7 +111,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_WORD_LIST = ", ".join("'" + w + "'" for w in sorted({*quality_rules.STOP_WORDS, *(w.capitalize() for w in quality_rules.STOP_WORDS)}))
+
+_OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS w FROM documents),
+x AS (SELECT r, unnest(range(1, len(w) - 1)) AS k, w FROM d WHERE len(w) >= 3),
+y AS (SELECT r, k, count(*) OVER (PARTITION BY r, w[k], w[k + 1], w[k + 2]) AS n FROM x),
+z AS (SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM y WHERE n > 1) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+m AS (SELECT d.r, doc_id, t, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(z.n, 0) AS n_repeat_words,
+    len(list_filter(w, lambda v: v IN ({_WORD_LIST}))) AS stop
+  FROM d JOIN l USING (r) LEFT JOIN z USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS nw FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars / nw BETWEEN 2 AND 20 AND n_symbols / nw <= 0.3 AND (length(t) - length(replace(t, '|', ''))) / nw <= 0.2
+  AND length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) / greatest(word_chars, 1) <= 0.5 AND n_dup_lines / greatest(n_lines, 1) <= 0.6 AND stop / nw >= 0.02 AS kept
+FROM f"""
+
+_OP9 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+s AS (SELECT DISTINCT r, list_slice(w, k, k + 4) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+c AS (SELECT t.a AS r, min(doc_id) AS class_id FROM t JOIN d ON d.r = t.b GROUP BY t.a)
+SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.a = d.r) AS n_links FROM d JOIN c USING (r)"""
+
+
 ORACLES: dict[str, str] = {
+    "op8_quality_rules": _OP8,
+    "op9_jaccard_join": _OP9,
     "op2_decontamination": r"""
 WITH d AS (SELECT doc_id, rowid_, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)),
