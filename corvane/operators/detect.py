@@ -139,8 +139,13 @@ def most_frequent(items: Column) -> Column:
     """``n`` and ``item`` of the most frequent item; of equals the one that comes first."""
 
     def counted(own: Column, ordered: Column, cuts: Column) -> Column:
-        one = lambda i, k: F.struct((F.coalesce(F.get(cuts, k + 1), F.size(own)) - i).alias("n"), (-F.array_position(own, F.get(ordered, i))).alias("at"), F.get(ordered, i).alias("item"))
-        return F.array_max(F.transform(cuts, one))
+        runs = F.transform(cuts, lambda i, k: F.struct((F.coalesce(F.get(cuts, k + 1), F.size(own)) - i).alias("n"), F.get(ordered, i).alias("item")))
+
+        def first(all_runs: Column, most: Column) -> Column:
+            ties = F.filter(all_runs, lambda r: r["n"] == most)
+            return F.array_min(F.transform(ties, lambda r: F.struct(F.array_position(own, r["item"]).alias("at"), r["n"].alias("n"), r["item"].alias("item"))))
+
+        return let(runs, lambda all_runs: let(F.array_max(F.transform(all_runs, lambda r: r["n"])), lambda most: first(all_runs, most)))
 
     def cut(own: Column, ordered: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
