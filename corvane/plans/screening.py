@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import catalog
 from corvane.functions import constants as C
-from corvane.functions.dialect import java_regex
+from corvane.functions.dialect import java_regex, quoted
 from corvane.operators import decide, detect, interact, session
 from corvane.plans.probes import probes, values
 from corvane.plans.tables import read, spread
@@ -150,10 +150,26 @@ def abuse_matches(spark, sf_dir):
 _PLAIN_PII = [(k, p, d) for k, p, d, _ in catalog.PII if "(?!" not in p]
 
 
+def _raw_counts(d: DataFrame) -> DataFrame:
+    """Patterns are searched only where the strings, or the digit, that any match holds are found."""
+    counts = []
+    for k, p, x in _PLAIN_PII:
+        flags = detect._pii_flags(x)
+        n = f"size(regexp_extract_all(text, {quoted(java_regex(p, flags))}, 0))"
+        guard = detect._guard_sql("text", p, flags) + ("" if k in detect.NO_DIGIT else "has_digit AND ")
+        counts.append(f"CASE WHEN text IS NULL OR ({guard[:-5]}) THEN {n} ELSE 0 END AS {k}" if guard else f"{n} AS {k}")
+    return detect.with_folded(d.select("doc_id", "text", F.col("text").rlike(r"\p{Nd}").alias("has_digit")), "text").selectExpr("doc_id", *counts)
+
+
 @query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {_re2(p, detect._pii_flags(d))}))::INT AS {k}" for k, p, d in _PLAIN_PII) + " FROM documents WHERE lang = 'en'")
 def pii_raw_counts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("lang = 'en'")
-    return d.select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(java_regex(p, detect._pii_flags(x))), F.lit(0))).alias(k) for k, p, x in _PLAIN_PII])
+    return _raw_counts(read(spark, sf_dir, "documents").filter("lang = 'en'"))
+
+
+@query()
+def pii_raw_counts_all(spark, sf_dir):
+    """Of all rows, whatever their language; on non-ASCII text the dialects differ, so the test is brute force."""
+    return _raw_counts(read(spark, sf_dir, "documents"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\\b[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}\\b'),
