@@ -2,33 +2,50 @@
 
 Each stage gets all rows that the one before kept, as a table in the shared folder,
 and returns the columns of ``documents``; the last adds each row's shard and slot.
-Rows without a ``doc_id`` can't be referred to by the later stages; the near-duplicate
-stage drops them. Of rows with one ``doc_id`` that stage keeps one. A text without a
-letter is rejected by language ID. Extra columns are carried along; empty tables pass
-through all stages.
+The first stage adds a generated key, by which the near-duplicate stage tells rows apart,
+whatever ids repeat; the last takes it away. A text without a letter is rejected by language ID. Extra columns are carried
+along; empty tables pass through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontamination, language, mixing, near_duplicates, sharding
 from corvane.llm.common import materialize, table
 
 
+#: The generated key: a bigint, in no two rows the same.
+KEY = "_row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key, written if it is new, so that it's the same in every reading."""
+    return docs if KEY in docs.columns else materialize(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    """Narrow rows for an operator that is to refer to rows by the key."""
+    return docs.select(F.col(KEY).alias("doc_id"), "text")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be told."""
+    """Keeps the documents whose language can be told; adds the key."""
     found = language.identify(docs, language.learn(docs))
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    kept = found.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    return kept if KEY in docs.columns else kept.withColumn(KEY, F.monotonically_increasing_id())
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
-    classes = near_duplicates.join(docs)
-    stay = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"])))
-    return docs.join(stay, "doc_id").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
+    """Of each class of near duplicates the row with the least id stays; rows without an id come last."""
+    rows = keyed(docs)
+    classes = near_duplicates.join(by_key(rows)).select(F.col("doc_id").alias(KEY), "class_id")
+    hashed = F.xxhash64(*[c for c in docs.columns if c != KEY])
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", hashed, KEY)
+    ranks = rows.select(KEY, rank.alias("rank"))
+    first = ranks.join(classes, KEY).groupBy("class_id").agg(F.min("rank").alias("rank"))
+    return rows.join(first.select(F.col(f"rank.{KEY}").alias(KEY)), KEY, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +62,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``shard`` and ``slot``."""
+    """Adds ``shard`` and ``slot``; takes the key away."""
+    docs = docs.drop(KEY)
     return sharding.with_texts(docs, sharding.hilbert_shards(docs))
 
 
