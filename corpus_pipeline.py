@@ -2,8 +2,9 @@
 
 Each stage gets all rows that the one before kept, as a table in the shared folder,
 and returns the columns of ``documents``; the last adds each row's shard and slot.
-The first stage adds a generated key, by which the near-duplicate stage tells rows apart,
-whatever ids repeat; the last takes it away. A text without a letter is rejected by language ID. Extra columns are carried
+Rows are told apart by a generated key, which the first stage adds as a column and the
+last takes away, so that repeated ids and rows without a ``doc_id`` are judged like all
+others. A text without a letter is rejected by language ID. Extra columns are carried
 along; empty tables pass through all stages.
 """
 
@@ -30,9 +31,15 @@ def by_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col(KEY).alias("doc_id"), "text")
 
 
+def with_stand_in(docs: DataFrame) -> DataFrame:
+    """Rows without an id get a hash of their text for it, for operators that shuffle or sample by id."""
+    hashed = F.xxhash64("text")
+    return docs.withColumn("doc_id", F.coalesce("doc_id", hashed.cast("string") if docs.schema["doc_id"].dataType.simpleString() == "string" else hashed))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language can be told; adds the key."""
-    found = language.identify(docs, language.learn(docs))
+    found = language.identify(docs, language.learn(with_stand_in(docs)))
     kept = found.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
     return kept if KEY in docs.columns else kept.withColumn(KEY, F.monotonically_increasing_id())
 
@@ -50,15 +57,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold too much of a benchmark item."""
-    hits = decontamination.search(decontamination.build_index(docs), table(spark, sf_dir, "benchmark"))
-    bad = hits.filter(decontamination.contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    hits = decontamination.search(decontamination.build_index(by_key(rows)), table(spark, sf_dir, "benchmark"))
+    bad = hits.filter(decontamination.contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias(KEY))
+    return rows.join(bad, KEY, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mix = mixing.fair_mix(docs).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return docs.join(mix, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = keyed(docs)
+    mix = mixing.fair_mix(with_stand_in(rows), carry=(KEY,)).filter("taken > 0").select(KEY, (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return rows.join(mix, KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,10 +56,10 @@ def targets(sources: DataFrame, repeats: int = 3) -> DataFrame:
     return t.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"), F.col("_place").cast("long").alias("_place"))
 
 
-def fair_mix(docs: DataFrame, repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for each row of ``docs``."""
+def fair_mix(docs: DataFrame, repeats: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` for each row of ``docs``, and its columns ``carry``."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", count_space_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key"))
+    rows = docs.select(*carry, "doc_id", "source", count_space_words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key"))
     rows = materialize(rows, "mix-sizes")
     table = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), repeats)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
@@ -83,7 +83,7 @@ def fair_mix(docs: DataFrame, repeats: int = 3, seed: str = "mix") -> DataFrame:
     served = rows.filter(open_).select("size", F.explode(F.array(*[finish(e) for e in range(repeats)])).alias("f"))
     cut = _cut(served, total["size"])
     taken = sum((F.when(open_ & (finish(e) <= F.lit(cut)), F.col("size")).otherwise(0) for e in range(repeats)), F.lit(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(*carry, "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def _cut(served: DataFrame, budget: int) -> float:

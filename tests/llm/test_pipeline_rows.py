@@ -1,8 +1,9 @@
-"""The pipeline's stages on rows with repeated ids."""
+"""The pipeline's stages on rows with repeated ids and without ids."""
 
 import random
 
 import corpus_pipeline
+from corvane.llm.common import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -27,3 +28,29 @@ def test_one_row_of_each_class_stays_whatever_ids_repeat(spark, tmp_path):
         clean, other = text(seed), text(100 + seed)
         rows = [(5, clean), (3, other), (5, other + " more")]
         assert run(rows) == sorted([(5, clean), (3, other)], key=str)
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (8, text(1)), (None, text(3)), (7, text(4)), (7, text(4)), (7, text(5)), (None, ""), (None, "")]
+    want = [(8, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (None, ""), (None, "")]
+    assert run(rows) == sorted(want, key=str)
+
+
+def test_contaminated_rows_go_and_others_with_their_id_stay(spark, tmp_path):
+    item = text(777, 20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, text(1) + " " + item), (None, text(2)), (4, text(3) + " " + item), (4, text(4)), (5, None)]
+    assert pairs(STAGES["decontamination"](spark, frame(spark, rows), str(tmp_path))) == sorted([(None, text(2)), (4, text(4)), (5, None)], key=str)
+
+
+def test_a_third_without_ids_goes_through_the_pipeline(spark, tmp_path):
+    rows = [(None if k % 3 == 0 else k // 2, text(k)) for k in range(60)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, text(777, 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
+    assert pairs(out) == sorted(rows, key=str)
+    mixed = STAGES["mixing"](spark, materialize(frame(spark, rows), "rows"), str(tmp_path))
+    assert mixed.columns == out.columns[:5] and pairs(mixed) == sorted(rows, key=str)
+
+
+def test_all_rows_without_ids_are_kept(spark, tmp_path):
+    rows = [(None, text(k)) for k in range(12)]
+    assert pairs(STAGES["language"](spark, frame(spark, rows), str(tmp_path))) == sorted(rows, key=str)
