@@ -10,8 +10,9 @@ some hundred kilobytes and travels with the task.
 
 One pass, no shuffle. Edge cases: null or empty html gives the empty text; a page
 cut off anywhere is read as far as it goes; scripts, styles, templates, titles,
-markup and HTML comments are never text; nothing is capped; repeated rows give
-equal results; an empty table gives no rows; extra columns are not read.
+markup and HTML comments are never text, and what stands inside any other element
+(svg, math, iframe, noscript, object, canvas, custom elements) is judged as text;
+nothing is capped; repeated rows give equal results; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ BATCH = 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|title|svg|math|iframe|noscript|object|canvas)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|title)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?A-Za-z][^>]*+(?:>|\Z)"
     r"|(?P<text>[^<]++|<)",
@@ -47,6 +48,10 @@ _WORD = re.compile(r"\w+")
 
 #: Elements that run inside a line of text, and those that have no content.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Drawings and formulas, and what stands for a thing that isn't shown, are part of the line as well.
+INLINE |= set("svg g path circle ellipse line rect polygon polyline use defs symbol desc text tspan".split())
+INLINE |= set("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded semantics annotation".split())
+INLINE |= set("iframe noscript object canvas".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag on the left closes open ones on the right, up to the nearest block around them.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
