@@ -153,8 +153,7 @@ def features(page: list[Block]) -> np.ndarray:
     for k, b in enumerate(page):
         x[k, :PATH_TERMS] = _path_vector(b.path)
         n = len(b.text)
-        found = _WORD.findall(b.text if n < 400 else b.text[:200] + " " + b.text[-200:])
-        for w in found:
+        for w in _WORD.findall(b.text):
             x[k, PATH_TERMS + _hash(w.lower(), WORD_TERMS)] += 1
         words = max(1, b.text.count(" ") + 1)
         dots = sum(map(b.text.count, ".!?"))

@@ -23,3 +23,13 @@ def test_text_inside_is_kept_in_its_line(name):
 def test_raw_elements_are_no_text():
     page = "<title>t</title><SCRIPT >var a</script><style\n>b</style><template/>c</template><p>x <svg><title>icon</title><path d='M0'/></svg>y <math><mi>a</mi><mo>=</mo><mn>1</mn></math></p><script>end"
     assert texts(page) == ["x y a=1"]
+
+
+def test_words_of_a_whole_block_are_features():
+    def hashed(text):
+        x = html_text.features([html_text.Block((), text, 0)])[0]
+        return x[html_text.PATH_TERMS : html_text.PATH_TERMS + html_text.WORD_TERMS]
+
+    ends = "aa " * 100
+    assert hashed(ends + "aa " * 100 + ends).nonzero()[0].size == 1
+    assert hashed(ends + "bb " * 100 + ends)[html_text._hash("bb", html_text.WORD_TERMS)] > 0
