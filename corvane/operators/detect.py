@@ -96,13 +96,13 @@ NO_DIGIT = ("email", "upi_id", "account_number", "mac_address", "ipv6", "blood_g
 
 
 def pii(name: str) -> Column:
-    """All patterns in catalogue order over column ``name``; of equal values (but for case) the first stays."""
+    """All patterns in catalogue order over the whole of column ``name``; of equal values (but for case) the first stays."""
     with_digit, without = [], []
     for k, (kind, pattern, description, _) in enumerate(catalog.PII):
         weight = 4 if kind in C.PII_CRITICAL else 3 if kind in C.PII_HIGH else 1
         value = r"regexp_replace(v, '(?U)^\\s+|\\s+$', '')"
         flags = _pii_flags(description)
-        found_ = f"regexp_extract_all(substring({name}, 1, {C.PII_LONGEST}), {quoted(java_regex(pattern, flags))}, {_group(pattern)})"
+        found_ = f"regexp_extract_all({name}, {quoted(java_regex(pattern, flags))}, {_group(pattern)})"
         guard = _guard_sql(name, pattern, flags)
         found_ = f"CASE WHEN {guard[:-5]} THEN {found_} ELSE array() END" if guard else found_
         (without if kind in NO_DIGIT else with_digit).append(f"transform({found_}, (v, j) -> named_struct('key', lower({value}), 'at', {k << 20} + j, 'm', {_match_sql(kind, description, value, pii_confidence(kind), weight)}))")

@@ -25,3 +25,10 @@ def test_pii_counts_cover_every_language(spark, tmp_path):
     assert len(got) == len(rows) and {lang for *_, lang in rows} >= {"fr", "de", None}
     for i, text, _ in rows:
         assert [got[i][k] for k, _, _ in screening._PLAIN_PII] == [None if text is None else count(p, d, text) for _, p, d in screening._PLAIN_PII], i
+
+
+def test_pii_far_into_a_text_is_found(spark, tmp_path):
+    rows = [(1, "word " * 25_000 + "mail jane@roe.org and 10.2.3.4"), (2, "word " * 25_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.found, r.evidence) for r in registry.QUERIES["pii_matches"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("email,ipv4", "jane@roe.org,10.2.3.4"), 2: ("", "")}
