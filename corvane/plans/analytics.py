@@ -354,6 +354,14 @@ def value_metrics(spark, sf_dir):
     return evaluate.value_metrics(d, "a", "b").select("tp", "fp", "fn")
 
 
+@query(r"""SELECT sum(len(list_intersect(a, b)))::BIGINT AS tp, sum(len(b) - len(list_intersect(a, b)))::BIGINT AS fp, sum(len(a) - len(list_intersect(a, b)))::BIGINT AS fn FROM (SELECT list_distinct(regexp_extract_all(text, '[0-9]+')) AS a, list_distinct(regexp_extract_all(text, '[0-9]{2,}|[A-Z]{2,}')) AS b FROM documents)""", False)
+def value_metrics_all(spark, sf_dir):
+    """Values that two simple detectors find in whole texts."""
+    values = lambda pattern: F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    d = read(spark, sf_dir, "documents").select(values("[0-9]+").alias("a"), values("[0-9]{2,}|[A-Z]{2,}").alias("b"))
+    return evaluate.value_metrics(d, "a", "b").select("tp", "fp", "fn")
+
+
 @query("SELECT s::DOUBLE AS saving, round(100000 * 500 / 1e6 * 0.59 * (1 - s), 4)::DOUBLE AS cost FROM (VALUES (0.0), (0.65)) x(s)", False)
 def cost_model(spark, sf_dir):
     return evaluate.cost_model(spark)

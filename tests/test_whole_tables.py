@@ -32,3 +32,9 @@ def test_pii_far_into_a_text_is_found(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.found, r.evidence) for r in registry.QUERIES["pii_matches"](spark, str(tmp_path)).collect()}
     assert got == {1: ("email,ipv4", "jane@roe.org,10.2.3.4"), 2: ("", "")}
+
+
+def test_value_metrics_read_whole_texts(spark, tmp_path):
+    rows = [(1, "word " * 40 + "7 42 42 NASA"), (2, "none here"), (3, "word " * 40 + "5")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in registry.QUERIES["value_metrics_all"](spark, str(tmp_path)).collect()] == [(1, 1, 2)]
