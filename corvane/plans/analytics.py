@@ -416,6 +416,28 @@ def allowlist_cache(spark, sf_dir):
     return _near(spark, sf_dir, 50, 70, 0.8)
 
 
+def _near_all_oracle(first: int, last: int, limit: float) -> str:
+    inside = f"vec_id >= {first} AND vec_id < {last}"
+    return f"""WITH c AS (SELECT vec_id AS c, embedding::DOUBLE[] AS e FROM embeddings WHERE {inside}), q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE NOT ({inside}))
+  SELECT vec_id, arg_min(c, (d, c)) AS cached_id, round(min(d), 6) AS distance FROM (SELECT vec_id, c, 1 - list_cosine_similarity(q.e, c.e) AS d FROM q, c) GROUP BY vec_id HAVING min(d) <= {limit}"""
+
+
+def _near_all(spark, sf_dir, first: int, last: int, limit: float) -> DataFrame:
+    """Looks up all rows outside the cache."""
+    d, inside = read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), f"vec_id >= {first} AND vec_id < {last}"
+    return cache.nearest(d.filter(f"NOT ({inside})"), d.filter(inside), limit)
+
+
+@query(_near_all_oracle(0, 50, 0.75), False)
+def threat_cache_all(spark, sf_dir):
+    return _near_all(spark, sf_dir, 0, 50, 0.75)
+
+
+@query(_near_all_oracle(50, 70, 0.8), False)
+def allowlist_cache_all(spark, sf_dir):
+    return _near_all(spark, sf_dir, 50, 70, 0.8)
+
+
 @query()
 def stream_guard(spark, sf_dir):
     """Assistant turns, word by word, stopped at a card-like number or a word of the gate."""

@@ -38,3 +38,11 @@ def test_value_metrics_read_whole_texts(spark, tmp_path):
     rows = [(1, "word " * 40 + "7 42 42 NASA"), (2, "none here"), (3, "word " * 40 + "5")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in registry.QUERIES["value_metrics_all"](spark, str(tmp_path)).collect()] == [(1, 1, 2)]
+
+
+def test_all_rows_outside_a_cache_are_looked_up(spark, tmp_path):
+    rows = [(k, [1.0, k / 1000]) for k in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    looked_up = lambda name: {r.vec_id for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert looked_up("threat_cache_all") == set(range(50, 80))
+    assert looked_up("allowlist_cache_all") == {*range(50), *range(70, 80)}
