@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize
+from corvane.llm.common import materialize, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     now = materialize(links.filter("a <> b").select("a", "b").distinct(), "links")
     seen = None
     while True:
-        now = materialize(_star(_star(now, True), False), "links")
+        before, now = now, materialize(_star(_star(now, True), False), "links")
+        release(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

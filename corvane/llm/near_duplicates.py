@@ -8,22 +8,30 @@ under a hash function that the path so far chooses. Sets that share a path meet
 in its bucket. Buckets of at most ``SMALL`` sets are compared by brute force;
 larger ones are split on ``BRANCHES`` further tokens, at most ``DEPTH`` times, and
 what is still large then (sets that agree in all sampled tokens) is compared in
-pairs of blocks, so no bucket is capped. Runs are repeated until a pair at the
-threshold is found with probability ``recall``.
+pairs of blocks of about ``BLOCK`` sets and ``BLOCK_BYTES`` bytes, so no bucket is
+capped and no task holds more than two blocks.
+
+How often runs are repeated, and in how many sampled tokens two sets must agree to
+be compared exactly, both follow from ``threshold`` and ``recall``: a pair at the
+threshold is missed by either with at most half the probability 1 - ``recall``.
 
 A pair is counted in one bucket only: the least path that its two sets share.
 Bucket tasks first compare signatures, and only sets with a likely partner there
 have their texts brought, for the exact comparison. Bucket tasks return sums of
-links and one spanning edge per set, never the pairs.
+links and one spanning edge per set, never the pairs. Rows are told apart by a
+generated number, never by their ids, so rows without an id or with a repeated one
+cost no more than others.
 
 Edge cases: a text of one to four words is a single shingle; null, empty and
 blank texts have no shingle, no link and a class of their own; repeated rows and
 equal texts share a class; a class's id is its least ``doc_id`` (null if it has
-none); an empty table gives no rows; extra columns are not read.
+none); a very long text is read whole, in pieces; an empty table gives no rows;
+extra columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import vector
-from corvane.llm.common import materialize
+from corvane.llm.common import materialize, release
 from corvane.llm.components import components
 
 WORDS = 5
@@ -43,14 +51,15 @@ SMALL = 256
 BRANCHES = 2
 DEPTH = 2
 BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 RECALL = 0.999999
-#: Signatures that agree in fewer places than this share are not compared exactly:
-#: five standard deviations below the threshold.
-LIKELY = 0.5
 
-_draw = np.random.default_rng(977)
-_XOR = _draw.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
-_ODD = _draw.integers(0, 2**62, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+@functools.lru_cache(maxsize=4)
+def _functions(places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Constants of the hash functions under which least tokens are taken."""
+    draw = np.random.default_rng(977)
+    return draw.integers(0, 2**63, places, dtype=np.uint64), draw.integers(0, 2**62, places, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(raw: np.ndarray, at: np.ndarray, n: int, hashes: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -65,16 +74,28 @@ def shingles(raw: np.ndarray, at: np.ndarray, n: int, hashes: int = 2) -> tuple[
 
 
 def runs_for(recall: float, threshold: float, depth: int = DEPTH, branches: int = BRANCHES) -> int:
-    """Runs until a pair at the threshold shares some leaf with probability ``recall``."""
+    """Runs until a pair at the threshold shares no leaf with at most half the probability 1 - ``recall``."""
     once = threshold * (1 - (1 - threshold) ** branches) ** depth
-    return min(SIGNATURE, math.ceil(math.log(1 - recall) / math.log(1 - once)))
+    return math.ceil(math.log((1 - recall) / 2) / math.log(1 - once)) if once < 1 else 1
+
+
+def agreeing_for(recall: float, threshold: float, places: int) -> int:
+    """The most places that two sets must agree in: a pair at the threshold agrees in
+    fewer with at most half the probability 1 - ``recall``."""
+    below = 0.0
+    for k in range(places + 1):
+        below += math.comb(places, k) * threshold**k * (1 - threshold) ** (places - k)
+        if below > (1 - recall) / 2:
+            return k
+    return places
 
 
-def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """``doc_id, h1, h2, sig``: the hash of the row's shingles and its least tokens; null without shingles."""
+def signatures(docs: DataFrame, n: int = WORDS, places: int = SIGNATURE) -> DataFrame:
+    """``doc_id, text, h1, h2, sig``: the hash of the row's shingles and its least tokens; null without shingles."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xor, odd = _functions(places)
         for batch in batches:
             raw, at = vector.utf8(batch.column(1))
             for a, b in vector.row_groups(at):
@@ -82,44 +103,45 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 full = np.flatnonzero(np.diff(first))
                 cut = first[:-1][full]
                 h1, h2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-                sig = np.zeros((b - a, SIGNATURE), np.uint32)
+                sig = np.zeros((b - a, places), np.uint32)
                 if len(full):
                     h1[full], h2[full] = (vector.mix(np.add.reduceat(vector.mix(x), cut)) for x in (s, t))
-                    for k in range(SIGNATURE):
-                        sig[full, k] = (np.minimum.reduceat((s ^ _XOR[k]) * _ODD[k], cut) >> np.uint64(32)).astype(np.uint32)
+                    for k in range(places):
+                        sig[full, k] = (np.minimum.reduceat((s ^ xor[k]) * odd[k], cut) >> np.uint64(32)).astype(np.uint32)
                 empty = np.ones(b - a, bool)
                 empty[full] = False
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int32).ravel()), SIGNATURE).cast(pa.list_(pa.int32()))
-                cols = [batch.column(0).slice(a, b - a), pa.array(h1.view(np.int64), mask=empty), pa.array(h2.view(np.int64), mask=empty), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h1", "h2", "sig"])
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int32).ravel()), places).cast(pa.list_(pa.int32()))
+                cols = [*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array(h1.view(np.int64), mask=empty), pa.array(h2.view(np.int64), mask=empty), lists]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "h1", "h2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, h1 bigint, h2 bigint, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, text string, h1 bigint, h2 bigint, sig array<int>")
 
 
-def _leaves(sets: DataFrame, runs: int) -> DataFrame:
-    """``path, rid, members``: the buckets in which sets are compared, two members at least."""
+def _leaves(sets: DataFrame, runs: int, places: int) -> DataFrame:
+    """``path, rid, members, weight``: the buckets in which sets are compared, two members at least."""
     root = F.array(*[F.xxhash64(F.lit(r), F.get("sig", F.lit(r))) for r in range(runs)])
-    level = sets.select("rid", F.explode(root).alias("path"))
+    level = sets.select("rid", "bytes", F.explode(root).alias("path"))
     out = None
     for depth in range(DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("weight")).filter("members > 1")
         level = materialize(level.join(sizes, "path"), "paths")
-        leaf = level if depth == DEPTH else level.filter(F.col("members") <= SMALL)
+        leaf = (level if depth == DEPTH else level.filter(F.col("members") <= SMALL)).drop("bytes")
         out = leaf if out is None else out.unionByName(leaf)
         if depth == DEPTH:
             break
         wide = level.filter(F.col("members") > SMALL)
         if wide.isEmpty():
             break
-        pick = lambda j: F.pmod(F.xxhash64("path", F.lit(j)), F.lit(SIGNATURE)).cast("int")
+        pick = lambda j: F.pmod(F.xxhash64("path", F.lit(j)), F.lit(places)).cast("int")
         deeper = F.array(*[F.xxhash64("path", F.lit(j), F.get("sig", pick(j))) for j in range(BRANCHES)])
-        level = wide.join(sets.select("rid", "sig"), "rid").select("rid", F.explode(deeper).alias("path"))
+        level = wide.select("rid", "bytes", "path").join(sets.select("rid", "sig"), "rid").select("rid", "bytes", F.explode(deeper).alias("path"))
     return out
 
 
 def _blocked(leaves: DataFrame) -> DataFrame:
-    """Adds the block pair of a bucket: sets of a bucket over ``BLOCK`` go to one task for each pair of blocks."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    """Adds the block pair of a bucket: of a bucket with more sets or bytes than a block holds,
+    one task gets each pair of blocks."""
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("weight") / BLOCK_BYTES), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
     rows = leaves.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.select("path", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "rid", F.col("_own").alias("own"))
@@ -168,20 +190,25 @@ def _countable(group: pa.Table) -> np.ndarray:
     return pair
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in _groups(batches):
-        if group.num_rows < 2:
-            continue
-        pair = _countable(group)
-        if not pair.any():
-            continue
-        sig = np.asarray(group.column("sig").combine_chunks().flatten()).reshape(-1, SIGNATURE)
-        agree = np.zeros(pair.shape, np.uint8)
-        for k in range(SIGNATURE):
-            agree += sig[:, k][:, None] == sig[:, k][None, :]
-        keep = (pair & (agree >= LIKELY * SIGNATURE)).any(axis=1)
-        if keep.any():
-            yield from group.select(["path", "x", "y", "rid", "own", "leaves", "copies"]).filter(pa.array(keep)).combine_chunks().to_batches()
+def _likely(agreeing: int):
+    """Keeps the rows of a bucket that agree with another one in ``agreeing`` places of the signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            if group.num_rows < 2:
+                continue
+            pair = _countable(group)
+            if not pair.any():
+                continue
+            sig = np.asarray(group.column("sig").combine_chunks().flatten()).reshape(group.num_rows, -1)
+            agree = np.zeros(pair.shape, np.uint16)
+            for k in range(sig.shape[1]):
+                agree += sig[:, k][:, None] == sig[:, k][None, :]
+            keep = (pair & (agree >= agreeing)).any(axis=1)
+            if keep.any():
+                yield from group.select(["path", "x", "y", "rid", "own", "leaves", "copies"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -218,10 +245,16 @@ def _roots(link: np.ndarray) -> np.ndarray:
 def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``doc_id, class_id, n_links`` for each row: the connected component of links of Jaccard
     similarity ``threshold`` or more, and the number of other rows that the row links to."""
-    rows = materialize(signatures(docs, n), "signatures")
-    sets = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    sets = materialize(sets.withColumn("rid", F.monotonically_increasing_id()), "sets")
-    leaves = materialize(_leaves(sets, runs_for(recall, threshold)), "leaves")
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError("threshold and recall are shares")
+    runs = runs_for(recall, threshold)
+    places = max(SIGNATURE, runs)
+    rows = materialize(signatures(docs, n, places).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    full = rows.filter("h1 is not null").select("doc_id", "h1", "h2", "rid", "sig", F.octet_length("text").cast("long").alias("bytes"))
+    # the row with the least number stands for all rows with its set
+    sets = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("rid").alias("rid"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig"))
+    sets = materialize(sets, "sets")
+    leaves = materialize(_leaves(sets, runs, places), "leaves")
     own = leaves.groupBy("rid").agg(F.collect_set("path").alias("leaves"))  # at most runs * BRANCHES^DEPTH
     key = ["path", "x", "y"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -231,37 +264,34 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
 
     described = sets.select("rid", "sig", "copies").join(own, "rid")
     buckets = _blocked(leaves.distinct()).join(described, "rid").select(*key, "rid", "own", "sig", "leaves", "copies")
-    likely = materialize(dealt(buckets).mapInArrow(_likely, "path bigint, x int, y int, rid bigint, own int, leaves array<bigint>, copies bigint"), "likely")
-
-    wanted = likely.select("rid").distinct().join(sets.select("rid", "least", "h1"), "rid")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("rid", "h1", "text")
+    near = _likely(agreeing_for(recall, threshold, places))
+    likely = materialize(dealt(buckets).mapInArrow(near, "path bigint, x int, y int, rid bigint, own int, leaves array<bigint>, copies bigint"), "likely")
+    texts = rows.select("rid", "text").join(likely.select("rid").distinct(), "rid")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            raw, at = vector.utf8(group.column("text"))
-            first, (s,) = shingles(raw, at, n, 1)
-            cut = first[:-1]
-            full = np.diff(first) > 0
-            h = np.zeros(len(cut), np.uint64)
-            if len(s):
-                h[full] = vector.mix(np.add.reduceat(vector.mix(s), cut[full]))
-            good = h.view(np.int64) == np.asarray(group.column("h1"))
-            _, once = np.unique(np.where(good, np.asarray(group.column("rid")), -1), return_index=True)
-            mine = np.sort([k for k in once if good[k]]).astype(np.int64)
-            if len(mine) < 2:
+            if group.num_rows < 2:
                 continue
-            held = group.take(pa.array(mine))
-            tokens = [np.unique(s[first[k] : first[k + 1]]) for k in mine]
+            raw, at = vector.utf8(group.column("text"))
+            tokens = []
+            for a, b in vector.row_groups(at):
+                first, (s,) = shingles(raw[at[a] : at[b]], at[a : b + 1] - at[a], n, 1)
+                tokens += [np.unique(s[i:j]) for i, j in zip(first, first[1:], strict=False)]
             size = np.array([len(t) for t in tokens], np.float64)
-            both = _shared(tokens).astype(np.float64)
-            link = _countable(held) & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9)
+            both = _shared(tokens)
+            link = _countable(group)
+            for a in range(0, len(link), 64):
+                part = both[a : a + 64].astype(np.float64)
+                link[a : a + 64] &= part >= threshold * (size[a : a + 64, None] + size[None, :] - part) - 1e-9
             linked = link.any(axis=1)
             if linked.any():
-                rid, copies = np.asarray(held.column("rid")), np.asarray(held.column("copies"))
-                yield pa.RecordBatch.from_arrays([pa.array(rid[linked]), pa.array(rid[_roots(link)][linked]), pa.array((link @ copies).astype(np.int64)[linked])], ["a", "b", "links"])
+                rid, copies = np.asarray(group.column("rid")), np.asarray(group.column("copies"))
+                links = np.array([copies[x].sum() for x in link[linked]], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[linked]), pa.array(rid[_roots(link)][linked]), pa.array(links)], ["a", "b", "links"])
 
-    checked = dealt(likely.join(texts, "rid").select(*key, "rid", "own", "leaves", "copies", "h1", "text"))
+    checked = dealt(likely.join(texts, "rid").select(*key, "rid", "own", "leaves", "copies", "text"))
     found = materialize(checked.mapInArrow(exact, "a bigint, b bigint, links bigint"), "found")
+    release(leaves, likely)
     root = components(found)
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     sets = sets.select("h1", "h2", "rid", "least", "copies").join(root, F.col("rid") == F.col("node"), "left").join(links, F.col("rid") == F.col("a"), "left")
