@@ -5,24 +5,33 @@ is a segment of about ``SEGMENT`` tokens that holds its terms and, for each term
 the ascending places where it stands. Places of one segment run on from document to
 document with a gap between them, so a phrase can't cross two.
 
-``search`` takes the test phrases (in blocks of at most ``BLOCK`` items, sent to
-every task, so that what is broadcast has a bound) and, in each segment, starts
-from a phrase's rarest term and intersects the offset-adjusted lists of the other
-terms, rarest first. ``slop`` > 0 turns phrase search into proximity search: each
-term may stand up to ``slop`` places from where the phrase has it.
+``search`` turns the test items into phrases, in blocks of at most ``BLOCK`` phrases,
+so that what is sent to every task has a bound however many or long the items are;
+several blocks are searched one after another, and only hits are kept between them.
+In a segment, the terms that it shares with the block lead to the phrases whose
+rarest term they are, and only those with all terms present are looked at, so
+phrases that don't occur cost nothing. Such a phrase starts from its rarest list and
+intersects the offset-adjusted lists of the other terms, rarest first.
+
+``slop`` > 0 is proximity search: a phrase is found at a start s inside one document
+if each term k of it stands within ``slop`` places of s + k there; the words hit are
+all those that so match. One word may match a term that the phrase repeats twice.
 
 No row is ever shuffled by a term, so frequent words and passages that a third of
 the rows share cost no more than their own segment. Edge cases: null text has no
-words and no hits; repeated documents each get their row; an item without words
-has no window; an item without an id marks words but isn't listed; an empty
-benchmark hits nothing; extra columns are not read.
+words and no hits; repeated documents each get their row; a very long text is indexed
+whole; an item without words has no window; of equal items all are listed; an item
+without an id marks words but isn't listed; an empty benchmark hits nothing; an
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +46,7 @@ from corvane.llm.common import materialize
 _RULE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 WINDOW = 13
 SEGMENT = 400_000
-BLOCK = 20_000
+BLOCK = 1 << 17
 
 INDEX_SCHEMA = "segment string, doc_ids array<{id}>, starts array<bigint>, sizes array<bigint>, terms array<binary>, bounds binary, places binary"
 
@@ -100,93 +109,141 @@ def build_index(docs: DataFrame, gap: int = 64) -> DataFrame:
     return materialize(rows.mapInArrow(run, INDEX_SCHEMA.format(id=kind.simpleString())), "postings")
 
 
-def _find(phrase: tuple[bytes, ...], lists: dict[bytes, np.ndarray], slop: int) -> np.ndarray:
-    """Places where the phrase starts, from its rarest term outwards."""
-    order = sorted(range(len(phrase)), key=lambda k: (len(lists[phrase[k]]), k))
-    first = order[0]
-    start = lists[phrase[first]] - first
-    for k in order[1:]:
-        if not len(start):
-            break
-        places = lists[phrase[k]]
-        at = np.searchsorted(places, start + k - slop)
-        near = places[np.minimum(at, len(places) - 1)]
-        start = start[(at < len(places)) & (near <= start + k + slop)]
-    return start
-
-
-def _blocks(items: Iterable, size: int) -> Iterator[dict]:
-    """Phrases and the ids of the items that have them, a bounded number of items at a time."""
-    block, n = {}, 0
+@dataclass(frozen=True)
+class Phrases:
+    """A block of phrases, as numbers of a sorted vocabulary."""
+
+    vocabulary: list[bytes]
+    terms: np.ndarray  # one row for each phrase, -1 beyond its end
+    by_rarest: np.ndarray  # phrases in order of their rarest term in the block
+    bounds: np.ndarray  # of each term its first phrase in by_rarest, one more at the end
+    items: list[tuple[str, ...]]
+
+    @staticmethod
+    def of(found: dict[tuple[bytes, ...], set]) -> Phrases:
+        used = Counter(w for p in found for w in set(p))
+        vocabulary = sorted(used)
+        number = {w: k for k, w in enumerate(vocabulary)}
+        terms = np.full((len(found), max(map(len, found), default=0)), -1, np.int32)
+        rarest = np.zeros(len(found), np.int32)
+        for k, p in enumerate(found):
+            terms[k, : len(p)] = [number[w] for w in p]
+            rarest[k] = number[min(p, key=lambda w: (used[w], w))]
+        order = np.argsort(rarest, kind="stable").astype(np.int32)
+        bounds = np.searchsorted(rarest[order], np.arange(len(vocabulary) + 1))
+        return Phrases(vocabulary, terms, order, bounds, [tuple(sorted(x for x in ids if x is not None)) for ids in found.values()])
+
+    def candidates(self, present: np.ndarray) -> np.ndarray:
+        """Phrases all of whose terms are ``present`` (a flag for each term)."""
+        there = np.flatnonzero(present)
+        first, n = self.bounds[there], self.bounds[there + 1] - self.bounds[there]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        found = self.by_rarest[np.repeat(first, n) + inner]
+        return found[(present[self.terms[found]] | (self.terms[found] < 0)).all(axis=1)]
+
+
+def _blocks(items: Iterable, size: int) -> Iterator[Phrases]:
+    """Phrases and the ids of the items that have them, ``size`` phrases at a time."""
+    block: dict[tuple[bytes, ...], set] = {}
     for item_id, text in items:
         for phrase in windows(text):
             block.setdefault(phrase, set()).add(None if item_id is None else str(item_id))
-        n += 1
-        if n >= size:
-            yield block
-            block, n = {}, 0
+            if len(block) >= size:
+                yield Phrases.of(block)
+                block = {}
     if block:
-        yield block
+        yield Phrases.of(block)
+
+
+def _find(lists: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray, slop: int) -> np.ndarray:
+    """Places of the words that match a phrase whose terms stand at ``lists``, from the rarest outwards."""
+    order = sorted(range(len(lists)), key=lambda k: (len(lists[k]), k))
+    rare = order[0]
+    doc = np.searchsorted(starts, lists[rare], "right") - 1
+    moved = np.arange(-slop, slop + 1)
+    start = (lists[rare][:, None] - rare + moved).ravel()
+    low, high = (np.repeat(x, len(moved)) for x in (starts[doc], starts[doc] + sizes[doc] - 1))
+
+    def reach(k: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(lists[k], np.maximum(start + k - slop, low)), np.searchsorted(lists[k], np.minimum(start + k + slop, high), "right")
+
+    for k in order[1:]:
+        first, last = reach(k)
+        keep = first < last
+        start, low, high = start[keep], low[keep], high[keep]
+        if not len(start):
+            return start
+    out = []
+    for k in order:
+        first, last = reach(k)
+        for step in range(2 * slop + 1):
+            out.append(lists[k][(first + step)[first + step < last]])
+    return np.concatenate(out)
 
 
 def search(index: DataFrame, items: DataFrame, slop: int = 0, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_words, n_hit, items`` for every document of the index."""
     spark = index.sparkSession
-    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>"
-    phrases = list(_blocks(((r["item_id"], r["text"]) for r in items.select("item_id", "text").toLocalIterator()), block)) or [{}]
-    if len(phrases) > 1:
-        return _merged([_pass(index, spark.sparkContext.broadcast(p), slop, schema, True) for p in phrases])
-    return _pass(index, spark.sparkContext.broadcast(phrases[0]), slop, schema, False)
+    blocks = _blocks(((r["item_id"], r["text"]) for r in items.select("item_id", "text").toLocalIterator()), block)
+    held = [next(blocks, Phrases.of({})), next(blocks, None)]
+    if held[1] is None:
+        return _pass(index, spark.sparkContext.broadcast(held[0]), slop, False).select("doc_id", "n_words", "n_hit", "items")
+    parts = []
+    for phrases in itertools.chain(held, blocks):
+        sent = spark.sparkContext.broadcast(phrases)
+        parts.append(materialize(_pass(index, sent, slop, True).filter("n_hit > 0").select("segment", "place", "hit", "items"), "hits"))
+        sent.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    merged = every.groupBy("segment", "place").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
+    docs = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("place", "d")).select("segment", F.col("place").cast("long").alias("place"), "d.doc_ids", "d.sizes")
+    found = docs.join(merged, ["segment", "place"], "left")
+    return found.select(F.col("doc_ids").alias("doc_id"), F.col("sizes").alias("n_words"), F.coalesce("n", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("i", F.array().cast("array<string>")).alias("items"))
 
 
-def _pass(index: DataFrame, sent, slop: int, schema: str, with_places: bool) -> DataFrame:
+def _pass(index: DataFrame, sent, slop: int, with_places: bool) -> DataFrame:
+    """One block of phrases against every segment; ``with_places`` adds the words hit and where the document's row is."""
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>" + (", hit array<bigint>, segment string, place bigint" if with_places else "")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = sent.value
-        vocabulary = pa.array(sorted({w for p in phrases for w in p}), pa.binary())
-        spelled = vocabulary.to_pylist()
+        phrases: Phrases = sent.value
+        vocabulary = pa.array(phrases.vocabulary, pa.binary())
         for batch in batches:
             for r in range(batch.num_rows):
                 segment, ids, starts, sizes, terms, bounds, places = (batch.column(k)[r] for k in range(7))
                 starts, sizes = np.array(starts.values), np.array(sizes.values)
                 bounds, places = np.frombuffer(bounds.as_py(), np.int32), np.frombuffer(places.as_py(), np.int32)
-                known = pc.index_in(terms.values, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False) if len(spelled) else np.zeros(0, np.int64)
-                lists = {spelled[known[k]]: places[bounds[k] : bounds[k + 1]].astype(np.int64) for k in np.flatnonzero(known >= 0)}
-                reach = int(starts[-1] + sizes[-1]) + 1 if len(starts) else 1
-                edge = np.zeros(reach + 1, np.int32)
+                known = pc.index_in(terms.values, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+                own = np.flatnonzero(known >= 0)
+                where = np.full(len(vocabulary) + 1, -1)
+                where[known[own]] = own
+                hit = np.zeros(int(starts[-1] + sizes[-1]) if len(starts) else 0, bool)
                 found: dict[int, set] = {}
-                for phrase, names in phrases.items():
-                    if not all(w in lists for w in phrase):
-                        continue
-                    at = _find(phrase, lists, slop)
+                lists: dict[int, np.ndarray] = {}
+                for p in phrases.candidates(where[:-1] >= 0):
+                    phrase = [t for t in phrases.terms[p].tolist() if t >= 0]
+                    for t in phrase:
+                        if t not in lists:
+                            lists[t] = places[bounds[where[t]] : bounds[where[t] + 1]].astype(np.int64)
+                    at = _find([lists[t] for t in phrase], starts, sizes, slop)
                     if len(at):
-                        at = np.maximum(at, 0)
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, np.minimum(at + len(phrase), reach), -1)
-                        for d in np.unique(np.searchsorted(starts, at, "right") - 1):
-                            found.setdefault(int(d), set()).update(names)
-                upto = np.concatenate([[0], np.cumsum(np.cumsum(edge[:reach]) > 0)])
-                n_hit = upto[np.minimum(starts + sizes, reach)] - upto[np.minimum(starts, reach)]
-                items = [sorted(x for x in found.get(d, ()) if x is not None) for d in range(len(starts))]
+                        hit[at] = True
+                        for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
+                            found.setdefault(d, set()).update(phrases.items[p])
+                upto = np.concatenate([[0], np.cumsum(hit)])
+                n_hit = upto[starts + sizes] - upto[starts]
+                items = [sorted(found.get(d, ())) for d in range(len(starts))]
                 cols = [ids.values, pa.array(sizes, pa.int64()), pa.array(n_hit.astype(np.int64)), pa.array(items, pa.list_(pa.string()))]
                 names = ["doc_id", "n_words", "n_hit", "items"]
                 if with_places:
-                    hit = np.cumsum(edge[:reach]) > 0
-                    cols.append(pa.array([np.flatnonzero(hit[s : s + n]).tolist() for s, n in zip(starts, sizes, strict=True)], pa.list_(pa.int64())))
-                    cols.append(pa.array([f"{segment}:{d}" for d in range(len(starts))], pa.string()))
-                    names += ["hit", "_row"]
+                    marked = [np.flatnonzero(hit[s : s + n]) if h else [] for s, n, h in zip(starts, sizes, n_hit, strict=True)]
+                    cols += [pa.array(marked, pa.list_(pa.int64())), pa.array([segment.as_py()] * len(starts), pa.string()), pa.array(np.arange(len(starts)))]
+                    names += ["hit", "segment", "place"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return index.mapInArrow(run, schema + (", hit array<bigint>, _row string" if with_places else ""))
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """Results of several blocks of items; a document's row is known by its segment and place."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    rows = every.groupBy("_row", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return rows.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "items")
+    return index.mapInArrow(run, schema)
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:
