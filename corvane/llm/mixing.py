@@ -14,7 +14,9 @@ the cut is small; only that bucket is sorted.
 
 Edge cases: null text has size 0 and is never taken; null sources sort last and
 form a source of their own; rows equal in id, key and size are interchangeable;
-an empty table gives no rows; only ``doc_id``, ``text`` and ``source`` are read.
+of equal finish times all or none are served; a very long text counts whole; an
+empty table gives no rows; only ``doc_id``, ``text``, ``source`` and the columns to
+carry are read, and no other column's name matters.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import count_space_words, materialize
+from corvane.llm.common import count_space_words, materialize, running_sums
 
 #: Rows that one slice of a source should hold, and buckets in each pass that looks for the cut.
 SLICE_ROWS = 4096
@@ -40,20 +42,20 @@ def targets(sources: DataFrame, repeats: int = 3) -> DataFrame:
     null last; none above ``repeats`` times its size, the excess shared again by weight.
 
     Closed form: in ascending order of limit per weight the limited sources come
-    first, so running sums decide. One row per source; sources are a catalogue.
+    first, so running sums decide. Both orders are dealt by ranges, so sources may be
+    as many as hosts.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    t = sources.withColumn("_place", place).withColumn("weight", ((F.col("_place") - 1) % 3 + 1).cast("long"))
-    t = t.withColumn("_limit", F.col("source_size") * repeats)
-    up = Window.orderBy((F.col("_limit") / F.col("weight")).asc(), F.col("_place").asc())
-    before, whole = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    t = t.withColumn("_left", F.sum("source_size").over(whole) - F.coalesce(F.sum("_limit").over(before), F.lit(0)))
-    t = t.withColumn("_weights", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    t = t.withColumn("_level", F.col("_left") / F.col("_weights"))
+    t = running_sums(sources, [F.col("source").asc_nulls_last()], {"_before": F.lit(1)}, "source-places")
+    t = t.withColumn("_place", F.col("_before") + 1).withColumn("weight", (F.col("_before") % 3 + 1).cast("long")).drop("_before")
+    t = t.withColumn("_limit", F.col("source_size") * repeats).withColumn("_ratio", F.col("_limit") / F.col("weight"))
+    t = running_sums(t, [F.col("_ratio").asc(), F.col("_place").asc()], {"_limits": F.col("_limit"), "_lighter": F.col("weight")}, "source-limits")
+    size, weights = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    t = t.withColumn("_level", (F.lit(size) - F.col("_limits")) / (F.lit(weights) - F.col("_lighter")))
     t = t.withColumn("_full", F.col("_limit") <= F.col("_level") * F.col("weight"))
-    first_open = F.min(F.when(~F.col("_full"), F.struct((F.col("_limit") / F.col("weight")).alias("r"), F.col("_place").alias("p"), F.col("_level").alias("level")))).over(whole)
-    target = F.when(F.col("_full"), F.col("_limit").cast("double")).otherwise(F.col("weight") * first_open["level"])
-    return t.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"), F.col("_place").cast("long").alias("_place"))
+    first_open = t.filter(~F.col("_full")).agg(F.min(F.struct(F.col("_ratio").alias("r"), F.col("_place").alias("p"), F.col("_level").alias("level")))).first()[0]
+    level = F.lit(None if first_open is None else first_open["level"]).cast("double")
+    target = F.when(F.col("_full"), F.col("_limit").cast("double")).otherwise(F.col("weight") * level)
+    return t.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
 def fair_mix(docs: DataFrame, repeats: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -9,21 +9,20 @@ prune on every one of the columns.
 Only the key columns are sorted, never the texts: one narrow table is written,
 range-partitioned by (curve index, tie columns), numbered inside each partition,
 and offset by the counts of the partitions before. A hot cell is split because
-the tie columns are part of the range key. Edge cases: null metadata sorts first
-(quantum 0); rows equal in all keys are interchangeable; an empty table gives no
-rows; columns other than those named are not read.
+the tie columns are part of the range key. The share of rows whose source or
+language is smaller comes from running sums over ranges of the distinct values, so
+these may be as many as hosts. Edge cases: null metadata sorts first (quantum 0);
+rows equal in all keys are interchangeable; a null text has 16 bytes; a very long
+text is measured and summed whole; an empty table gives no rows; columns other than
+those named are not read, and whatever their names they are carried unchanged.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize
-
-PLACE_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
+from corvane.llm.common import fresh, materialize, running_sums, with_row_key
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -74,36 +73,17 @@ def quantise_number(col: Column, low: Column, high: Column, bits: int) -> Column
     return F.coalesce(F.least(F.floor(share * cells), F.lit(cells - 1)), F.lit(0)).cast("long")
 
 
-def quantise_text(keys: DataFrame, name: str, bits: int) -> DataFrame:
-    """Adds ``_q_<name>``: the share of rows whose value is smaller, in 2^bits steps.
+def quantise_text(keys: DataFrame, name: str, bits: int, total: int) -> DataFrame:
+    """Adds ``_q_<name>``: the share of the ``total`` rows whose value is smaller, in 2^bits steps.
 
-    The value counts are one row per distinct value; the join's side is left to
-    the planner, so nothing of unchecked size is broadcast.
+    The join's side is left to the planner, so nothing of unchecked size is broadcast.
     """
     counts = keys.groupBy(F.coalesce(F.col(name), F.lit("")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("_n").over(Window.partitionBy())
-    codes = counts.select("_v", F.floor(F.coalesce(before, F.lit(0)) * (1 << bits) / total).cast("long").alias(f"_q_{name}"))
+    counts = running_sums(counts, ["_v"], {"_smaller": F.col("_n")}, f"shares-{name}")
+    codes = counts.select("_v", F.floor(F.col("_smaller") * (1 << bits) / F.lit(max(1, total))).cast("long").alias(f"_q_{name}"))
     return keys.join(codes, F.coalesce(F.col(name), F.lit("")) == F.col("_v")).drop("_v")
 
 
-def ranked(keys: DataFrame, order: list[str], label: str) -> DataFrame:
-    """Adds ``_rank``, from 0, in the global order of ``order``; no task gets more than a range."""
-    parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = materialize(placed, label)
-    part = F.call_function("shiftright", F.col("_at"), F.lit(PLACE_BITS))
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(
-        F.col("_part").alias("_start_part"),
-        F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-    )
-    # one row for each partition, at most spark.sql.shuffle.partitions of them
-    return placed.join(F.broadcast(starts), part == F.col("_start_part")).select(
-        *keys.columns, (F.col("_start") + F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1)).alias("_rank")
-    )
-
-
 def equal_runs(rank: Column, total: Column, shards: int) -> tuple[Column, Column]:
     """Shard and slot of a rank when ``total`` rows are cut into ``shards`` runs, counts at most one apart."""
     base, more = F.floor(total / shards), total % shards
@@ -113,38 +93,38 @@ def equal_runs(rank: Column, total: Column, shards: int) -> tuple[Column, Column
     return shard.cast("int"), slot.cast("long")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 40, bits: int = 8) -> DataFrame:
-    """``doc_id, source, lang, size, text_crc32, shard, slot`` for each row of ``docs``.
+def hilbert_shards(docs: DataFrame, shards: int = 40, bits: int = 8, key: str | None = None) -> DataFrame:
+    """``doc_id, source, lang, size, text_crc32, curve, shard, slot`` for each row of ``docs``; a column
+    ``key`` of it is added as ``row_key``.
 
     Axes: source, language and the logarithm of the size in bytes.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keys = materialize(
-        docs.select("doc_id", "source", "lang", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32")), "shard-keys"
-    )
-    keys = quantise_text(quantise_text(keys, "source", bits), "lang", bits)
-    grown = F.log2(F.col("size").cast("double"))
-    span = keys.agg(F.min("size").alias("_low"), F.max("size").alias("_high"), F.count(F.lit(1)).alias("_total"))
-    keys = keys.crossJoin(F.broadcast(span))  # one row
-    size_code = quantise_number(grown, F.log2(F.col("_low").cast("double")), F.log2(F.col("_high").cast("double")), bits)
-    keys = keys.withColumn("_q_size", size_code)
-    keys = keys.withColumn("curve", hilbert_index([F.col("_q_source"), F.col("_q_lang"), F.col("_q_size")], bits)).drop("_q_source", "_q_lang", "_q_size", "_low", "_high")
-    rows = ranked(keys, ["curve", "size", "text_crc32", "doc_id", "source", "lang"], "shard-order")
-    shard, slot = equal_runs(F.col("_rank"), F.col("_total"), shards)
-    return rows.select("doc_id", "source", "lang", "size", "text_crc32", "curve", shard.alias("shard"), slot.alias("slot"))
-
-
-def with_texts(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with their shard and slot. Rows that agree in all keys are numbered
-    among themselves, so that repeated rows take one place each."""
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keys = ["doc_id", "source", "lang", "size", "text_crc32"]
-    own = docs.withColumn("size", (F.octet_length(raw) + 16).cast("long")).withColumn("text_crc32", F.crc32(raw).cast("long"))
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
-    left = own.withColumn("_n", nth("doc_id"))
-    right = placed.withColumn("_n", nth("shard", "slot")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_n").alias("_m"), "shard", "slot")
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_n") == F.col("_m"))
-    return left.join(right, same).select(*docs.columns, "shard", "slot")
+    ids = [F.col(key).alias("row_key")] if key else []
+    keys = docs.select("doc_id", "source", "lang", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), *ids)
+    keys = materialize(keys, "shard-keys")
+    named = keys.columns
+    low, high, total = keys.agg(F.coalesce(F.min("size"), F.lit(16)), F.coalesce(F.max("size"), F.lit(16)), F.count(F.lit(1))).first()
+    keys = quantise_text(quantise_text(keys, "source", bits, total), "lang", bits, total)
+    grown = lambda x: F.log2(x.cast("double"))
+    size_code = quantise_number(grown(F.col("size")), grown(F.lit(low)), grown(F.lit(high)), bits)
+    curve = hilbert_index([F.col("_q_source"), F.col("_q_lang"), size_code], bits)
+    # written, since range bounds are sampled from it first
+    keys = materialize(keys.select(*named, curve.alias("curve")), "curve")
+    rows = running_sums(keys, ["curve", "size", "text_crc32", "doc_id", "source", "lang"], {"_rank": F.lit(1)}, "shard-order")
+    shard, slot = equal_runs(F.col("_rank"), F.lit(total), shards)
+    return rows.select(*named, "curve", shard.alias("shard"), slot.alias("slot"))
+
+
+def sharded(docs: DataFrame, shards: int = 40, bits: int = 8) -> DataFrame:
+    """The rows of ``docs``, all columns, with their ``shard`` and ``slot``; underscores follow
+    these names where ``docs`` has them itself."""
+    key = fresh(docs.columns, "_key")
+    shard, slot = fresh(docs.columns, "shard"), fresh(docs.columns, "slot")
+    rows = with_row_key(docs, key)
+    placed = hilbert_shards(rows, shards, bits, key)
+    placed = placed.select(F.col("row_key").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    return rows.join(placed, key).select(*docs.columns, shard, slot)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
