@@ -6,13 +6,13 @@ digit run is tried once from its start, an e-mail address is grown outwards from
 its ``@``.
 
 Edge cases: a null text counts as empty and has no spans; rows are judged one by
-one, so ties and repeated rows give equal results; other columns are not read.
-Offsets are code points, ends exclusive.
+one, so repeated rows give equal results; of spans that start alike the kind listed
+first comes first; a very long text is searched whole; an empty table gives no rows;
+other columns are not read. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -166,11 +166,3 @@ def detect(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans {SPAN_SCHEMA}" + (", redacted string" if with_text else ""))
-
-
-def joined(spans: list[Span]) -> str:
-    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
-
-
-def base_digest(spans: list[Span]) -> str:
-    return hashlib.sha256(joined([s for s in spans if s.kind in BASE]).encode()).hexdigest()

@@ -8,18 +8,25 @@ on the leading singular vectors of a labelled sample. The sample's vectors, at m
 cosines to all of them are computed in blocks, and the nearest ``NEIGHBOURS`` vote
 with their similarity as weight.
 
-One pass over the texts, no shuffle of texts. Learning takes the rows with the least
-id hashes among the labelled ones that are not held out, so it costs the same at
-any size. Edge cases: a text without a word gets the share of label 1 in the sample;
-without a labelled row every score is 0.5; null labels and ids are not learned from;
-repeated rows get equal scores; an empty table gives no rows; extra columns are not
-read.
+Vectors are rounded to multiples of 1 / ``GRID``. Products of such numbers and their
+sums are exact in single precision, so a cosine is the same in whatever block it is
+computed, and equal cosines are equal: of those at the last place the voters that
+come first (by id, as a string) vote.
+
+One pass over the texts, no shuffle of texts. Learning takes the ids with the least
+hashes among the labelled ones that are not held out, and one row of each, so it
+costs the same at any size and whatever ids repeat. Edge cases: a text without a
+word gets the share of label 1 in the sample; without a labelled row every score is
+0.5; null labels and ids are not learned from; of several labels of an id the least
+counts, of several texts the one with the least hash; repeated rows get equal
+scores; a very long text is counted whole; an empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,11 @@ RANK = 64
 NEIGHBOURS = 25
 #: Bound on the labelled rows that the space and the voters come from.
 SAMPLE = 4000
+#: Similarities vote with this power, so that near voters outweigh the many that share common words.
 POWER = 8
+GRID = 2048
+#: Documents in a block.
+ROWS = 256
 
 _FLAG = np.zeros(256, np.uint8)
 _FLAG[[*b"abcdefghijklmnopqrstuvwxyz"]] = 1
@@ -71,22 +82,29 @@ class Space:
     prior: float
 
     def vectors(self, c: np.ndarray) -> np.ndarray:
-        v = (np.log1p(c) * self.idf) @ self.axes
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return _unit(np.log1p(c.astype(np.float64)) * self.idf @ self.axes)
 
     def scores(self, c: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(c), 0.5)
         cosine = self.vectors(c) @ self.voters.T
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** POWER
-        vote = (weight * self.labels[near]).sum(axis=1)
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        nearer, level = cosine > last, cosine == last
+        votes = nearer | level & (np.cumsum(level, axis=1) <= k - nearer.sum(axis=1, keepdims=True))
+        weight = np.where(votes, np.maximum(cosine, 0), 0).astype(np.float64) ** POWER
+        vote = (weight * self.labels).sum(axis=1)
         total = weight.sum(axis=1)
         score = np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.prior)
         return np.where(c.any(axis=1), score, self.prior)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of unit length on the grid."""
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return (np.round(unit * GRID) / GRID).astype(np.float32)
+
+
 def _space(c: np.ndarray, labels: np.ndarray) -> Space:
     if not len(labels):
         return Space(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
@@ -98,21 +116,29 @@ def _space(c: np.ndarray, labels: np.ndarray) -> Space:
     for _ in range(4):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
-    axes = np.ascontiguousarray((q @ vt.T)[:, :rank], dtype=np.float32)
-    v = x @ axes
-    return Space(idf, axes, (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32), labels, float(labels.mean()))
+    axes = np.ascontiguousarray((q @ vt.T)[:, :rank], dtype=np.float64)
+    space = Space(idf.astype(np.float64), axes, np.zeros((0, rank), np.float32), labels, float(labels.mean()))
+    return replace(space, voters=np.concatenate([space.vectors(c[k : k + ROWS]) for k in range(0, len(c), ROWS)]))
+
+
+def _steps(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Blocks of at most ``ROWS`` rows of a bounded size; a longer row is a block of its own."""
+    for a, b in vector.row_groups(at, vector.PIECE // 2):
+        for i in range(a, b, ROWS):
+            yield i, min(b, i + ROWS)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space:
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = rows.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = rows.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # `sample` narrow rows at most
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text").isNull())).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = vector.utf8(batch.column(2))
-            for a, b in vector.row_groups(at):
+            for a, b in _steps(at):
                 c = counts(raw[at[a] : at[b]], at[a : b + 1] - at[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.string()), batch.column(1).slice(a, b - a), pa.array([x.astype(np.uint32).tobytes() for x in c])], ["doc_id", "quality", "counts"])
 
@@ -130,10 +156,8 @@ def score(docs: DataFrame, space: Space) -> DataFrame:
         own = sent.value
         for batch in batches:
             raw, at = vector.utf8(batch.column(1))
-            for a, b in vector.row_groups(at, vector.PIECE // 2):
-                for i in range(a, b, 256):
-                    j = min(b, i + 256)
-                    s = own.scores(counts(raw[at[i] : at[j]], at[i : j + 1] - at[i]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.round(np.clip(s, 0, 1), 6))], ["doc_id", "score"])
+            for a, b in _steps(at):
+                s = own.scores(counts(raw[at[a] : at[b]], at[a : b + 1] - at[a]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.round(np.clip(s, 0, 1), 6))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double")

@@ -53,6 +53,25 @@ def test_pii_table(spark):
     assert pii.detect(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_pii_query_equals_plain_search(spark, sf):
+    import hashlib
+
+    from corvane.llm import common, queries
+
+    sf = f"/root/testdata/{sf}"
+    got = {r.doc_id: r for r in queries.op3_pii(spark, sf).collect()}
+    texts = common.table(spark, sf, "documents").select("doc_id", "text").collect()
+    assert len(got) == len(texts)
+    for doc_id, text in texts:
+        r, want = got[doc_id], plain_spans(text or "")
+        joined = [f"{k}:{a}:{b}" for k, a, b in want]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in want) for kind in pii.BASE]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in pii.BASE] == joined
+        assert r.spans == ",".join(f"{s.kind}:{s.start}:{s.end}" for s in pii.find_spans(text))
+
+
 def plain_rules(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -91,16 +110,65 @@ def test_classifier_learns_from_labels_only(spark):
     assert {r.score for r in quality_classifier.score(d, quality_classifier.learn(d, labels.limit(0))).collect()} == {0.5}
 
 
+def plain_score(space, c):
+    """Every voter's cosine by itself, the nearest by (cosine, place)."""
+    if not c.any():
+        return space.prior
+    v = space.vectors(c[None, :])[0].astype(float)
+    sims = [sum(a * b for a, b in zip(v.tolist(), u.tolist(), strict=True)) for u in space.voters.astype(float)]
+    near = sorted(range(len(sims)), key=lambda k: (-sims[k], k))[: quality_classifier.NEIGHBOURS]
+    weight = [max(sims[k], 0) ** quality_classifier.POWER for k in near]
+    return sum(w * space.labels[k] for w, k in zip(weight, near, strict=True)) / sum(weight)
+
+
 def test_blocked_cosines_equal_one_product():
     rng = np.random.default_rng(0)
-    c = rng.integers(0, 3, (40, quality_classifier.TERMS)).astype(np.float32)
-    space = quality_classifier._space(c, rng.integers(0, 2, 40).astype(float))
-    v = space.vectors(c)
-    for k in range(40):
-        sim = v[k] @ v.T
-        near = np.argsort(-sim)[: quality_classifier.NEIGHBOURS]
-        weight = np.maximum(sim[near], 0) ** quality_classifier.POWER
-        assert space.scores(c[k : k + 1])[0] == pytest.approx((weight * space.labels[near]).sum() / weight.sum(), abs=1e-4)
+    c = rng.integers(0, 3, (60, quality_classifier.TERMS)).astype(np.float32)
+    c[20:50] = c[7]  # ties across the last place
+    space = quality_classifier._space(c, rng.integers(0, 2, 60).astype(float))
+    together = space.scores(c)
+    for k in range(60):
+        assert space.scores(c[k : k + 1])[0] == together[k] == pytest.approx(plain_score(space, c[k]), abs=1e-9)
+    assert len(set(together[20:50])) == 1
+
+
+def test_the_sample_has_one_row_for_each_id(spark):
+    d = spark.createDataFrame([(1, f"text number {k}") for k in range(500)] + [(2, "another"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, None), (None, 1)], "doc_id long, quality int")
+    space = quality_classifier.learn(d, labels)
+    assert space.labels.tolist() == [0.0, 1.0]
+
+
+def test_classifier_query_equals_plain_votes(spark):
+    """The registered query on a whole small table; accuracy on rows that nothing was learned from."""
+    import zlib
+
+    from corvane.llm import common, queries
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    space = quality_classifier.learn(docs, labels)
+    got = {r.doc_id: r for r in queries.op1_quality_classifier(spark, sf).collect()}
+    rows, truth = docs.select("doc_id", "text").collect(), {r.doc_id: r.quality for r in labels.collect()}
+    assert len(got) == len(rows)
+    right = []
+    for k, r in enumerate(rows):
+        held = zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+        assert got[r.doc_id].held_out == held and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+        if held and r.doc_id in truth:
+            right.append(got[r.doc_id].predicted == truth[r.doc_id])
+        if k % 10 == 0:
+            raw = np.frombuffer((r.text or "").encode(), np.uint8)
+            assert got[r.doc_id].score == pytest.approx(plain_score(space, quality_classifier.counts(raw, np.array([0, len(raw)]))[0]), abs=2e-6)
+    assert len(right) > 50 and sum(right) / len(right) > 0.97
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    good, bad = "the river of light ", "win### cash### now### "
+    d = spark.createDataFrame([(k, good * 20 if k % 2 else bad * 20) for k in range(60)] + [(100, good * 2 + bad * 200_000), (101, bad * 2 + good * 200_000)], "doc_id long, text string")
+    space = quality_classifier.learn(d, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality_classifier.score(d.filter("doc_id >= 100"), space).collect()}
+    assert got[100] < 0.3 < 0.9 < got[101]
 
 
 def test_blocks_of_a_page():
