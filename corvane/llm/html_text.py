@@ -8,11 +8,14 @@ is article text. The model is trained once per process, in seconds and from a
 fixed seed, on pages that ``layouts`` composes from many site structures; it is
 some hundred kilobytes and travels with the task.
 
-One pass, no shuffle. Edge cases: null or empty html gives the empty text; a page
+One pass, no shuffle. Pages of like length go through the model together, at most
+``CELLS`` blocks at once; a longer page goes through alone, in slices that hand the
+state on, so memory doesn't grow with the number of blocks times the vector. Edge cases: null or empty html gives the empty text; a page
 cut off anywhere is read as far as it goes; scripts, styles, templates, titles,
 markup and HTML comments are never text, and what stands inside any other element
 (svg, math, iframe, noscript, object, canvas, custom elements) is judged as text;
-nothing is capped; repeated rows give equal results; an empty table gives no rows; extra columns are not read.
+nothing is capped, and a very long block or page is read whole; repeated rows give
+equal results; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from pyspark.sql import DataFrame
 PATH_TERMS, WORD_TERMS, MEASURES = 96, 64, 10
 INPUTS = PATH_TERMS + WORD_TERMS + MEASURES
 HIDDEN = 20
-BATCH = 64
+#: Blocks that go through the model at once.
+CELLS = 1 << 14
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -148,13 +152,15 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return v
 
 
-def features(page: list[Block]) -> np.ndarray:
-    x = np.zeros((len(page), INPUTS), np.float32)
-    for k, b in enumerate(page):
+def features(page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """Vectors of the blocks ``first`` to ``last`` - 1 of a page."""
+    some = page[first:last]
+    x = np.zeros((len(some), INPUTS), np.float32)
+    for k, b in enumerate(some):
         x[k, :PATH_TERMS] = _path_vector(b.path)
         n = len(b.text)
-        for w in _WORD.findall(b.text):
-            x[k, PATH_TERMS + _hash(w.lower(), WORD_TERMS)] += 1
+        for m in _WORD.finditer(b.text):
+            x[k, PATH_TERMS + _hash(m[0].lower(), WORD_TERMS)] += 1
         words = max(1, b.text.count(" ") + 1)
         dots = sum(map(b.text.count, ".!?"))
         x[k, -MEASURES:] = (
@@ -164,8 +170,8 @@ def features(page: list[Block]) -> np.ndarray:
             min(1.0, dots / words * 4),
             b.text[-1:] in ".!?",
             "©" in b.text,
-            k / len(page),
-            1 / (1 + k),
+            (first + k) / len(page),
+            1 / (1 + first + k),
             len(b.path) / 10,
             len(page) < 4,
         )
@@ -192,11 +198,11 @@ class Labeller:
         self.p["o"] = (rng.normal(size=(2 * hidden + inputs,)) * 0.05).astype(np.float32)
         self.p["oc"] = np.zeros(1, np.float32)
 
-    def _scan(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _scan(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
         steps, n, _ = x.shape
         size = self.hidden
         z_in = x @ self.p[d + "w"] + self.p[d + "c"]
-        h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
+        h, c = state or (np.zeros((n, size), np.float32), np.zeros((n, size), np.float32))
         out, tape = np.zeros((steps, n, size), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = z_in[t] + h @ self.p[d + "u"]
@@ -210,15 +216,17 @@ class Labeller:
                 tape.append((t, h, c, i, f, o, g, tc, m))
             c, h = np.where(m, c_new, c), np.where(m, h_new, h)
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
+
+    def _output(self, *parts: np.ndarray) -> np.ndarray:
+        return _sigmoid(np.concatenate(parts, axis=2) @ self.p["o"] + self.p["oc"][0])
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """x: steps, pages, inputs. Probability that a block is article text, for each step and page."""
-        f, tf = self._scan(x, mask, "f", keep)
-        b, tb = self._scan(x, mask, "b", keep)
-        joined = np.concatenate([f, b, x], axis=2)
-        p = _sigmoid(joined @ self.p["o"] + self.p["oc"][0])
-        return (p, joined, tf, tb) if keep else p
+        f, tf, _ = self._scan(x, mask, "f", keep)
+        b, tb, _ = self._scan(x, mask, "b", keep)
+        p = self._output(f, b, x)
+        return (p, np.concatenate([f, b, x], axis=2), tf, tb) if keep else p
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, joined, tf, tb = self.forward(x, mask, True)
@@ -242,18 +250,37 @@ class Labeller:
             g |= {d + "w": dw, d + "u": du, d + "c": dc0}
         return g
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Probabilities for the blocks of each page; pages of like length go through together."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for first in range(0, len(order), BATCH):
-            some = order[first : first + BATCH]
-            x, mask = _padded([pages[k] for k in some])
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+        while order:
+            if len(pages[order[-1]]) > CELLS:
+                k = order.pop()
+                out[k] = self._alone(pages[k])
+                continue
+            n = max(1, CELLS // len(pages[order[-1]]))
+            some, order = order[-n:], order[:-n]
+            x, mask = _padded([features(pages[k]) for k in some])
             p = self.forward(x, mask)
             for j, k in enumerate(some):
                 out[k] = p[: len(pages[k]), j]
         return out
 
+    def _alone(self, page: list[Block]) -> np.ndarray:
+        """The same for one long page, ``CELLS`` blocks at a time: forwards, then backwards."""
+        cuts = [(a, min(len(page), a + CELLS)) for a in range(0, len(page), CELLS)]
+        ahead, state = [], None
+        for a, b in cuts:
+            out, _, state = self._scan(features(page, a, b)[:, None], np.ones((b - a, 1), bool), "f", False, state)
+            ahead.append(out)
+        p, state = np.zeros(len(page), np.float32), None
+        for (a, b), f in zip(reversed(cuts), reversed(ahead), strict=True):
+            x = features(page, a, b)[:, None]
+            back, _, state = self._scan(x, np.ones((b - a, 1), bool), "b", False, state)
+            p[a:b] = self._output(f, back, x)[:, 0]
+        return p
+
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
@@ -264,15 +291,16 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 700, rounds: int = 14, seed: int = 11) -> Labeller:
-    """The model, fitted by Adam to composed pages."""
+def trained(pages: int = 1000, rounds: int = 14, seed: int = 11, part: int | None = None) -> Labeller:
+    """The model, fitted by Adam to composed pages; ``part`` leaves out every second layout family."""
     from corvane.llm import layouts
 
     rng = np.random.default_rng(seed)
     model = Labeller(rng)
+    families = layouts.FAMILIES if part is None else layouts.FAMILIES.half(part)
     data = []
     for _ in range(pages):
-        page, truth = layouts.compose(rng)
+        page, truth = layouts.compose(rng, families)
         found = blocks(page)
         data.append((features(found), np.array([layouts.is_main(b.text, truth) for b in found], np.float32)))
     data = sorted((d for d in data if len(d[0])), key=lambda d: len(d[0]))
@@ -298,7 +326,7 @@ def trained(pages: int = 700, rounds: int = 14, seed: int = 11) -> Labeller:
 
 def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     found = [blocks(p) for p in pages]
-    labels = model.label([features(f) for f in found])
+    labels = model.label(found)
     return ["\n".join(b.text for b, p in zip(f, ps, strict=True) if p >= 0.5) for f, ps in zip(found, labels, strict=True)]
 
 

@@ -7,6 +7,7 @@ truth is known after parsing; ``is_main`` reads it from a set instead of the tex
 from __future__ import annotations
 
 import html
+from dataclasses import dataclass, fields
 
 import numpy as np
 
@@ -21,6 +22,27 @@ NOISE = [
 COMMENTS = [("div", 'id="comments"'), ("section", 'class="comments"'), ("div", 'class="comment"'), ("ol", 'class="comment-list"'), ("div", 'class="replies"'), ("section", 'id="comments"')]
 FOOT = [("footer", ""), ("div", 'id="footer"'), ("div", 'class="footer"'), ("div", 'class="copyright"'), ("footer", 'class="site-footer"')]
 HEAD = [("header", ""), ("div", 'id="header"'), ("div", 'class="masthead"'), ("header", 'class="site-header"')]
+
+
+@dataclass(frozen=True)
+class Families:
+    """Elements that sites wrap each kind of content in."""
+
+    main: list
+    nav: list
+    noise: list
+    comments: list
+    foot: list
+    head: list
+
+    def half(self, part: int) -> Families:
+        """Every second family, from ``part`` on: those that a model trained on the other half has not seen."""
+        return Families(**{f.name: getattr(self, f.name)[part::2] for f in fields(self)})
+
+
+FAMILIES = Families(MAIN, NAV, NOISE, COMMENTS, FOOT, HEAD)
+#: Share of elements whose name says nothing about their content.
+OPAQUE = 0.2
 SMALL = ["Home", "About", "Contact", "Login", "Sign up", "Subscribe", "Menu", "Search", "Privacy policy", "Terms", "Read more", "Share", "Reply", "Next", "Previous", "Advertisement"]
 NOTES = ["We use cookies to improve this site.", "Accept all cookies", "Subscribe to our newsletter", "All rights reserved.", "Sign up for updates", "Follow us", "Leave a comment", "Related articles", "Posted by"]
 
@@ -46,7 +68,11 @@ def _some(rng: np.random.Generator) -> int:
     return int(min(160, rng.geometric([0.5, 0.1, 0.03][rng.integers(3)])))
 
 
-def _wrap(el: tuple[str, str], body: str) -> str:
+def _wrap(el: tuple[str, str], body: str, rng: np.random.Generator | None = None) -> str:
+    """``rng`` gives some elements a name that says nothing, as generated style sheets do."""
+    if rng is not None and rng.random() < OPAQUE:
+        name = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+        el = ("div" if rng.random() < 0.6 else el[0], f'class="{name}"' if rng.random() < 0.7 else "")
     return f"<{el[0]}{' ' if el[1] else ''}{el[1]}>{body}</{el[0]}>"
 
 
@@ -68,23 +94,23 @@ def _plain(rng: np.random.Generator) -> str:
     return html.escape(text) if kind < 0.4 else f"<p>{html.escape(text)}</p>"
 
 
-def _noise(rng: np.random.Generator) -> str:
+def _noise(rng: np.random.Generator, by: Families) -> str:
     kind = rng.random()
     if kind < 0.12:
         return f'<form action="/s"><label>{_pick(rng, SMALL)}</label><input name="q"><button>{_pick(rng, SMALL)}</button></form>'
     body = _links(rng) if rng.random() < 0.35 else "".join(_plain(rng) for _ in range(rng.integers(1, 3)))
     if rng.random() < 0.2:
         body = f"<h3>{html.escape(_words(rng, 3))}</h3>" + body
-    return _wrap(_pick(rng, NOISE), body)
+    return _wrap(_pick(rng, by.noise), body, rng)
 
 
-def _comments(rng: np.random.Generator) -> str:
+def _comments(rng: np.random.Generator, by: Families) -> str:
     one = lambda: _wrap(("div", 'class="comment"') if rng.random() < 0.7 else ("li", ""), "".join(f"<p>{html.escape(_words(rng, _some(rng)))}</p>" for _ in range(rng.integers(1, 3))))
     head = f"<h3>{_pick(rng, ['Comments', 'Replies', 'Leave a comment'])}</h3>" if rng.random() < 0.5 else ""
-    return _wrap(_pick(rng, COMMENTS), head + "".join(one() for _ in range(rng.integers(1, 5))))
+    return _wrap(_pick(rng, by.comments), head + "".join(one() for _ in range(rng.integers(1, 5))), rng)
 
 
-def _main(rng: np.random.Generator, truth: set[str]) -> str:
+def _main(rng: np.random.Generator, truth: set[str], by: Families) -> str:
     def said(n: int) -> str:
         text = _words(rng, n)
         truth.add(" ".join(text.split()))
@@ -111,33 +137,33 @@ def _main(rng: np.random.Generator, truth: set[str]) -> str:
         elif kind < 0.98:
             parts.append(f"<pre>{said(5)}</pre>")
         elif rng.random() < 0.5:
-            parts.append(_noise(rng))
+            parts.append(_noise(rng, by))
     body = "".join(parts)
     if rng.random() < 0.15:
-        body += _comments(rng)
-    body = _wrap(_pick(rng, MAIN), body)
+        body += _comments(rng, by)
+    body = _wrap(_pick(rng, by.main), body, rng)
     if rng.random() < 0.3:
         body = _wrap(_pick(rng, [("main", ""), ("div", 'class="wrapper"'), ("div", 'id="page"'), ("div", 'class="container"')]), body)
     return body
 
 
-def compose(rng: np.random.Generator) -> tuple[str, set[str]]:
+def compose(rng: np.random.Generator, by: Families = FAMILIES) -> tuple[str, set[str]]:
     """A page and the texts of its article blocks."""
     truth: set[str] = set()
-    main = _main(rng, truth)
+    main = _main(rng, truth, by)
     before, after = [], []
     if rng.random() < 0.4:
-        before.append(_wrap(_pick(rng, HEAD), _plain(rng) + (_wrap(_pick(rng, NAV), _links(rng)) if rng.random() < 0.5 else "")))
+        before.append(_wrap(_pick(rng, by.head), _plain(rng) + (_wrap(_pick(rng, by.nav), _links(rng)) if rng.random() < 0.5 else "")))
     if rng.random() < 0.8:
-        before.append(_wrap(_pick(rng, NAV), _links(rng)))
+        before.append(_wrap(_pick(rng, by.nav), _links(rng), rng))
     for _ in range(rng.integers(0, 3)):
-        before.append(_noise(rng))
+        before.append(_noise(rng, by))
     for _ in range(rng.integers(0, 3)):
-        after.append(_noise(rng))
+        after.append(_noise(rng, by))
     if rng.random() < 0.3:
-        after.append(_comments(rng))
+        after.append(_comments(rng, by))
     if rng.random() < 0.85:
-        after.append(_wrap(_pick(rng, FOOT), ("&copy; " if rng.random() < 0.6 else "") + (_links(rng) if rng.random() < 0.3 else _plain(rng))))
+        after.append(_wrap(_pick(rng, by.foot), ("&copy; " if rng.random() < 0.6 else "") + (_links(rng) if rng.random() < 0.3 else _plain(rng)), rng))
     page = "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(before) + main + "".join(after) + "</body></html>"
     if rng.random() < 0.1:
         page = page[: int(len(page) * (0.5 + rng.random() / 2))]

@@ -207,7 +207,7 @@ def test_article_blocks_are_found(spark):
     for _ in range(60):
         page, truth = layouts.compose(rng)
         found = html_text.blocks(page)
-        for b, p in zip(found, model.label([html_text.features(found)])[0], strict=True):
+        for b, p in zip(found, model.label([found])[0], strict=True):
             right, total = right + ((p >= 0.5) == layouts.is_main(b.text, truth)), total + 1
     assert right / total > 0.97
     page = "<nav><a href=/>Home</a></nav><article><h1>Long title of it</h1><p>Some words of text here.</p></article><footer>&copy; x</footer>"
