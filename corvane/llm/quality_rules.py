@@ -4,8 +4,8 @@ Every metric is a built-in expression over the text, so the whole verdict runs
 in the JVM next to the scan: no shuffle, no user function, one row in and one
 row out. Edge cases: a null or empty text has no words, fails the base rules
 and is not kept; rows are judged one by one, so ties, repeated rows and clashing
-extra columns change nothing (only ``doc_id`` and ``text`` are read).
-
+extra columns change nothing (only ``doc_id`` and ``text`` are read); a very long
+text is measured whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,12 +53,25 @@ def _no_fewer_than_one(x: Column) -> Column:
     return F.greatest(x, F.lit(1)).cast("double")
 
 
+def _repeated(words: Column) -> Column:
+    """Places of the three-word windows that stand more than once, by sorting the windows themselves."""
+    one = lambda i: F.struct(F.concat_ws(" ", *(F.get(words, i + k) for k in range(3))).alias("w"), i.alias("i"))
+    ordered = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), one))
+
+    def within(s: Column) -> Column:
+        same = lambda k, j: F.coalesce(F.get(s, k)["w"] == F.get(s, j)["w"], F.lit(False))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: same(k, k + 1) | (k > 0) & same(k, F.greatest(k - 1, F.lit(0)))), lambda k: F.get(s, k)["i"])
+
+    return F.get(F.transform(F.array(ordered), within), F.lit(0))
+
+
 def base_metrics(docs: DataFrame) -> DataFrame:
     """Adds the counts that the rules are written in.
 
     Repeated windows: each window becomes one long, its hash in the high bits and
     its place in the low bits; after sorting, equal windows are neighbours, and
-    neighbours count only if their words agree.
+    neighbours count only if their words agree. Where two different windows have one
+    hash, the text's windows are sorted by their words instead, so counts are exact.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     step = docs.select("doc_id", text.alias("_t"), space_words(F.col("text")).alias("_w"))
@@ -87,8 +100,8 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     step = step.withColumn("_p", F.coalesce(F.transform("_k", lambda k: F.struct(place(k).alias("a"), place(k + 1).alias("b"))), F.array()))
     word = lambda i, n: F.get("_w", i + n)
     real = F.filter("_p", lambda p: (word(p["a"], 0) == word(p["b"], 0)) & (word(p["a"], 1) == word(p["b"], 1)) & (word(p["a"], 2) == word(p["b"], 2)))
-    places = F.array_distinct(F.flatten(F.transform(real, lambda p: F.array(p["a"], p["b"]))))
-    covered = F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))
+    places = F.when(F.size(real) == F.size("_p"), F.flatten(F.transform(real, lambda p: F.array(p["a"], p["b"])))).otherwise(_repeated(F.col("_w")))
+    covered = F.flatten(F.transform(F.array_distinct(places), lambda i: F.array(i, i + 1, i + 2)))
     return step.select(
         "doc_id",
         "_t",

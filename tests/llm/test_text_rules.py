@@ -95,6 +95,15 @@ def test_rule_counts(spark):
     assert quality_rules.apply_rules(d.limit(0)).count() == 0
 
 
+def test_windows_that_share_a_hash_are_sorted_by_their_words(spark):
+    """The exact way that stands in where hashes collide."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(3, 40))) for _ in range(80)] + ["x y z", "a a a a a"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", F.split("t", " "))
+    for t, places in d.select("t", quality_rules._repeated(F.col("w"))).collect():
+        assert len({p + j for p in places for j in range(3)}) == plain_rules(t)[4]
+
+
 def test_classifier_learns_from_labels_only(spark):
     rng = np.random.default_rng(2)
     good = lambda: " ".join(rng.choice(["the", "house", "river", "stone", "of", "light"], 60))
