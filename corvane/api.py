@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import decide, detect, interact, session
+from corvane.operators import cache, decide, detect, interact, model, session
+from corvane.sources import files
 from corvane.streaming import guard
 
 
@@ -33,21 +37,53 @@ class Engine:
     def redact(self, texts: DataFrame) -> DataFrame:
         return texts.withColumn("redacted_text", detect.redact_secrets(detect.redact_pii(F.col("text"))))
 
-    def stream_output(self, tokens: DataFrame, unsafe) -> DataFrame:
-        return guard.guard(tokens, unsafe)
+    def analyze_documents(self, path: str) -> DataFrame:
+        """Decisions on the texts of files, with how well they could be read."""
+        return self.analyze(files.documents(self.spark, path).withColumn("scan_target", F.lit("input")))
+
+    def analyze_with_model(self, texts: DataFrame, responders: dict[str, Callable[[str, str], str]]) -> DataFrame:
+        """Decisions in which model-backed detectors ask their scorer, ``responders[detector](prompt, text) -> reply``,
+        where the gate is open; its findings come before the patterns'."""
+        replies = {name: fresh(texts.columns, f"_reply{k}") for k, name in enumerate(responders)}
+        settings = replace(self.settings, replies=replies)
+        d = decide.screen_cheap(texts, settings)
+        for name, responder in responders.items():
+            d = model.ask(d, name, responder, replies[name])
+        return decide.decide(decide.screen_models(d, settings), settings).drop(*replies.values())
+
+    def analyze_with_memory(self, texts: DataFrame, threats: DataFrame, allowed: DataFrame, id_column: str = "vec_id") -> DataFrame:
+        """Decisions on texts with embeddings: near a known safe one ALLOW, near a known threat that threat."""
+        return self.analyze(cache.recalled(texts, threats, allowed, id_column))
+
+    def stream_output(self, tokens: DataFrame) -> DataFrame:
+        """Guards a stream of ``stream_id, seq, token, last``."""
+        return guard.guard(tokens, self.settings)
+
+    def screen_streams(self, tokens: DataFrame) -> DataFrame:
+        """The same over finished streams: where each stops, and why."""
+        return guard.screened(tokens, self.settings)
 
     def explain(self, decisions: DataFrame) -> DataFrame:
         return decide.explain(decisions)
 
+    def report(self, decisions: DataFrame) -> DataFrame:
+        """Adds ``report`` (JSON) and ``markdown`` to explained decisions."""
+        d = decide.explain(decisions)
+        return d.withColumns({"report": decide.report_json(d), "markdown": decide.report_markdown(d)})
+
     def score_with(self, texts: DataFrame, scorer) -> DataFrame:
-        """Runs a model-backed scorer, ``str -> float``, on rows whose gate is open; others get null.
+        """Adds ``model_score`` of a scorer, ``str -> float``, where the gate is open; other rows get null and never reach it."""
 
-        The split is explicit, since a user function would otherwise run on all rows.
-        """
         @F.pandas_udf("double")
         def run(s: pd.Series) -> pd.Series:
-            return s.map(scorer)
+            return s.map(lambda t: None if t is None else scorer(t)).astype("float64")
 
         seen = decide.screen(texts, self.settings)
-        opened = seen.filter("gate_open").withColumn("model_score", run(F.substring("text", 1, 3000)))
-        return opened.unionByName(seen.filter("not gate_open").withColumn("model_score", F.lit(None).cast("double")))
+        return seen.withColumn("model_score", run(F.when(F.col("gate_open"), F.substring("text", 1, model.ASKED))))
+
+
+def fresh(taken, name: str) -> str:
+    """``name``, with underscores after it while a column is called so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,25 @@ def java_regex(pattern: str, flags: str = "") -> str:
     return f"(?Uud{flags})" + "".join(out)
 
 
+def fault(pattern: str, flags: str = "is") -> str | None:
+    """Why a pattern can't be used, null if it can: it must be a Python pattern whose Java form compiles."""
+    try:
+        re.compile(pattern)
+    except (re.error, TypeError, OverflowError, RecursionError) as bad:
+        return str(bad)
+    context = SparkContext._active_spark_context
+    if context is not None and context._jvm is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(java_regex(pattern, flags))
+        except Py4JJavaError as bad:
+            return str(bad.java_exception.getMessage()).split("\n")[0]
+    return None
+
+
+def compiles(pattern: str, flags: str = "is") -> bool:
+    return fault(pattern, flags) is None
+
+
 def required(pattern: str) -> list[frozenset[str]]:
     """Sets of strings of which every match holds at least one each, the most telling sets first.
 
@@ -104,6 +125,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def held(value: Column) -> Column:
+    """``value``, computed where it stands. A filter on anything made of it isn't pushed below it: the
+    optimizer would write the whole detector into the filter, and compute it twice. (What looks random is
+    always true.)"""
+    return F.when(F.rand(0) + 1 > 0, value)
+
+
 def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 

@@ -193,3 +193,19 @@ def per_minute_excess(requests: DataFrame, limit: int, by: str = "user_id", at:
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
+
+
+def feedback_for(feedback: DataFrame, entry: int) -> DataFrame:
+    """An audit entry's feedback, newest first."""
+    return feedback.filter(F.col("audit_log_id") == entry).orderBy(F.desc("id"))
+
+
+def submitted(feedback: DataFrame, audit: DataFrame, new: DataFrame) -> DataFrame:
+    """The feedback table with new rows in it that are of a known type and refer to an audit entry."""
+    good = new.filter(F.col("feedback_type").isin("false_positive", "false_negative")).join(audit.select(F.col("id").alias("audit_log_id")), "audit_log_id", "left_semi")
+    return feedback.unionByName(good.select(*feedback.columns))
+
+
+def cleared(audit: DataFrame) -> DataFrame:
+    """The audit table after all its rows were deleted."""
+    return audit.limit(0)

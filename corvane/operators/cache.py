@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions import constants as C
 from corvane.functions.dialect import double_sum, strip
+from corvane.operators.decide import severity_name
 
 TTL_SECONDS = 300
 SIMILAR_LENGTH = 40
@@ -94,4 +96,33 @@ def nearest(queries: DataFrame, cache: DataFrame, limit: float, most: int = 2000
 
 def newest(entries: DataFrame, most: int = 500) -> DataFrame:
     """What a first-in-first-out cache still holds: the last ``most`` insertions."""
-    return entries.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("inserted"), F.desc("cache_key")))).filter(F.col("_n") <= most).drop("_n")
+    return entries.orderBy(F.desc("inserted"), F.desc("cache_key")).limit(most)
+
+
+#: Fixed values. Distances within which a text counts as a known threat, and as known to be safe.
+THREAT_DISTANCE, ALLOW_DISTANCE = 0.15, 0.10
+
+
+def recalled(texts: DataFrame, threats: DataFrame, allowed: DataFrame, id_column: str = "vec_id", most: int = 2000) -> DataFrame:
+    """Adds ``allow_reason`` and ``cached_threat`` (threat_type, severity, similarity, source), null where no
+    known vector is near; ``decide`` takes both into account, the allowlist first.
+
+    ``texts`` have ``embedding``; ``threats`` have threat_type, severity and source_agent, ``allowed`` a reason.
+    Caches are small, which ``nearest`` checks.
+    """
+    ids = texts.select(id_column, "embedding")
+    safe = nearest(ids, allowed, ALLOW_DISTANCE, most, id_column).select(id_column, F.col("cached_id").alias("_safe"))
+    bad = nearest(ids, threats, THREAT_DISTANCE, most, id_column).select(id_column, F.col("cached_id").alias("_bad"), F.col("distance").alias("_far"))
+    reasons = allowed.select(F.col(id_column).alias("_safe"), F.col("reason").alias("allow_reason"))
+    kinds = threats.select(F.col(id_column).alias("_bad"), "threat_type", "severity", "source_agent")
+    d = texts.join(safe.join(F.broadcast(reasons), "_safe"), id_column, "left").join(bad.join(F.broadcast(kinds), "_bad"), id_column, "left")
+    hit = F.when(F.col("_bad").isNotNull() & F.col("allow_reason").isNull(), F.struct("threat_type", "severity", F.round(1 - F.col("_far"), 2).alias("similarity"), F.col("source_agent").alias("source")))
+    return d.withColumn("cached_threat", hit).select(*texts.columns, "allow_reason", "cached_threat")
+
+
+def learned(decisions: DataFrame, *columns: str) -> DataFrame:
+    """Rows that the threat cache takes from decisions: findings of the model-backed detectors, with
+    the given columns of their texts. A stream appends them batch by batch."""
+    hits = F.filter("agents", lambda a: a["threat_found"] & a["agent"].isin(*C.MODEL_BACKED) & (a["threat_type"] != "NONE"))
+    d = decisions.select(*columns, F.explode(hits).alias("_a"))
+    return d.select(*columns, F.col("_a.threat_type").alias("threat_type"), severity_name(F.col("_a.severity")).alias("severity"), F.col("_a.agent").alias("source_agent"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import catalog
 from corvane.functions import constants as C
-from corvane.functions.dialect import count_of, double_sum, first_match, folded, found, java_regex, let, quoted, required, strip, words
+from corvane.functions.dialect import compiles, count_of, double_sum, first_match, folded, found, java_regex, let, quoted, required, strip, words
 
 MATCH = "struct<match_type:string,description:string,evidence:string,confidence:double,weight:int,ref_id:string,redact:boolean,match_count:int>"
 
@@ -129,10 +129,19 @@ def secrets(name: str) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits over code points: one count for each distinct character."""
-    n = F.length(text).cast("double")
-    share = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c == "", F.lit(0.0)).otherwise((n - F.length(F.replace(text, c, F.lit("")))) / n))
-    return double_sum(F.transform(F.filter(share, lambda p: p > 0), lambda p: -p * F.log2(p)))
+    """Shannon entropy in bits over code points: one sort, then the lengths of the runs of equal ones."""
+
+    def within(ordered: Column) -> Column:
+        n = F.size(ordered)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+        def summed(cuts: Column) -> Column:
+            share = F.transform(cuts, lambda i, k: (F.coalesce(F.get(cuts, k + 1), n) - i) / n.cast("double"))
+            return double_sum(F.transform(share, lambda p: -p * F.log2(p)))
+
+        return F.when(n > 0, let(starts, summed)).otherwise(0.0)
+
+    return let(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), within)
 
 
 def most_frequent(items: Column) -> Column:
@@ -220,45 +229,49 @@ def abuse(name: str) -> Column:
     lim = C.ABUSE
     w = words(F.lower(text))
     say = F.format_string
-    newlines = count_of(text, r"\n\r")
+    share = lambda name, x, most: F.concat(say(f"{name}: %.1f%%", x * 100), F.lit(f", threshold: {most:.1%}"))
+    newlines, urls, depth = count_of(text, r"\n\r"), F.regexp_count(text, F.lit(r"https?://\S+")), nesting_depth(text)
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(F.length(x).alias("n"), (i + 1).alias("i"))), lambda x: x["n"] > lim["line"])
     formats = F.regexp_extract_all(text, F.lit(r"%[0-9]*[nspxdoufFeEgGaAcS]"), F.lit(0))
-    size = say(f"Length: %d chars (~%d tokens), limit: {lim['length']}", n, F.floor(n / 4))
+    size = lambda most: say(f"Length: %d chars (~%d tokens), limit: {most}", n, F.floor(n / 4))
+    longest = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1{%d,}" % (lim["char_run"] - 1)), F.lit(0))
+    most_run = let(longest, lambda runs: F.get(F.filter(runs, lambda r: F.length(r) == F.array_max(F.transform(runs, lambda x: F.length(x)))), F.lit(0)))
+    repeated = lambda kind, items: let(most_frequent(items), lambda t: say(f"{kind} '%s' repeated %d times", t["item"], t["n"]))
     parts = [
-        F.when(n > lim["critical_length"], match("critical_length_overflow", "Input exceeds critical length threshold", size, 1.0, 4)).when(
-            n > lim["length"], match("excessive_length", "Input exceeds maximum allowed length", size, 1.0, 3)
+        F.when(n > lim["critical_length"], match("critical_length_overflow", "Input exceeds critical length threshold", size(lim["critical_length"]), 1.0, 4)).when(
+            n > lim["length"], match("excessive_length", "Input exceeds maximum allowed length", size(lim["length"]), 1.0, 3)
         ),
-        F.when(F.floor(n / 4) > lim["tokens"], match("token_inflation", "Estimated token count exceeds safe limit (API cost attack)", say("~%d tokens estimated", F.floor(n / 4)), 1.0, 3)),
+        F.when(F.floor(n / 4) > lim["tokens"], match("token_inflation", "Estimated token count exceeds safe limit (API cost attack)", say(f"~%d tokens estimated, limit: {lim['tokens']}", F.floor(n / 4)), 1.0, 3)),
         F.when(
             (n >= lim["char_run"]) & text.rlike(r"(?s)(.)\1{%d}" % (lim["char_run"] - 1)),
-            match("char_repetition_attack", "Single character repeated excessively (DoS pattern)", say("Run of %d characters", longest_run(text, lim["char_run"])), 1.0, 3),
+            match("char_repetition_attack", "Single character repeated excessively (DoS pattern)", let(most_run, lambda r: say("Char '%s' repeated %d times consecutively", F.substring(r, 1, 1), F.length(r))), 1.0, 3),
         ),
-        F.when((n >= 2 * lim["word"] - 1) & has_repeated(phrases(w, 1, True), lim["word"]), match("word_repetition_attack", "Same word repeated excessively (padding/inflation attack)", F.concat(F.lit("Word repeated: "), most_frequent(w)["item"]), 1.0, 3)),
+        F.when((n >= 2 * lim["word"] - 1) & has_repeated(phrases(w, 1, True), lim["word"]), match("word_repetition_attack", "Same word repeated excessively (padding/inflation attack)", repeated("Word", w), 1.0, 3)),
         F.when(
             (n >= 2 * lim["phrase"] + 3) & has_repeated(phrases(w, 3, True), lim["phrase"]),
-            match("phrase_repetition_attack", "Repeated phrase detected (prompt stuffing attack)", F.concat(F.lit("Phrase repeated: "), most_frequent(phrases(w))["item"]), 1.0, 3),
+            match("phrase_repetition_attack", "Repeated phrase detected (prompt stuffing attack)", repeated("Phrase", phrases(w)), 1.0, 3),
         ),
-        F.when((n >= 50) & (entropy(text) < lim["entropy"]), match("low_entropy_input", "Extremely low entropy", F.lit("Low Shannon entropy"), 1.0, 2)),
-        F.when((n >= 20) & (special_ratio(text) > lim["special"]), match("special_char_flood", "Abnormally high ratio of special characters", F.lit("Special characters"), 1.0, 2)),
-        F.when((n >= 20) & (digit_ratio(text) > lim["digits"]), match("digit_flood", "Abnormally high ratio of digits (possible data exfiltration or obfuscation)", F.lit("Digits"), 1.0, 2)),
-        F.when((letters(text) >= 20) & (upper_ratio(text) > lim["upper"]), match("uppercase_flood", "Abnormally high uppercase ratio (screaming/obfuscation attempt)", F.lit("Upper case"), 1.0, 1)),
-        F.when(F.instr(text, "\x00") > 0, match("null_byte_injection", "Null bytes detected (possible injection or evasion attempt)", F.lit("Null bytes"), 1.0, 4)),
-        F.when(newlines > lim["newlines"], match("newline_flood", "Excessive newlines detected (log poisoning or padding attack)", say("Found %d newlines", newlines), 1.0, 2)),
+        F.when((n >= 50) & (entropy(text) < lim["entropy"]), match("low_entropy_input", "Extremely low entropy — highly repetitive/uniform content", say(f"Shannon entropy: %.3f bits (threshold: {lim['entropy']})", entropy(text)), 1.0, 2)),
+        F.when((n >= 20) & (special_ratio(text) > lim["special"]), match("special_char_flood", "Abnormally high ratio of special characters", share("Special char ratio", special_ratio(text), lim["special"]), 1.0, 2)),
+        F.when((n >= 20) & (digit_ratio(text) > lim["digits"]), match("digit_flood", "Abnormally high ratio of digits (possible data exfiltration or obfuscation)", share("Digit ratio", digit_ratio(text), lim["digits"]), 1.0, 2)),
+        F.when((letters(text) >= 20) & (upper_ratio(text) > lim["upper"]), match("uppercase_flood", "Abnormally high uppercase ratio (screaming/obfuscation attempt)", share("Uppercase ratio", upper_ratio(text), lim["upper"]), 1.0, 1)),
+        F.when(F.instr(text, "\x00") > 0, match("null_byte_injection", "Null bytes detected (possible injection or evasion attempt)", say("Found %d null byte(s)", count_of(text, r"\x00")), 1.0, 4)),
+        F.when(newlines > lim["newlines"], match("newline_flood", "Excessive newlines detected (log poisoning or padding attack)", say(f"Found %d newlines, limit: {lim['newlines']}", newlines), 1.0, 2)),
         F.when(
             F.size(lines) > 0,
-            match("excessive_line_length", "One or more lines exceed maximum allowed length", F.concat(F.lit("Long lines at positions: "), F.array_join(F.slice(F.transform(lines, lambda x: x["i"].cast("string")), 1, 5), ", ")), 1.0, 2),
+            match("excessive_line_length", "One or more lines exceed maximum allowed length", F.concat(F.lit("Long lines at positions: ["), F.array_join(F.slice(F.transform(lines, lambda x: x["i"].cast("string")), 1, 5), ", "), F.lit("] (showing first 5)")), 1.0, 2),
         ),
-        F.when(F.regexp_count(text, F.lit(r"https?://\S+")) > lim["urls"], match("url_flood", "Excessive number of URLs (SSRF harvesting or spam)", F.lit("URLs"), 1.0, 3)),
-        F.when(nesting_depth(text) > lim["nesting"], match("deeply_nested_structure", "Deeply nested brackets/braces (ReDoS or parser bomb attempt)", F.lit("Nesting"), 1.0, 3)),
-        F.when(text.rlike(UNUSUAL) & (count_of(text, C.HOMOGLYPHS) >= lim["homoglyphs"]), match("homoglyph_attack", "Unicode homoglyphs/lookalike characters detected (filter evasion)", F.lit("Homoglyphs"), 1.0, 3)),
-        F.when(count_of(text, C.INVISIBLE) >= lim["invisible"], match("invisible_char_injection", "Invisible/zero-width characters detected (prompt evasion or steganography)", F.lit("Invisible characters"), 1.0, 3)),
+        F.when(urls > lim["urls"], match("url_flood", "Excessive number of URLs (SSRF harvesting or spam)", say(f"Found %d URLs, limit: {lim['urls']}", urls), 1.0, 3)),
+        F.when(depth > lim["nesting"], match("deeply_nested_structure", "Deeply nested brackets/braces (ReDoS or parser bomb attempt)", say(f"Max nesting depth: %d, limit: {lim['nesting']}", depth), 1.0, 3)),
+        F.when(text.rlike(UNUSUAL) & (count_of(text, C.HOMOGLYPHS) >= lim["homoglyphs"]), match("homoglyph_attack", "Unicode homoglyphs/lookalike characters detected (filter evasion)", say("Found %d homoglyph character(s)", count_of(text, C.HOMOGLYPHS)), 1.0, 3)),
+        F.when(count_of(text, C.INVISIBLE) >= lim["invisible"], match("invisible_char_injection", "Invisible/zero-width characters detected (prompt evasion or steganography)", say("Found %d invisible character(s)", count_of(text, C.INVISIBLE)), 1.0, 3)),
     ]
     families, later = [], []
     for kind, patterns in catalog.ABUSE_PATTERNS.items():
         flags = "im" if kind == "sql_injection" else "i"
         one = [_search_sql(name, kind, p, d, 1.0, catalog.ABUSE_PATTERN_WEIGHTS[kind], flags, 80) for p, d in patterns]
         (families if kind in ("script_injection", "path_traversal", "encoding_obfuscation") else later).extend([f"coalesce({', '.join(one)})"] if kind == "path_traversal" else one)
-    printf = F.when(F.size(formats) >= lim["formats"], match("format_string_attack", "Multiple format string specifiers detected", F.array_join(F.slice(formats, 1, 5), ", "), 1.0, 3))
+    printf = F.when(F.size(formats) >= lim["formats"], match("format_string_attack", "Multiple format string specifiers detected", F.concat(F.lit("Found: ['"), F.array_join(F.slice(formats, 1, 5), "', '"), F.lit("']")), 1.0, 3))
     return F.concat(gathered(parts), _gathered_sql(families), gathered([printf]), _gathered_sql(later))
 
 
@@ -297,7 +310,7 @@ SEED_SIGNATURES = tuple(Signature(*x) for x in C.INTEL)
 def intel(text: Column, target: Column, entries: Sequence[Signature] = SEED_SIGNATURES) -> Column:
     parts = []
     for e in entries:
-        if e.enabled:
+        if e.enabled and compiles(e.pattern):
             weight = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}.get(e.severity.upper(), 3)
             here = F.lit(e.scope == "both") | (target == e.scope)
             parts.append(F.when(here & found(text, e.pattern), match(e.category, e.name, first_match(text, e.pattern, limit=120), 0.93, weight, e.id)))
@@ -332,13 +345,16 @@ def active(rule: Rule, target: Column, workspace: Column) -> Column:
 def excepted(rule: Rule, text: Column) -> Column:
     out = F.lit(False)
     for e in rule.exceptions:
-        out = out | found(text, e)
+        if compiles(e, "is"):
+            out = out | found(text, e)
     return out
 
 
 def custom_rules(text: Column, target: Column, workspace: Column, rules: Sequence[Rule] = ()) -> Column:
     parts = []
     for r in rules:
+        if not compiles(r.pattern, "is"):  # a rule that can't be read finds nothing and stops no other
+            continue
         weight = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}.get(r.severity.upper(), 1)
         pattern = java_regex(r.pattern, "is")
         every = F.regexp_extract_all(text, F.lit(pattern), F.lit(_group(r.pattern)))
@@ -371,7 +387,7 @@ def redact_rules(text: Column, target: Column, workspace: Column, rules: Sequenc
     import re
 
     for r in rules:
-        if r.redact:
+        if r.redact and compiles(r.pattern, "is"):
             label = re.sub(r"[^A-Z0-9]+", "_", r.threat_type.upper()).strip("_") or "CUSTOM_RULE"
             # bound by a one-element array, so that the text so far is computed once for each rule
             step = _redaction(r, f"[{label}]", target, workspace)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import constants as C
+from corvane.operators import decide
 from corvane.operators.decide import lookup
 
 
@@ -145,3 +146,26 @@ def error_buckets(d: DataFrame, truth: Column, predicted: Column, by: str) -> Da
 
 def labelled(values: dict) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in values.items()))
+
+
+def macro_averages(metrics: DataFrame) -> DataFrame:
+    """Means of precision, recall, F1 and accuracy over the rows of ``breakdown``, each weighing the same."""
+    names = [c for c in ("precision", "recall", "f1", "accuracy") if c in metrics.columns]
+    return metrics.agg(*[F.round(F.avg(c), 4).alias(f"macro_{c}") for c in names])
+
+
+def first_shuffled(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """The first ``n`` rows in an order that the seed fixes: a top-k, no global sort."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def ablation(texts: DataFrame, variants: dict[str, decide.Settings], truth: str) -> DataFrame:
+    """``variant, n, tp, fp, tn, fn`` of each variant of the engine's settings, in one table; a text counts
+    as found if its action isn't ALLOW. ``truth`` is a boolean column."""
+    out = None
+    for name, settings in variants.items():
+        d = decide.analyze(texts, settings).select(F.lit(name).alias("variant"), F.col(truth).alias("t"), (F.col("action") != "ALLOW").alias("p"))
+        out = d if out is None else out.unionByName(d)
+    n = lambda c: F.count(F.when(c, 1))
+    t, p = F.col("t"), F.col("p")
+    return out.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), n(t & p).alias("tp"), n(~t & p).alias("fp"), n(~t & ~p).alias("tn"), n(t & ~p).alias("fn"))

@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import constants as C
-from corvane.functions.dialect import java_regex
+from corvane.functions.dialect import fault, java_regex, strip
 from corvane.operators.decide import lookup
 
 #: Rules or signatures up to this many are folded into one projection; larger sets are joined.
 FOLDED = 200
 
 
+def tested(texts: DataFrame, rule) -> DataFrame:
+    """One rule on every text: ``matched, excepted, evidence, match_count, error``."""
+    from corvane.operators import detect
+
+    text, error = F.coalesce(F.col("text"), F.lit("")), fault(rule.pattern)
+    none = F.array().cast("array<string>")
+    every = none if error else F.regexp_extract_all(text, F.lit(java_regex(rule.pattern, "is")), F.lit(detect._group(rule.pattern)))
+    d = texts.withColumn("excepted", detect.excepted(rule, text)).withColumn("_e", F.when(F.col("excepted"), none).otherwise(every))
+    said = F.coalesce(F.substring(F.get("_e", F.lit(0)), 1, 120), F.lit(""))
+    return d.withColumns({"matched": F.size("_e") > 0, "evidence": said, "match_count": F.size("_e"), "error": F.when(~F.col("excepted"), F.lit(error))}).drop("_e")
+
+
 def rules_in_force(rules: DataFrame, target: str, workspace: str) -> DataFrame:
     """Enabled, no draft, scope both or the target, workspace global or the given one."""
     ours = F.coalesce(F.nullif("workspace_id", F.lit("")), F.lit("global")).isin("global", workspace)
@@ -43,9 +55,96 @@ def match_rules(texts: DataFrame, rules: DataFrame, most: int = 10_000) -> DataF
 
 
 def with_java_patterns(rules: DataFrame) -> DataFrame:
-    """Adds ``java_pattern``; rule tables are small, so a driver-side map does."""
-    rows = rules.select("pattern").distinct().limit(10_001).collect()
-    return rules.withColumn("java_pattern", lookup({r["pattern"]: java_regex(r["pattern"], "is") for r in rows}, F.col("pattern")))
+    """Adds ``java_pattern``, null where a pattern can't be used; rule tables are small, so a driver-side map does."""
+    return rules.withColumn("java_pattern", lookup({p: java_regex(p, "is") for p, bad in _faults(rules, F.col("pattern")).items() if bad is None}, F.col("pattern")).cast("string"))
+
+
+#: Rows of a rule table that the driver looks at.
+MOST_RULES = 10_000
+
+
+def _faults(rules: DataFrame, patterns: Column) -> dict[str, str | None]:
+    """Each distinct pattern with the reason why it can't be used; the table's size is checked."""
+    rows = rules.select(patterns.alias("p")).filter("p is not null").distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} patterns")
+    return {r["p"]: fault(r["p"]) for r in rows}
+
+
+#: Fixed values. Fields that a rule must have, in the order in which they are asked for.
+RULE_FIELDS = ("id", "name", "pattern", "severity", "description")
+
+
+def validated(rules: DataFrame) -> DataFrame:
+    """Adds ``valid`` and ``error``, the first reason why a rule can't be saved: a missing field, a
+    pattern that doesn't compile, an unknown severity, an exception that doesn't compile."""
+    bad = {p: e for p, e in _faults(rules, F.col("pattern")).items() if e}
+    bad_exceptions = {p: e for p, e in _faults(rules.select(F.explode("exceptions").alias("e")), F.col("e")).items() if e} if "exceptions" in rules.columns else {}
+    reasons = [F.when(F.col(f).isNull() if f in rules.columns else F.lit(True), F.lit(f"Missing required field: '{f}'")) for f in RULE_FIELDS]
+    if bad:
+        reasons.append(F.concat(F.lit("Invalid regex pattern: "), lookup(bad, F.col("pattern"))))
+    reasons.append(F.when(~F.upper("severity").isin(*C.SEVERITIES[1:]), F.lit("severity must be one of: LOW, MEDIUM, HIGH, CRITICAL")))
+    if bad_exceptions:
+        first = F.get(F.filter("exceptions", lambda e: e.isin(*bad_exceptions)), F.lit(0))
+        reasons.append(F.concat(F.lit("Invalid exception pattern '"), first, F.lit("': "), lookup(bad_exceptions, first)))
+    d = rules.withColumn("error", F.coalesce(*reasons))
+    return d.withColumn("valid", F.col("error").isNull())
+
+
+def rule_stats(rules: DataFrame) -> DataFrame:
+    """One row on the enabled rules: total, by severity, with redaction, with exceptions."""
+    level = F.upper(F.coalesce("severity", F.lit("")))
+    return rules.filter("enabled").agg(
+        F.count(F.lit(1)).alias("total_rules"),
+        *[F.count(F.when(level == s, 1)).alias(s.lower()) for s in reversed(C.SEVERITIES[1:])],
+        F.count(F.when(F.col("redact"), 1)).alias("redact_enabled"),
+        F.count(F.when(F.size(F.coalesce("exceptions", F.array().cast("array<string>"))) > 0, 1)).alias("with_exceptions"),
+    )
+
+
+def rule_id(name: Column, pattern: Column, workspace: Column) -> Column:
+    """A rule's id, derived from what it is, so that saving it twice is saving it once."""
+    return F.concat(F.lit("rule_"), F.substring(F.sha2(F.concat_ws("\u0000", F.lower(strip(name)), pattern, workspace), 256), 1, 12))
+
+
+def saved(rules: DataFrame, new: DataFrame) -> DataFrame:
+    """The rule table with valid new rules in it; the same (name, pattern, workspace) is the same rule."""
+    space = F.coalesce(F.nullif("workspace_id", F.lit("")), F.lit("global"))
+    own = new.withColumn("id", F.coalesce("id", rule_id(F.col("name"), F.col("pattern"), space)))
+    good = validated(own).filter("valid").select(*rules.columns).dropDuplicates(["id"])
+    return upsert(rules, good).drop("change")
+
+
+def toggled(rules: DataFrame, rule: str, enabled: bool) -> DataFrame:
+    return rules.withColumn("enabled", F.when(F.col("id") == rule, F.lit(enabled)).otherwise(F.col("enabled")))
+
+
+def deleted(table: DataFrame, value: str, key: str = "id") -> DataFrame:
+    """A table of rules, presets, signatures or workspaces without one entry."""
+    return table.filter(~F.col(key).eqNullSafe(F.lit(value)))
+
+
+def compliance_table(spark) -> DataFrame:
+    """``profile, threat_type, least_severity, overrides, session_flag, session_block, retention_days``."""
+    rows = [(n, t, s, p.overrides.get(t, {}), p.session_flag, p.session_block, p.retention_days) for n, p in C.COMPLIANCE.items() for t, s in p.thresholds.items()]
+    return spark.createDataFrame(rows, "profile string, threat_type string, least_severity string, overrides map<string,string>, session_flag double, session_block double, retention_days int")
+
+
+def compliance_presets(spark) -> DataFrame:
+    """Each compliance profile as a preset row."""
+    d = compliance_table(spark).groupBy("profile", "session_flag", "session_block", "retention_days").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("threat_type", "overrides")))).alias("action_overrides"))
+    none = lambda m: F.map_filter(m, lambda _, v: F.size(v) > 0)
+    return d.select(F.concat(F.lit("compliance_"), "profile").alias("name"), F.lit("compliance_profile").alias("source"), F.lit(True).alias("enabled"), "session_flag", "session_block", none("action_overrides").alias("action_overrides"), "retention_days")
+
+
+def recommended_profile(industry: Column) -> Column:
+    return lookup(C.INDUSTRIES, F.lower(industry))
+
+
+def retained(rows: DataFrame, as_of: str, at: str = "timestamp", profile: str = "policy_profile") -> DataFrame:
+    """Rows that their profile still lets be kept at ``as_of``; a profile without a term keeps all."""
+    days = lookup({n: p.retention_days for n, p in C.COMPLIANCE.items()}, F.upper(profile))
+    return rows.filter(days.isNull() | (F.col(at).cast("timestamp") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(days)))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

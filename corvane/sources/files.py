@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.dialect import strip, words
+from corvane.functions.dialect import let, strip, words
+from corvane.operators import detect
 
 RULE_SCHEMA = (
     "id string, name string, pattern string, description string, severity string, threat_type string, scope string, redact boolean, exceptions array<string>, tags array<string>, "
@@ -26,7 +27,30 @@ def rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FEED_SCHEMA).json(path, multiLine=True).select(F.explode("entries").alias("e")).select("e.*")
+    """Signatures of a threat feed; where its entries are no list, the seed signatures."""
+    d = spark.read.schema(FEED_SCHEMA).json(path, multiLine=True).select(F.col("entries"))
+    seed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in vars(s).items()], F.lit("seed").alias("source")) for s in detect.SEED_SIGNATURES])
+    kind = d.schema["entries"].dataType.elementType
+    seeds = F.transform(seed, lambda x: F.struct(*[(x[f.name] if f.name in SEED_FIELDS else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind]))
+    return d.select(F.explode(F.coalesce("entries", seeds)).alias("e")).select("e.*")
+
+
+SEED_FIELDS = ("id", "name", "pattern", "category", "severity", "scope", "enabled", "source")
+
+
+PRESET_SCHEMA = "name string, description string, action_overrides map<string,map<string,string>>, session_flag_threshold double, session_block_threshold double, allowlist_patterns array<string>, allowlist_max_severity string, detector_thresholds map<string,map<string,double>>, enabled boolean, status string, workspace_id string"
+
+
+def presets(spark: SparkSession, path: str) -> DataFrame:
+    """Custom presets, with the defaults of absent fields."""
+    d = spark.read.schema(PRESET_SCHEMA).json(path, multiLine=True)
+    fall = {"session_flag_threshold": 8.0, "session_block_threshold": 12.0, "allowlist_max_severity": "LOW", "enabled": True, "status": "active", "workspace_id": "global"}
+    return d.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fall.items()})
+
+
+def workspaces(spark: SparkSession, path: str) -> DataFrame:
+    """Workspaces by name, whatever its case."""
+    return spark.read.schema("id string, name string, description string").json(path, multiLine=True).orderBy(F.lower("name"), "name")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -42,14 +66,47 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("text")).filter(F.col("text") != "")
 
 
+#: A cell of CSV text (quotes double inside quotes; text may follow the closing one) and what ends it.
+CSV_CELL = r'(?:"([^"]*+(?:""[^"]*+)*+)"?)?([^,\r\n]*+)(,|\r\n|\n|\r|\z)'
+
+
 def csv_cells(text: Column) -> Column:
-    """Non-empty cells of simple CSV text joined by bars, rows by line ends."""
-    cells = F.transform(F.split(text, "\r?\n"), lambda row: F.array_join(F.filter(F.transform(F.split(row, ","), lambda c: strip(c)), lambda c: c != ""), " | "))
-    return F.array_join(F.filter(cells, lambda row: row != ""), "\n")
+    """Non-empty cells of CSV text joined by bars, rows by line ends; quoted cells may hold commas and line ends."""
+    part = lambda g: F.regexp_extract_all(text, F.lit(CSV_CELL), F.lit(g))
+    # the match at the very end of the text is an empty cell of no row
+    cells = F.transform(F.arrays_zip(part(1).alias("q"), part(2).alias("p"), part(3).alias("e")), lambda x: F.struct(strip(F.concat(F.replace(x["q"], F.lit('""'), F.lit('"')), x["p"])).alias("v"), x["e"].alias("e")))
+
+    def rows(c: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: F.get(c, i - 1)["e"] != ",")
+
+        def joined(at: Column) -> Column:
+            one = lambda i, k: F.array_join(F.filter(F.transform(F.slice(c, F.coalesce(F.get(at, k - 1), F.lit(0)) + 1, i - F.coalesce(F.get(at, k - 1), F.lit(0))), lambda x: x["v"]), lambda v: v != ""), " | ")
+            return F.array_join(F.filter(F.transform(at, one), lambda r: r != ""), "\n")
+
+        return let(ends, joined)
+
+    return F.when(text == "", "").otherwise(let(cells, rows))
+
+
+#: Fixed values. Kinds of files, and what is said of extracted text.
+TEXT_KINDS = (".txt", ".md", ".json", ".log", ".html", ".xml", ".yaml", ".yml")
+IMAGE_KINDS = (".png", ".jpg", ".jpeg")
+SHORT, LOW = "Very little text was extracted from the document.", "Extraction quality looks low. Review the extracted text before trusting the scan result."
+NOISY, STRUCTURE = "OCR-based extraction can be noisier than native text extraction.", "PDF extraction quality depends on the source document structure."
+
+
+def warnings(text: Column, quality_: Column, suffix: Column) -> Column:
+    said = {
+        SHORT: F.length(strip(F.coalesce(text, F.lit("")))) < 20,
+        LOW: quality_ == "low",
+        NOISY: suffix.isin(*IMAGE_KINDS),
+        STRUCTURE: suffix == ".pdf",
+    }
+    return F.array_compact(F.array(*[F.when(c, F.lit(w)) for w, c in said.items()]))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """``path, name, text, quality`` of files: text family decoded as UTF-8, else UTF-16, else Latin-1; CSV as joined cells.
+    """``path, name, text, truncated, mode, quality, warnings`` of files: text family decoded as UTF-8, else UTF-16, else Latin-1; CSV as joined cells.
 
     PDF and image readers are optional libraries that are not part of this package; such files get a null text.
     """
@@ -73,7 +130,10 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     d = files.mapInArrow(decode, "path string, text string").withColumn("name", F.element_at(F.split("path", "/"), -1))
     suffix = F.lower(F.regexp_extract("name", r"\.[^.]+$", 0))
     text = F.when(suffix == ".csv", csv_cells(F.col("text"))).otherwise(F.col("text"))
-    return d.select("path", "name", F.substring(text, 1, LONGEST).alias("text"), (F.length(text) > LONGEST).alias("truncated")).withColumn("quality", quality(F.col("text"), suffix))
+    d = d.select("path", "name", suffix.alias("_kind"), F.substring(text, 1, LONGEST).alias("text"), (F.length(text) > LONGEST).alias("truncated"))
+    mode = F.when(F.col("_kind").isin(*IMAGE_KINDS), "ocr").when(F.col("_kind") == ".pdf", "pdf").when(F.col("_kind") == ".csv", "csv").otherwise("text")
+    d = d.withColumn("mode", mode).withColumn("quality", quality(F.col("text"), F.col("_kind")))
+    return d.withColumn("warnings", warnings(F.col("text"), F.col("quality"), F.col("_kind"))).drop("_kind")
 
 
 def quality(text: Column, suffix: Column | str = "") -> Column:
@@ -94,6 +154,9 @@ def base64_text(body: Column) -> Column:
 
 
 def save(df: DataFrame, path: str, form: str = "parquet", mode: str = "append", *partition_by: str) -> None:
-    """Appends decisions, audit rows or reports as parquet, json or csv."""
+    """Appends decisions, audit rows or reports as parquet, json or csv; ``markdown`` writes a column
+    ``markdown`` as text files."""
+    if form == "markdown":
+        df, form = df.select("markdown"), "text"
     writer = df.write.mode(mode).format(form)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)

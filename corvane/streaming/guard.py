@@ -1,95 +1,182 @@
-"""Screening of token streams and live sessions with Structured Streaming state."""
+"""Screening of token streams and live sessions with Structured Streaming state.
+
+A stream's text is checked whole whenever ``CHECK_EVERY`` characters wait: the cheap
+detectors and the policy decide whether what waits goes out or the stream stops. At
+its end what still waits goes out, and the full pipeline looks at the whole text.
+
+Detectors are expressions and run in the JVM. So live screening is two stateful
+steps with the detectors between them: ``Checkpoints`` turns tokens into texts to
+check, ``Emitter`` turns verdicts into what is sent. ``screened`` is the same over
+finished streams, and ``fold`` says it in plain Python.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corvane.functions import constants as C
+from corvane.functions.dialect import let
+from corvane.operators import decide
 
 CHECK_EVERY = 150
-STOPPED = "\n[stream stopped by policy]"
 
+#: Fixed values. What is sent in place of text, before the reason.
+STOPPED = "\n\n[FIREWALL INTERVENTION] Stream terminated mid-generation. Reason: "
+AFTERWARDS = "\n\n[FIREWALL INTERVENTION - RETROSPECTIVE] The previous text was determined to be unsafe after a full context scan: "
+
+POINTS = "stream_id string, n int, seq long, buffer string, text string, last boolean"
 OUTPUT = "stream_id string, seq long, emitted string, stopped boolean"
+STOPPING = ("BLOCK", "REDACT")
 
 
-def fold(tokens: list[str], unsafe: Callable[[str], bool], every: int = CHECK_EVERY) -> list[tuple[str, bool]]:
-    """What a stream emits, checking the whole text so far whenever ``every`` characters wait; the rest is flushed."""
+def fold(tokens: list[str], unsafe: Callable[[str], str | None], finally_unsafe: Callable[[str], str | None] = lambda _: None, every: int = CHECK_EVERY) -> list[tuple[str, bool]]:
+    """What a stream emits; both functions give a reason to stop or null."""
     out, total, waiting = [], "", ""
     for token in tokens:
         total, waiting = total + token, waiting + token
         if len(waiting) >= every:
-            if unsafe(total):
-                return [*out, (STOPPED, True)]
+            if (why := unsafe(total)) is not None:
+                return [*out, (STOPPED + why, True)]
             out.append((waiting, False))
             waiting = ""
-    return [*out, (waiting, False)] if waiting else out
+    out += [(waiting, False)] if waiting else []
+    return [*out, (AFTERWARDS + why, True)] if (why := finally_unsafe(total)) is not None else out
 
 
-class Guard(StatefulProcessor):
-    """State of a stream: the text so far, what waits, whether it was stopped."""
+class Checkpoints(StatefulProcessor):
+    """State of a stream: the text so far, what waits, how many checks there were."""
 
-    def __init__(self, unsafe: Callable[[str], bool], every: int = CHECK_EVERY, ttl_ms: int = 3_600_000):
-        self.unsafe, self.every, self.ttl_ms = unsafe, every, ttl_ms
+    def __init__(self, every: int = CHECK_EVERY, ttl_ms: int = 3_600_000):
+        self.every, self.ttl_ms = every, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("text", "total string, waiting string, stopped boolean", self.ttl_ms)
+        self.state = handle.getValueState("text", "total string, waiting string, n int", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        total, waiting, stopped = self.state.get() if self.state.exists() else ("", "", False)
-        out = []
+        total, waiting, n = self.state.get() if self.state.exists() else ("", "", 0)
+        out, ended = [], False
         for token in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if stopped:
-                break
-            total, waiting = total + token.token, waiting + token.token
+            text = token.token or ""
+            total, waiting = total + text, waiting + text
             if len(waiting) >= self.every:
-                stopped = self.unsafe(total)
-                out.append((key[0], token.seq, STOPPED if stopped else waiting, stopped))
-                waiting = ""
-        self.state.update((total, waiting, stopped))
+                out.append((key[0], n, token.seq, waiting, total, False))
+                waiting, n = "", n + 1
+            if token.last:
+                out.append((key[0], n, token.seq, waiting, total, True))
+                ended = True
+        if ended:
+            self.state.clear()
+        else:
+            self.state.update((total, waiting, n))
+        yield pd.DataFrame(out, columns=["stream_id", "n", "seq", "buffer", "text", "last"])
+
+    def close(self) -> None:
+        pass
+
+
+class Emitter(StatefulProcessor):
+    """State of a stream: whether it was stopped."""
+
+    def __init__(self, ttl_ms: int = 3_600_000):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("stopped", "stopped boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        stopped = self.state.get()[0] if self.state.exists() else False
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["n", "last"]).itertuples():
+            bad = r.action in STOPPING
+            if not stopped and not r.last:
+                stopped = bad
+                out.append((key[0], r.seq, STOPPED + r.reason if bad else r.buffer, bad))
+            elif not stopped:
+                if r.buffer:
+                    out.append((key[0], r.seq, r.buffer, False))
+                if bad:
+                    out.append((key[0], r.seq, AFTERWARDS + r.reason, True))
+            if r.last:
+                stopped = False
+                self.state.clear()
+        if stopped:
+            self.state.update((stopped,))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "emitted", "stopped"])
 
     def close(self) -> None:
         pass
 
 
-def guard(tokens: DataFrame, unsafe: Callable[[str], bool], every: int = CHECK_EVERY) -> DataFrame:
-    """Guards a stream of ``stream_id, seq, token``."""
-    return tokens.groupBy("stream_id").transformWithStateInPandas(Guard(unsafe, every), OUTPUT, "Append", "ProcessingTime")
+def _verdicts(points: DataFrame, settings: decide.Settings) -> DataFrame:
+    """``action`` and ``reason`` of each text: cheap detectors and policy alone, the full pipeline for the last one."""
+    d = decide.screen_cheap(points.withColumn("scan_target", F.lit("output")), settings)
+    d = decide.screen_models(d.withColumn("gate_open", F.col("gate_open") & F.col("last")), settings)
+    d = decide.decide(d, settings)
+    return d.withColumns({"action": F.when(F.col("last"), F.col("action")).otherwise(F.col("policy_action")), "reason": F.when(F.col("last"), F.col("reason")).otherwise(F.col("policy_reason"))})
 
 
-def guard_batch(tokens: DataFrame, pattern: str, every: int = CHECK_EVERY) -> DataFrame:
-    """The same over finished streams: where each stream is checked and where it stops.
+def guard(tokens: DataFrame, settings: decide.Settings = decide.Settings(), every: int = CHECK_EVERY) -> DataFrame:
+    """Guards a stream of ``stream_id, seq, token, last`` (``last`` ends its stream)."""
+    points = tokens.groupBy("stream_id").transformWithStateInPandas(Checkpoints(every), POINTS, "Append", "ProcessingTime")
+    verdicts = _verdicts(points, settings).select("stream_id", "n", "seq", "buffer", "last", "action", "reason")
+    return verdicts.groupBy("stream_id").transformWithStateInPandas(Emitter(), OUTPUT, "Append", "ProcessingTime")
+
 
-    ``stream_id, checks, stopped_at, emitted_chars``; ``pattern`` is a Java pattern that stops a stream.
-    """
-    d = tokens.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "token"))).alias("t"))
-    start = F.struct(F.lit("").alias("total"), F.lit(0).alias("waiting"), F.lit(0).alias("checks"), F.lit(0).alias("sent"), F.lit(None).cast("long").alias("at"))
+def checkpoints(tokens: DataFrame, every: int = CHECK_EVERY) -> DataFrame:
+    """``stream_id, total, cuts`` of finished streams: the whole text, put together once, and where it is
+    checked (place after the text to check, and the token's ``seq``). One fold over token lengths."""
+    d = tokens.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("token", F.lit("")).alias("token")))).alias("t"))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("waiting"), F.array().cast("array<struct<pos:int,seq:bigint>>").alias("cuts"))
 
-    def step(a, x):
-        total = F.concat(a["total"], x["token"])
-        waiting = a["waiting"] + F.length(x["token"])
+    def step(a: Column, x: Column) -> Column:
+        pos, waiting = a["pos"] + x["n"], a["waiting"] + x["n"]
         due = waiting >= every
-        bad = due & total.rlike(pattern)
-        live = a["at"].isNull()
-        return F.when(
-            live,
-            F.struct(
-                total.alias("total"),
-                F.when(due, 0).otherwise(waiting).alias("waiting"),
-                (a["checks"] + due.cast("int")).alias("checks"),
-                (a["sent"] + F.when(due & ~bad, waiting).otherwise(0)).alias("sent"),
-                F.when(bad, x["seq"].cast("long")).alias("at"),
-            ),
-        ).otherwise(a)
-
-    d = d.withColumn("r", F.aggregate("t", start, step))
-    flushed = F.when(F.col("r.at").isNull(), F.col("r.sent") + F.col("r.waiting")).otherwise(F.col("r.sent"))
-    return d.select("stream_id", F.col("r.checks").alias("checks"), F.col("r.at").alias("stopped_at"), flushed.cast("long").alias("emitted_chars"))
+        cut = F.array(F.struct(pos.alias("pos"), x["seq"].cast("long").alias("seq")))
+        return F.struct(pos.alias("pos"), F.when(due, 0).otherwise(waiting).alias("waiting"), F.when(due, F.concat(a["cuts"], cut)).otherwise(a["cuts"]).alias("cuts"))
+
+    sizes = F.transform("t", lambda x: F.struct(x["seq"].alias("seq"), F.length(x["token"]).alias("n")))
+    total = F.array_join(F.transform("t", lambda x: x["token"]), "")
+    return d.select("stream_id", total.alias("total"), F.aggregate(sizes, start, step, lambda a: a["cuts"]).alias("cuts"))
+
+
+def _stopped(points: DataFrame, first: Column) -> DataFrame:
+    """``stream_id, checks, stopped_at, emitted_chars`` where ``first`` is the number of the first bad check, or null."""
+    cut = lambda k, part: F.get("cuts", k)[part]
+    before = F.when(first > 0, cut(first - 1, "pos")).otherwise(0)
+    return points.select(
+        "stream_id",
+        F.coalesce(first + 1, F.size("cuts")).cast("int").alias("checks"),
+        cut(first, "seq").alias("stopped_at"),
+        F.when(first.isNull(), F.length("total")).otherwise(before).cast("long").alias("emitted_chars"),
+    )
+
+
+def guard_batch(tokens: DataFrame, pattern: str, every: int = CHECK_EVERY) -> DataFrame:
+    """Where finished streams are checked and where they stop; ``pattern`` is a Java pattern that stops a stream."""
+    points = checkpoints(tokens, every)
+    hits = let(F.col("total"), lambda t: F.transform("cuts", lambda c: F.substring(t, F.lit(1), c["pos"]).rlike(pattern)))
+    at = F.array_position(hits, F.lit(True)).cast("int")
+    points = points.withColumn("_first", F.when(at > 0, at - 1))
+    return _stopped(points, F.col("_first"))
+
+
+def screened(tokens: DataFrame, settings: decide.Settings = decide.Settings(), every: int = CHECK_EVERY) -> DataFrame:
+    """The guard over finished streams, with detectors and policy: ``stream_id, checks, stopped_at, emitted_chars,
+    reason`` (why it stopped) and ``retrospective`` (what the full pipeline says of a stream that went out)."""
+    points = checkpoints(tokens, every)
+    each = points.select("stream_id", "total", F.posexplode(F.concat(F.transform("cuts", lambda c: c["pos"]), F.array(F.lit(None).cast("int")))).alias("n", "pos"))
+    each = each.select("stream_id", "n", F.col("pos").isNull().alias("last"), F.coalesce(F.substring("total", F.lit(1), F.col("pos")), "total").alias("text"))
+    # no filter by verdict: it would be pushed below the detectors, with all of them in it
+    stops = F.col("action").isin(*STOPPING)
+    bad = _verdicts(each, settings).groupBy("stream_id").agg(F.min(F.when(stops & ~F.col("last"), F.struct("n", "reason"))).alias("_stop"), F.min(F.when(stops & F.col("last"), F.col("reason"))).alias("_after"))
+    points = points.join(bad, "stream_id", "left")
+    first = _stopped(points, F.col("_stop.n")).join(bad, "stream_id", "left")
+    return first.select("stream_id", "checks", "stopped_at", "emitted_chars", F.col("_stop.reason").alias("reason"), F.when(F.col("stopped_at").isNull(), F.col("_after")).alias("retrospective"))
 
 
 class SessionScore(StatefulProcessor):

@@ -129,32 +129,66 @@ def test_metrics_of_nothing(spark):
 
 
 def tokens():
-    return [("a", k, w + " ") for k, w in enumerate(("safe words " * 40 + "bomb " + "more words " * 60).split())] + [("b", k, "calm text ") for k in range(40)]
+    rng = random.Random(4)
+    calm = lambda n: "".join(rng.choice(["river", "stone", "garden", "window", "paper", "winter", "bread", "candle", "north", "music"]) + rng.choice("aeiou") + " " for _ in range(n))
+    said = {"a": calm(60) + "mail jane@roe.org ssn 123-45-6789 " + calm(90), "b": calm(60), "c": calm(50) + "how to make a bomb at home", "d": "", "e": "my ssn is 123-45-6789 " + calm(80)}
+    return [(s, k, w + " ", False) for s, t in said.items() for k, w in enumerate(t.split())] + [(s, 10_000, "", True) for s in said]
+
+
+def plain_stream(spark, own):
+    """``fold`` with the engine's verdict on each prefix."""
+    prefixes, total, waiting = [], "", ""
+    for _, _, t, _ in own:
+        total, waiting = total + t, waiting + t
+        if len(waiting) >= guard.CHECK_EVERY:
+            prefixes.append(total)
+            waiting = ""
+    cheap = decide.Settings(model_detectors=False, ensemble_enabled=False)
+    d = spark.createDataFrame([(t,) for t in {*prefixes, total}], "text string").withColumn("scan_target", F.lit("output"))
+    bad = ("BLOCK", "REDACT")
+    early = {r.text: r.reason for r in decide.analyze(d, cheap).collect() if r.action in bad}
+    late = {r.text: r.reason for r in decide.analyze(d).collect() if r.action in bad}
+    return guard.fold([t for _, _, t, _ in own], early.get, late.get)
+
+
+SCHEMA = "stream_id string, seq long, token string, last boolean"
 
 
 def test_batch_guard_equals_the_fold(spark):
-    d = spark.createDataFrame(tokens(), "stream_id string, seq int, token string")
-    got = {r.stream_id: r for r in guard.guard_batch(d, "bomb").collect()}
-    for s in "ab":
-        out = guard.fold([t for i, _, t in tokens() if i == s], lambda t: "bomb" in t)
-        stopped = out[-1][1]
-        assert (got[s].stopped_at is not None) == stopped
+    d = spark.createDataFrame(tokens(), SCHEMA)
+    by_pattern = {r.stream_id: r for r in guard.guard_batch(d, "jane").collect()}
+    got = {r.stream_id: r for r in Engine(spark).screen_streams(d).collect()}
+    for s in "abcde":
+        own = [r for r in tokens() if r[0] == s]
+        out = guard.fold([r[2] for r in own], lambda t: "" if "jane" in t else None)
+        assert (by_pattern[s].stopped_at is not None) == (s == "a")
+        assert by_pattern[s].emitted_chars == sum(len(t) for t, bad in out if not bad)
+        out = plain_stream(spark, own)
+        early = [t.removeprefix(guard.STOPPED) for t, bad in out if bad and t.startswith(guard.STOPPED)]
+        late = [t.removeprefix(guard.AFTERWARDS) for t, bad in out if bad and t.startswith(guard.AFTERWARDS)]
         assert got[s].emitted_chars == sum(len(t) for t, bad in out if not bad)
+        assert ([got[s].reason] if got[s].stopped_at is not None else []) == early
+        assert ([got[s].retrospective] if got[s].retrospective else []) == late
+    assert got["a"].reason and got["e"].stopped_at is not None and got["c"].retrospective and got["b"].retrospective is None
 
 
-def test_live_guard_and_scores(spark, tmp_path):
+def test_live_guard_flushes_and_looks_back(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     source = str(tmp_path / "in")
-    spark.createDataFrame(tokens(), "stream_id string, seq long, token string").coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema("stream_id string, seq long, token string").parquet(source)
-    q = guard.guard(stream, lambda t: "bomb" in t).writeStream.format("memory").queryName("guarded").option("checkpointLocation", str(tmp_path / "c1")).outputMode("append").start()
-    q.processAllAvailable()
+    half = [r for r in tokens() if r[1] < 50], [r for r in tokens() if r[1] >= 50]
+    q = None
+    for part in half:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        if q is None:
+            stream = spark.readStream.schema(SCHEMA).parquet(source)
+            q = Engine(spark).stream_output(stream).writeStream.format("memory").queryName("guarded").option("checkpointLocation", str(tmp_path / "c1")).outputMode("append").start()
+        q.processAllAvailable()
     q.stop()
-    rows = spark.table("guarded").orderBy("stream_id", "seq").collect()
-    want = [(t, bad) for t, bad in guard.fold([t for i, _, t in tokens() if i == "a"], lambda t: "bomb" in t)]
-    assert [(r.emitted, r.stopped) for r in rows if r.stream_id == "a"] == want
-    assert all(not r.stopped for r in rows if r.stream_id == "b")
+    rows = spark.table("guarded").collect()
+    for s in "abcde":
+        own = sorted((r for r in rows if r.stream_id == s), key=lambda r: (r.seq, r.stopped))
+        assert [(r.emitted, r.stopped) for r in own] == plain_stream(spark, [r for r in tokens() if r[0] == s])
 
 
 def test_model_scorer_runs_behind_the_gate(spark):
