@@ -132,7 +132,7 @@ def compliance_table(spark) -> DataFrame:
 
 def compliance_presets(spark) -> DataFrame:
     """Each compliance profile as a preset row."""
-    d = compliance_table(spark).groupBy("profile", "session_flag", "session_block", "retention_days").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("threat_type", "overrides")))).alias("action_overrides"))
+    d = compliance_table(spark).groupBy("profile", "session_flag", "session_block", "retention_days").agg(F.map_from_entries(F.collect_list(F.struct("threat_type", "overrides"))).alias("action_overrides"))
     none = lambda m: F.map_filter(m, lambda _, v: F.size(v) > 0)
     return d.select(F.concat(F.lit("compliance_"), "profile").alias("name"), F.lit("compliance_profile").alias("source"), F.lit(True).alias("enabled"), "session_flag", "session_block", none("action_overrides").alias("action_overrides"), "retention_days")
 

@@ -97,7 +97,7 @@ def reply_object(raw: Column) -> Column:
 
 def threshold(override: Column, default: float = 0.5) -> Column:
     """The confidence that counts, cut to [0, 1]; it concerns the model's matches, never patterns."""
-    return F.coalesce(F.least(F.greatest(override.cast("double"), F.lit(0.0)), F.lit(1.0)), F.lit(default))
+    return F.least(F.greatest(F.coalesce(override.cast("double"), F.lit(default)), F.lit(0.0)), F.lit(1.0))
 
 
 def found(detector: str, raw: Column, least: Column) -> Column:

@@ -347,15 +347,8 @@ def tuned_overrides(spark, sf_dir):
     return evaluate.tuned_overrides(A.policy_adjustments(_both(spark, sf_dir)))
 
 
-@query("""SELECT sum(len(list_intersect(a, b)))::BIGINT AS tp, sum(len(b) - len(list_intersect(a, b)))::BIGINT AS fp, sum(len(a) - len(list_intersect(a, b)))::BIGINT AS fn FROM (SELECT list_distinct(string_split(lower(text), ' ')[:20]) AS a, list_distinct(string_split(lower(text), ' ')[5:25]) AS b FROM documents)""", False)
-def value_metrics(spark, sf_dir):
-    w = F.split(F.lower("text"), " ")
-    d = read(spark, sf_dir, "documents").select(F.array_distinct(F.slice(w, 1, 20)).alias("a"), F.array_distinct(F.slice(w, 5, 21)).alias("b"))
-    return evaluate.value_metrics(d, "a", "b").select("tp", "fp", "fn")
-
-
 @query(r"""SELECT sum(len(list_intersect(a, b)))::BIGINT AS tp, sum(len(b) - len(list_intersect(a, b)))::BIGINT AS fp, sum(len(a) - len(list_intersect(a, b)))::BIGINT AS fn FROM (SELECT list_distinct(regexp_extract_all(text, '[0-9]+')) AS a, list_distinct(regexp_extract_all(text, '[0-9]{2,}|[A-Z]{2,}')) AS b FROM documents)""", False)
-def value_metrics_all(spark, sf_dir):
+def value_metrics(spark, sf_dir):
     """Values that two simple detectors find in whole texts."""
     values = lambda pattern: F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     d = read(spark, sf_dir, "documents").select(values("[0-9]+").alias("a"), values("[0-9]{2,}|[A-Z]{2,}").alias("b"))
@@ -396,26 +389,6 @@ def cache_ttl(spark, sf_dir):
     return cache.ttl_hits(read(spark, sf_dir, "events"), "user_id", "ts", 3600)
 
 
-def _near_oracle(first: int, last: int, limit: float) -> str:
-    return f"""WITH c AS (SELECT vec_id AS c, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id >= {first} AND vec_id < {last}), q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id >= 70)
-  SELECT vec_id, arg_min(c, (d, c)) AS cached_id, round(min(d), 6) AS distance FROM (SELECT vec_id, c, 1 - list_cosine_similarity(q.e, c.e) AS d FROM q, c) GROUP BY vec_id HAVING min(d) <= {limit}"""
-
-
-def _near(spark, sf_dir, first: int, last: int, limit: float) -> DataFrame:
-    d = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return cache.nearest(d.filter("vec_id >= 70"), d.filter(f"vec_id >= {first} AND vec_id < {last}"), limit)
-
-
-@query(_near_oracle(0, 50, 0.75), False)
-def threat_cache(spark, sf_dir):
-    return _near(spark, sf_dir, 0, 50, 0.75)
-
-
-@query(_near_oracle(50, 70, 0.8), False)
-def allowlist_cache(spark, sf_dir):
-    return _near(spark, sf_dir, 50, 70, 0.8)
-
-
 def _near_all_oracle(first: int, last: int, limit: float) -> str:
     inside = f"vec_id >= {first} AND vec_id < {last}"
     return f"""WITH c AS (SELECT vec_id AS c, embedding::DOUBLE[] AS e FROM embeddings WHERE {inside}), q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE NOT ({inside}))
@@ -429,12 +402,12 @@ def _near_all(spark, sf_dir, first: int, last: int, limit: float) -> DataFrame:
 
 
 @query(_near_all_oracle(0, 50, 0.75), False)
-def threat_cache_all(spark, sf_dir):
+def threat_cache(spark, sf_dir):
     return _near_all(spark, sf_dir, 0, 50, 0.75)
 
 
 @query(_near_all_oracle(50, 70, 0.8), False)
-def allowlist_cache_all(spark, sf_dir):
+def allowlist_cache(spark, sf_dir):
     return _near_all(spark, sf_dir, 50, 70, 0.8)
 
 
@@ -445,6 +418,13 @@ def stream_guard(spark, sf_dir):
     return guard.guard_batch(d, java_regex(C.GATE_WORDS, "i"))
 
 
+@query()
+def stream_interventions(spark, sf_dir):
+    """The same turns under the detectors and the policy, and what the whole pipeline says of those that went out."""
+    d = read(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.posexplode(F.split("text", "(?<= )")).alias("seq", "token"))
+    return guard.screened(d)
+
+
 @query("""SELECT user_id, strftime(time_bucket(INTERVAL 1 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 1""", False)
 def rate_windows(spark, sf_dir):
     return guard.rate_limited(read(spark, sf_dir, "events"), 1).select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "requests")

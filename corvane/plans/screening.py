@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import catalog
 from corvane.functions import constants as C
-from corvane.functions.dialect import java_regex, quoted
+from corvane.functions.dialect import held, java_regex, quoted
 from corvane.operators import decide, detect, interact, session
 from corvane.plans.probes import probes, values
 from corvane.plans.tables import read, spread
@@ -44,6 +44,10 @@ def _types(matches) -> F.Column:
     return F.array_join(F.transform(matches, lambda m: m["match_type"]), ",")
 
 
+def _evidence(matches) -> F.Column:
+    return F.array_join(F.transform(matches, lambda m: m["evidence"]), "\n")
+
+
 def _search_oracle(source: str, key: str, patterns, flags: str, text: str = "text") -> str:
     """Comma-joined types of the patterns that a text has, in order."""
     parts = ", ".join(f"CASE WHEN regexp_matches(t, {_re2(p, flags)}) THEN {_lit(kind)} END" for kind, p in patterns)
@@ -144,7 +148,8 @@ def abuse_patterns_probes(spark, sf_dir):
 
 @query()
 def abuse_matches(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", _types(detect.abuse("text")).alias("found"))
+    d = _texts(spark, sf_dir).withColumn("m", held(detect.abuse("text")))
+    return d.select("doc_id", _types(F.col("m")).alias("found"), _evidence(F.col("m")).alias("evidence"))
 
 
 _PLAIN_PII = [(k, p, d) for k, p, d, _ in catalog.PII if "(?!" not in p]
@@ -161,13 +166,8 @@ def _raw_counts(d: DataFrame) -> DataFrame:
     return detect.with_folded(d.select("doc_id", "text", F.col("text").rlike(r"\p{Nd}").alias("has_digit")), "text").selectExpr("doc_id", *counts)
 
 
-@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {_re2(p, detect._pii_flags(d))}))::INT AS {k}" for k, p, d in _PLAIN_PII) + " FROM documents WHERE lang = 'en'")
-def pii_raw_counts(spark, sf_dir):
-    return _raw_counts(read(spark, sf_dir, "documents").filter("lang = 'en'"))
-
-
 @query()
-def pii_raw_counts_all(spark, sf_dir):
+def pii_raw_counts(spark, sf_dir):
     """Of all rows, whatever their language; on non-ASCII text the dialects differ, so the test is brute force."""
     return _raw_counts(read(spark, sf_dir, "documents"))
 
@@ -202,6 +202,13 @@ def secret_matches(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", _types(known).alias("found"))
 
 
+@query()
+def secret_findings(spark, sf_dir):
+    """With random-looking credentials."""
+    d = _texts(spark, sf_dir).withColumn("m", held(detect.secrets("text")))
+    return d.select("doc_id", _types(F.col("m")).alias("found"), _evidence(F.col("m")).alias("evidence"))
+
+
 @query()
 def secret_redaction(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", F.sha2(detect.redact_secrets(F.col("text")), 256).alias("redacted_sha256"))
@@ -335,7 +342,11 @@ def extraction_quality(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", files.quality(F.col("html"), ".pdf").alias("quality"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda r: array_to_string(list_filter(list_transform(string_split(r, ','), lambda c: trim(c)), lambda c: c <> ''), ' | ')), lambda r: r <> ''), chr(10)) AS cells FROM documents")
+@query(r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:"([^"]*(?:""[^"]*)*)"?)?([^,\r\n]*)(,|\r\n|\n|\r|$)', 1)) AS q, unnest(regexp_extract_all(text, '(?:"([^"]*(?:""[^"]*)*)"?)?([^,\r\n]*)(,|\r\n|\n|\r|$)', 2)) AS p,
+    unnest(regexp_extract_all(text, '(?:"([^"]*(?:""[^"]*)*)"?)?([^,\r\n]*)(,|\r\n|\n|\r|$)', 3)) AS e, unnest(range(length(text) + 2)) AS i FROM documents),
+  r AS (SELECT doc_id, i, regexp_replace(replace(coalesce(q, ''), '""', '"') || p, '^\s+|\s+$', '', 'g') AS v, coalesce(sum((e <> ',')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM c WHERE e IS NOT NULL),
+  l AS (SELECT doc_id, n, string_agg(v, ' | ' ORDER BY i) AS line FROM r WHERE v <> '' GROUP BY ALL),
+  t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS cells FROM l GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(t.cells, '') AS cells FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""")
 def csv_cells(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", files.csv_cells(F.col("text")).alias("cells"))
-
