@@ -266,7 +266,8 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
     buckets = _blocked(leaves.distinct()).join(described, "rid").select(*key, "rid", "own", "sig", "leaves", "copies")
     near = _likely(agreeing_for(recall, threshold, places))
     likely = materialize(dealt(buckets).mapInArrow(near, "path bigint, x int, y int, rid bigint, own int, leaves array<bigint>, copies bigint"), "likely")
-    texts = rows.select("rid", "text").join(likely.select("rid").distinct(), "rid")
+    # merged at every size: one plan, whose traffic grows with the input and no faster
+    texts = rows.select("rid", "text").join(likely.select("rid").distinct().hint("merge"), "rid")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
