@@ -27,7 +27,7 @@ def pairs(df):
 
 def test_one_row_of_each_class_stays_whatever_ids_repeat(spark, tmp_path):
     run = lambda rows: pairs(STAGES["near_duplicates"](spark, frame(spark, rows), str(tmp_path)))
-    for seed in range(6):  # whichever of the two texts has the lesser hash
+    for seed in range(2):  # whichever of the two texts has the lesser hash
         clean, other = text(seed), text(100 + seed)
         rows = [(5, clean), (3, other), (5, other + " more")]
         assert run(rows) == sorted([(5, clean), (3, other)], key=str)
@@ -84,9 +84,9 @@ def test_extra_columns_are_carried_unchanged(spark, tmp_path):
     got = out.collect()
     assert sorted({r.doc_id for r in got}) == list(range(25))
     assert all(r[n] == f"{n}:{r.doc_id}" for r in got for n in names)
-    for frame_ in (spark.read.parquet(str(tmp_path / "documents.parquet")), docs):
-        for name, stage in corpus_pipeline.STAGES[:4]:
-            assert stage(spark, frame_, str(tmp_path)).columns == docs.columns, name
+    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, read, str(tmp_path)).columns == docs.columns, name
 
 
 def plain_pipeline_rows(spark, docs, sf_dir):
@@ -140,9 +140,8 @@ def test_pipeline_equals_brute_force(spark):
         got = materialize(stage(spark, got, sf), "stage")
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == want
     mix = {r.doc_id: r.taken // r.size for r in mixing.fair_mix(got).collect() if r.size}
-    times = Counter(r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect())
-    assert times == Counter({k: n for k, n in mix.items() if n})
-    out = corpus_pipeline.run(spark, sf).select("shard", "slot").collect()
+    out = corpus_pipeline.run(spark, sf).select("doc_id", "shard", "slot").collect()
+    assert Counter(r.doc_id for r in out) == Counter({k: n for k, n in mix.items() if n})
     counts = Counter(r.shard for r in out)
     assert max(counts.values()) - min(counts.values()) <= 1
     assert {(r.shard, r.slot) for r in out} == {(s, k) for s, n in counts.items() for k in range(n)}
