@@ -135,26 +135,32 @@ def tokens():
     return [(s, k, w + " ", False) for s, t in said.items() for k, w in enumerate(t.split())] + [(s, 10_000, "", True) for s in said]
 
 
-def plain_stream(spark, own):
-    """``fold`` with the engine's verdict on each prefix."""
-    prefixes, total, waiting = [], "", ""
-    for _, _, t, _ in own:
-        total, waiting = total + t, waiting + t
-        if len(waiting) >= guard.CHECK_EVERY:
-            prefixes.append(total)
-            waiting = ""
+@pytest.fixture(scope="module")
+def plain_streams(spark):
+    """``fold`` of each stream, with the engine's verdict on each prefix."""
+    prefixes, streams = set(), {}
+    for s, _, t, _ in tokens():
+        streams.setdefault(s, []).append(t)
+    for own in streams.values():
+        total = waiting = ""
+        for t in own:
+            total, waiting = total + t, waiting + t
+            if len(waiting) >= guard.CHECK_EVERY:
+                prefixes.add(total)
+                waiting = ""
+        prefixes.add(total)
     cheap = decide.Settings(model_detectors=False, ensemble_enabled=False)
-    d = spark.createDataFrame([(t,) for t in {*prefixes, total}], "text string").withColumn("scan_target", F.lit("output"))
+    d = spark.createDataFrame([(t,) for t in prefixes], "text string").coalesce(2).withColumn("scan_target", F.lit("output"))
     bad = ("BLOCK", "REDACT")
     early = {r.text: r.reason for r in decide.analyze(d, cheap).collect() if r.action in bad}
     late = {r.text: r.reason for r in decide.analyze(d).collect() if r.action in bad}
-    return guard.fold([t for _, _, t, _ in own], early.get, late.get)
+    return {s: guard.fold(own, early.get, late.get) for s, own in streams.items()}
 
 
 SCHEMA = "stream_id string, seq long, token string, last boolean"
 
 
-def test_batch_guard_equals_the_fold(spark):
+def test_batch_guard_equals_the_fold(spark, plain_streams):
     d = spark.createDataFrame(tokens(), SCHEMA)
     by_pattern = {r.stream_id: r for r in guard.guard_batch(d, "jane").collect()}
     got = {r.stream_id: r for r in Engine(spark).screen_streams(d).collect()}
@@ -163,7 +169,7 @@ def test_batch_guard_equals_the_fold(spark):
         out = guard.fold([r[2] for r in own], lambda t: "" if "jane" in t else None)
         assert (by_pattern[s].stopped_at is not None) == (s == "a")
         assert by_pattern[s].emitted_chars == sum(len(t) for t, bad in out if not bad)
-        out = plain_stream(spark, own)
+        out = plain_streams[s]
         early = [t.removeprefix(guard.STOPPED) for t, bad in out if bad and t.startswith(guard.STOPPED)]
         late = [t.removeprefix(guard.AFTERWARDS) for t, bad in out if bad and t.startswith(guard.AFTERWARDS)]
         assert got[s].emitted_chars == sum(len(t) for t, bad in out if not bad)
@@ -172,7 +178,7 @@ def test_batch_guard_equals_the_fold(spark):
     assert got["a"].reason and got["e"].stopped_at is not None and got["c"].retrospective and got["b"].retrospective is None
 
 
-def test_live_guard_flushes_and_looks_back(spark, tmp_path):
+def test_live_guard_flushes_and_looks_back(spark, tmp_path, plain_streams):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     source = str(tmp_path / "in")
@@ -188,7 +194,7 @@ def test_live_guard_flushes_and_looks_back(spark, tmp_path):
     rows = spark.table("guarded").collect()
     for s in "abcde":
         own = sorted((r for r in rows if r.stream_id == s), key=lambda r: (r.seq, r.stopped))
-        assert [(r.emitted, r.stopped) for r in own] == plain_stream(spark, [r for r in tokens() if r[0] == s])
+        assert [(r.emitted, r.stopped) for r in own] == plain_streams[s]
 
 
 def test_model_scorer_runs_behind_the_gate(spark):
