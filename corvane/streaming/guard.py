@@ -25,9 +25,9 @@ from corvane.operators import decide
 
 CHECK_EVERY = 150
 
-#: Fixed values. What is sent in place of text, before the reason.
-STOPPED = "\n\n[FIREWALL INTERVENTION] Stream terminated mid-generation. Reason: "
-AFTERWARDS = "\n\n[FIREWALL INTERVENTION - RETROSPECTIVE] The previous text was determined to be unsafe after a full context scan: "
+#: What is sent in place of text, before the reason.
+STOPPED = "\n\n[STREAM STOPPED BY POLICY] Reason: "
+AFTERWARDS = "\n\n[FOUND UNSAFE AFTERWARDS] The text above does not pass a scan of the whole: "
 
 POINTS = "stream_id string, n int, seq long, buffer string, text string, last boolean"
 OUTPUT = "stream_id string, seq long, emitted string, stopped boolean"
