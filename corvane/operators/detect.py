@@ -130,18 +130,14 @@ def secrets(name: str) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits over code points: one sort, then the lengths of the runs of equal ones."""
+    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
 
-    def within(ordered: Column) -> Column:
-        n = F.size(ordered)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-
-        def summed(cuts: Column) -> Column:
-            share = F.transform(cuts, lambda i, k: (F.coalesce(F.get(cuts, k + 1), n) - i) / n.cast("double"))
-            return double_sum(F.transform(share, lambda p: -p * F.log2(p)))
-
-        return F.when(n > 0, let(starts, summed)).otherwise(0.0)
+    def within(n: Column) -> Column:
+        share = F.transform(runs, lambda run: F.length(run) / n)
+        return F.when(n > 0, double_sum(F.transform(share, lambda p: -p * F.log2(p)))).otherwise(0.0)
 
-    return let(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), within)
+    return let(F.length(text).cast("double"), within)
 
 
 def most_frequent(items: Column) -> Column:
@@ -173,17 +169,21 @@ def has_repeated(items: Column, times: int) -> Column:
     return let(F.sort_array(items), within)
 
 
-def phrases(items: Column, n: int = 3, hashed: bool = False) -> Column:
-    """Runs of ``n`` items joined by spaces, or their 64-bit hashes: numbers sort far faster than strings."""
+def phrases(items: Column, n: int = 3) -> Column:
+    """Runs of ``n`` items joined by spaces."""
 
     def within(w: Column) -> Column:
-        one = (lambda *x: F.xxhash64(*x)) if hashed else (lambda *x: F.concat_ws(" ", *x))
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: one(*[F.get(w, i + k) for k in range(n)]))
-        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<bigint>" if hashed else "array<string>"))
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
     return let(items, within)
 
 
+def hashed_phrases(hashes: Column, n: int = 3) -> Column:
+    """Hashes of runs of ``n`` hashed items: numbers sort far faster than strings."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
+    return F.when(F.size(hashes) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def longest_run(text: Column, least: int) -> Column:
     """Longest run of one character among runs of ``least`` or more, else 0."""
     runs = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1{%d,}" % (least - 1)), F.lit(0))
@@ -218,8 +218,14 @@ def upper_ratio(text: Column) -> Column:
     return count_of(text, r"\p{Lu}") / letters(text)
 
 
-#: Blocks that hold all homoglyphs; texts without any such character skip the count.
-UNUSUAL = r"[\u0400-\u04ff\u2100-\u214f\uff00-\uffef\x{1d400}-\x{1d7ff}]"
+def is_ascii(text: Column) -> Column:
+    """Whether no code point takes more than one byte: a look at two lengths, no search."""
+    return F.octet_length(text) == F.length(text)
+
+
+def members(text: Column, characters: str) -> Column:
+    """How many code points of a text are among a few given ones, none of them ASCII."""
+    return F.when(is_ascii(text), 0).otherwise(F.length(text) - F.length(F.translate(text, characters, "")))
 
 
 def abuse(name: str) -> Column:
@@ -237,7 +243,7 @@ def abuse(name: str) -> Column:
     longest = F.regexp_extract_all(text, F.lit(r"(?s)(.)\1{%d,}" % (lim["char_run"] - 1)), F.lit(0))
     most_run = let(longest, lambda runs: F.get(F.filter(runs, lambda r: F.length(r) == F.array_max(F.transform(runs, lambda x: F.length(x)))), F.lit(0)))
     repeated = lambda kind, items: let(most_frequent(items), lambda t: say(f"{kind} '%s' repeated %d times", t["item"], t["n"]))
-    parts = [
+    first = [
         F.when(n > lim["critical_length"], match("critical_length_overflow", "Input exceeds critical length threshold", size(lim["critical_length"]), 1.0, 4)).when(
             n > lim["length"], match("excessive_length", "Input exceeds maximum allowed length", size(lim["length"]), 1.0, 3)
         ),
@@ -246,11 +252,14 @@ def abuse(name: str) -> Column:
             (n >= lim["char_run"]) & text.rlike(r"(?s)(.)\1{%d}" % (lim["char_run"] - 1)),
             match("char_repetition_attack", "Single character repeated excessively (DoS pattern)", let(most_run, lambda r: say("Char '%s' repeated %d times consecutively", F.substring(r, 1, 1), F.length(r))), 1.0, 3),
         ),
-        F.when((n >= 2 * lim["word"] - 1) & has_repeated(phrases(w, 1, True), lim["word"]), match("word_repetition_attack", "Same word repeated excessively (padding/inflation attack)", repeated("Word", w), 1.0, 3)),
-        F.when(
-            (n >= 2 * lim["phrase"] + 3) & has_repeated(phrases(w, 3, True), lim["phrase"]),
-            match("phrase_repetition_attack", "Repeated phrase detected (prompt stuffing attack)", repeated("Phrase", phrases(w)), 1.0, 3),
-        ),
+    ]
+    repeats = [
+        lambda h: F.when(has_repeated(h, lim["word"]), match("word_repetition_attack", "Same word repeated excessively (padding/inflation attack)", repeated("Word", w), 1.0, 3)),
+        lambda h: F.when((F.size(h) >= lim["phrase"] + 2) & has_repeated(hashed_phrases(h), lim["phrase"]), match("phrase_repetition_attack", "Repeated phrase detected (prompt stuffing attack)", repeated("Phrase", phrases(w)), 1.0, 3)),
+    ]
+    # the words are split and hashed once for both
+    both = F.when(n >= 2 * min(lim["word"], lim["phrase"] + 2) - 1, let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: gathered([r(h) for r in repeats]))).otherwise(gathered([F.lit(None).cast(MATCH)]))
+    later_measures = [
         F.when((n >= 50) & (entropy(text) < lim["entropy"]), match("low_entropy_input", "Extremely low entropy — highly repetitive/uniform content", say(f"Shannon entropy: %.3f bits (threshold: {lim['entropy']})", entropy(text)), 1.0, 2)),
         F.when((n >= 20) & (special_ratio(text) > lim["special"]), match("special_char_flood", "Abnormally high ratio of special characters", share("Special char ratio", special_ratio(text), lim["special"]), 1.0, 2)),
         F.when((n >= 20) & (digit_ratio(text) > lim["digits"]), match("digit_flood", "Abnormally high ratio of digits (possible data exfiltration or obfuscation)", share("Digit ratio", digit_ratio(text), lim["digits"]), 1.0, 2)),
@@ -263,8 +272,8 @@ def abuse(name: str) -> Column:
         ),
         F.when(urls > lim["urls"], match("url_flood", "Excessive number of URLs (SSRF harvesting or spam)", say(f"Found %d URLs, limit: {lim['urls']}", urls), 1.0, 3)),
         F.when(depth > lim["nesting"], match("deeply_nested_structure", "Deeply nested brackets/braces (ReDoS or parser bomb attempt)", say(f"Max nesting depth: %d, limit: {lim['nesting']}", depth), 1.0, 3)),
-        F.when(text.rlike(UNUSUAL) & (count_of(text, C.HOMOGLYPHS) >= lim["homoglyphs"]), match("homoglyph_attack", "Unicode homoglyphs/lookalike characters detected (filter evasion)", say("Found %d homoglyph character(s)", count_of(text, C.HOMOGLYPHS)), 1.0, 3)),
-        F.when(count_of(text, C.INVISIBLE) >= lim["invisible"], match("invisible_char_injection", "Invisible/zero-width characters detected (prompt evasion or steganography)", say("Found %d invisible character(s)", count_of(text, C.INVISIBLE)), 1.0, 3)),
+        F.when(members(text, C.HOMOGLYPHS) >= lim["homoglyphs"], match("homoglyph_attack", "Unicode homoglyphs/lookalike characters detected (filter evasion)", say("Found %d homoglyph character(s)", members(text, C.HOMOGLYPHS)), 1.0, 3)),
+        F.when(members(text, C.INVISIBLE) >= lim["invisible"], match("invisible_char_injection", "Invisible/zero-width characters detected (prompt evasion or steganography)", say("Found %d invisible character(s)", members(text, C.INVISIBLE)), 1.0, 3)),
     ]
     families, later = [], []
     for kind, patterns in catalog.ABUSE_PATTERNS.items():
@@ -272,7 +281,7 @@ def abuse(name: str) -> Column:
         one = [_search_sql(name, kind, p, d, 1.0, catalog.ABUSE_PATTERN_WEIGHTS[kind], flags, 80) for p, d in patterns]
         (families if kind in ("script_injection", "path_traversal", "encoding_obfuscation") else later).extend([f"coalesce({', '.join(one)})"] if kind == "path_traversal" else one)
     printf = F.when(F.size(formats) >= lim["formats"], match("format_string_attack", "Multiple format string specifiers detected", F.concat(F.lit("Found: ['"), F.array_join(F.slice(formats, 1, 5), "', '"), F.lit("']")), 1.0, 3))
-    return F.concat(gathered(parts), _gathered_sql(families), gathered([printf]), _gathered_sql(later))
+    return F.concat(gathered(first), both, gathered(later_measures), _gathered_sql(families), gathered([printf]), _gathered_sql(later))
 
 
 def normalised(text: Column) -> Column:

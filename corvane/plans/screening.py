@@ -103,8 +103,8 @@ def text_entropy(spark, sf_dir):
 def repetition(spark, sf_dir):
     from corvane.functions.dialect import words
 
-    d = _texts(spark, sf_dir).withColumn("w", words(F.lower("text"))).filter(F.size("w") > 0).withColumn("t", detect.most_frequent(F.col("w")))
-    return d.select("doc_id", F.col("t.item").alias("top_word"), F.col("t.n").alias("times"), detect.has_repeated(detect.phrases(F.col("w"), 1, True), 50).alias("word_attack"), detect.has_repeated(detect.phrases(F.col("w"), 3, True), 20).alias("phrase_attack"))
+    d = _texts(spark, sf_dir).withColumn("w", words(F.lower("text"))).filter(F.size("w") > 0).withColumns({"t": detect.most_frequent(F.col("w")), "h": F.transform("w", lambda x: F.xxhash64(x))})
+    return d.select("doc_id", F.col("t.item").alias("top_word"), F.col("t.n").alias("times"), detect.has_repeated(F.col("h"), 50).alias("word_attack"), detect.has_repeated(detect.hashed_phrases(F.col("h")), 20).alias("phrase_attack"))
 
 
 @query("""WITH c AS (SELECT page_id, unnest(string_split(html, '')) AS ch, unnest(range(length(html))) AS i FROM pages),
@@ -262,7 +262,7 @@ def custom_rule_probes(spark, sf_dir):
 
 @query(f"SELECT doc_id, CASE WHEN length(text) >= 800 THEN 1.5 ELSE 0.0 END::DOUBLE + CASE WHEN regexp_matches(text, {_re2(C.GATE_WORDS, 'i')}) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")
 def gate_scores(spark, sf_dir):
-    return _texts(spark, sf_dir).select("doc_id", decide.gate_score(F.col("text"), F.lit(False)).alias("score"))
+    return _texts(spark, sf_dir).select("doc_id", decide.gate_score("text", F.lit(False)).alias("score"))
 
 
 def _policy_rows():
