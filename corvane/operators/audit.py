@@ -185,6 +185,11 @@ def running_counts(audit: DataFrame, rows: int = 200) -> DataFrame:
     return d.groupBy("agent").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "agent").limit(5)
 
 
+def running_days(audit: DataFrame, rows: int = 200) -> DataFrame:
+    """Entries of each day among the newest rows."""
+    return audit.orderBy(F.desc("id")).limit(rows).groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def per_minute_excess(requests: DataFrame, limit: int, by: str = "user_id", at: str = "ts") -> DataFrame:
     """Callers over ``limit`` requests in a fixed minute."""
     minute = F.date_trunc("minute", at)

@@ -46,9 +46,16 @@ def threshold_sweep(d: DataFrame, truth: Column, score: Column, thresholds: tupl
     return with_metrics(each.groupBy("threshold").agg(*[c.alias(k) for k, c in counts(truth, score >= F.col("threshold")).items()]))
 
 
-def percentiles(d: DataFrame, value: str, *by: str) -> DataFrame:
-    """p50, p95 and p99 by linear interpolation, exact."""
-    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *[F.percentile(value, p / 100).alias(f"p{p}") for p in (50, 95, 99)])
+def percentiles(d: DataFrame, value: str, *by: str, accuracy: int | None = None) -> DataFrame:
+    """p50, p95 and p99: exact, by linear interpolation, in memory for each distinct value of a group; or
+    with ``accuracy`` from a sketch of bounded size whose rank is off by at most 1 / accuracy."""
+    at = lambda p: F.percentile(value, p / 100) if accuracy is None else F.percentile_approx(value, p / 100, accuracy)
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *[at(p).alias(f"p{p}") for p in (50, 95, 99)])
+
+
+def throughput(mean_ms: Column) -> Column:
+    """Texts a second at a mean latency, one after the other."""
+    return F.when(mean_ms > 0, 1000 / mean_ms).otherwise(0.0)
 
 
 def weighted_score(precision: Column, recall: Column, f1: Column, latency_ms: Column) -> Column:
@@ -61,15 +68,21 @@ def stratified(d: DataFrame, per: int, key: str, *by: str, seed: str = "golden")
     return d.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per).drop("_n")
 
 
+def with_canaries(sample: DataFrame, canaries: DataFrame) -> DataFrame:
+    """A golden set: the sample and all canary rows, ``origin`` says which; columns are matched by name."""
+    return sample.withColumn("origin", F.lit("golden")).unionByName(canaries.withColumn("origin", F.lit("canary")), allowMissingColumns=True)
+
+
 def offset_slice(d: DataFrame, first: int, last: int, *order: str) -> DataFrame:
     """Rows ``first`` to ``last`` of an order, without numbering the others."""
     return d.orderBy(*order).limit(last).offset(first)
 
 
-def value_metrics(d: DataFrame, truth: str, found: str) -> DataFrame:
-    """Metrics over arrays of values: those in both, only found, only true, summed over rows."""
+def value_metrics(d: DataFrame, truth: str, found: str, *by: str) -> DataFrame:
+    """Metrics over arrays of values, for each group of ``by``: those in both, only found, only true, summed over rows."""
     n = lambda c: F.sum(F.size(c)).cast("long")
-    return with_metrics(d.agg(n(F.array_intersect(truth, found)).alias("tp"), n(F.array_except(found, truth)).alias("fp"), F.lit(0).cast("long").alias("tn"), n(F.array_except(truth, found)).alias("fn")))
+    own = d.groupBy(*by).agg(n(F.array_intersect(truth, found)).alias("tp"), n(F.array_except(found, truth)).alias("fp"), F.lit(0).cast("long").alias("tn"), n(F.array_except(truth, found)).alias("fn"))
+    return with_metrics(own)
 
 
 def block_rate(d: DataFrame, *by: str) -> DataFrame:
@@ -156,7 +169,7 @@ def macro_averages(metrics: DataFrame) -> DataFrame:
 
 def first_shuffled(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """The first ``n`` rows in an order that the seed fixes: a top-k, no global sort."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def ablation(texts: DataFrame, variants: dict[str, decide.Settings], truth: str) -> DataFrame:

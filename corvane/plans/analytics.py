@@ -189,30 +189,6 @@ def rate_limit(spark, sf_dir):
 
 # Governance
 
-_RULE_ROWS = [
-    ("r1", "Alpha", "alpha", "LOW", "both", True, "active", "global"),
-    ("r2", "alpha", "alpha", "HIGH", "both", True, "active", "global"),
-    ("r3", "Beta", "beta", "HIGH", "input", True, "draft", "ws1"),
-    ("r4", "Gamma", "gamma", "MEDIUM", "output", True, "active", "ws1"),
-    ("r5", "Delta", "delta", "LOW", "input", True, "active", ""),
-    ("r6", "Eps", "eps", "LOW", "input", False, "active", "ws2"),
-]
-_RULE_VALUES = "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in _RULE_ROWS) + ") r(id, name, pattern, severity, scope, enabled, status, workspace_id)"
-
-
-def _rules(spark) -> DataFrame:
-    return spark.createDataFrame(_RULE_ROWS, "id string, name string, pattern string, severity string, scope string, enabled boolean, status string, workspace_id string").withColumn("description", F.lit(""))
-
-
-@query(f"SELECT id, name FROM {_RULE_VALUES} WHERE enabled AND status <> 'draft' AND scope IN ('both', 'input') AND workspace_id IN ('', 'global', 'ws1')", False)
-def rules_in_force(spark, sf_dir):
-    return govern.rules_in_force(_rules(spark), "input", "ws1").select("id", "name")
-
-
-@query(f"SELECT id, name FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), pattern, scope, workspace_id ORDER BY id) AS n FROM {_RULE_VALUES}) WHERE n = 1 ORDER BY lower(name), id LIMIT 4", False)
-def distinct_rules(spark, sf_dir):
-    return govern.distinct_rules(_rules(spark), limit=4).select("id", "name")
-
 
 @query("""SELECT doc_id, id FROM documents, (VALUES ('a', '(?is)\\btoken\\b'), ('b', '(?is)licen[sc]ed?'), ('c', '(?is)^the ')) r(id, p) WHERE regexp_matches(text, p)""", False)
 def rule_join(spark, sf_dir):
@@ -220,31 +196,12 @@ def rule_join(spark, sf_dir):
     return govern.match_rules(read(spark, sf_dir, "documents"), govern.with_java_patterns(rules)).select("doc_id", "id")
 
 
-@query("""SELECT coalesce(b.id, a.id) AS id, coalesce(b.v, a.v) AS v, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'kept' ELSE 'updated' END AS change
-  FROM (VALUES ('x', 1), ('y', 2)) a(id, v) FULL JOIN (VALUES ('y', 3), ('z', 4)) b(id, v) ON a.id = b.id""", False)
-def feed_upsert(spark, sf_dir):
-    t = "id string, v int"
-    return govern.upsert(spark.createDataFrame([("x", 1), ("y", 2)], t), spark.createDataFrame([("y", 3), ("z", 4)], t))
-
-
-@query("SELECT * FROM (VALUES ('x', 1), ('y', 3), ('z', 4)) t(name, v)", False)
-def preset_overlay(spark, sf_dir):
-    t = "name string, v int"
-    return govern.overlay(spark.createDataFrame([("x", 1), ("y", 2)], t), spark.createDataFrame([("y", 3), ("z", 4)], t))
-
-
 @query("""SELECT source, CASE WHEN source IN ('src1') THEN 'strict' ELSE 'balanced' END AS preset, CASE WHEN source IN ('src1') THEN 6.0 ELSE 8.0 END::DOUBLE AS session_flag, count(*) AS n FROM documents GROUP BY ALL""", False)
 def preset_fallback(spark, sf_dir):
     d = read(spark, sf_dir, "documents").withColumn("policy_profile", F.when(F.col("source") == "src1", "strict").otherwise(F.col("source")))
     return govern.with_preset(d, govern.preset_table(spark)).groupBy("source", "preset", "session_flag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'y' AS name, 'v' AS field, '2' AS before, '3' AS after", False)
-def draft_diff(spark, sf_dir):
-    t = "name string, v int, w string"
-    return govern.draft_diff(spark.createDataFrame([("x", 1, None), ("y", 2, "q")], t), spark.createDataFrame([("x", 1, None), ("y", 3, "q")], t))
-
-
 @query("""SELECT *, CASE WHEN a = 'request' AND s IN ('not_requested', 'rejected') THEN 'pending' WHEN a = 'approve' AND s = 'pending' AND u <> 'ann' THEN 'approved' WHEN a = 'reject' AND s = 'pending' AND u <> 'ann' THEN 'rejected' WHEN a = 'promote' AND s IN ('approved', 'not_requested') THEN 'promoted' END AS next
   FROM (VALUES ('not_requested'), ('pending'), ('approved'), ('rejected')) x(s), (VALUES ('request'), ('approve'), ('reject'), ('promote')) y(a), (VALUES ('ann'), ('bob')) z(u)""", False)
 def approvals(spark, sf_dir):
@@ -360,12 +317,6 @@ def cost_model(spark, sf_dir):
     return evaluate.cost_model(spark)
 
 
-@query("""SELECT p AS p, r AS r, round(100 * (0.25 * p + 0.25 * r + 0.5 * f - least(l / 1000, 0.2)), 6)::DOUBLE AS score FROM (SELECT p::DOUBLE AS p, r::DOUBLE AS r, f::DOUBLE AS f, l::DOUBLE AS l FROM (VALUES (0.9, 0.8, 0.847, 83.0), (0.5, 0.5, 0.5, 900.0)) x(p, r, f, l))""", False)
-def leaderboard(spark, sf_dir):
-    d = spark.createDataFrame([(0.9, 0.8, 0.847, 83.0), (0.5, 0.5, 0.5, 900.0)], "p double, r double, f double, l double")
-    return d.select("p", "r", F.round(evaluate.weighted_score(F.col("p"), F.col("r"), F.col("f"), F.col("l")), 6).alias("score"))
-
-
 # Caches and streams
 
 

@@ -1,6 +1,6 @@
 """Registered queries of the screening engine."""
 
-from corvane.plans import analytics, screening
+from corvane.plans import analytics, screening, upkeep
 
-QUERIES: dict = {**screening.QUERIES, **analytics.QUERIES}
-ORACLES: dict = {**screening.ORACLES, **analytics.ORACLES}
+QUERIES: dict = {**screening.QUERIES, **analytics.QUERIES, **upkeep.QUERIES}
+ORACLES: dict = {**screening.ORACLES, **analytics.ORACLES, **upkeep.ORACLES}
