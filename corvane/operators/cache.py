@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import constants as C
 from corvane.functions.dialect import double_sum, strip
-from corvane.operators.decide import severity_name
+from corvane.operators.decide import severity_name, severity_rank
 
 TTL_SECONDS = 300
 SIMILAR_LENGTH = 40
@@ -107,14 +107,16 @@ def recalled(texts: DataFrame, threats: DataFrame, allowed: DataFrame, id_column
     """Adds ``allow_reason`` and ``cached_threat`` (threat_type, severity, similarity, source), null where no
     known vector is near; ``decide`` takes both into account, the allowlist first.
 
-    ``texts`` have ``embedding``; ``threats`` have threat_type, severity and source_agent, ``allowed`` a reason.
-    Caches are small, which ``nearest`` checks.
+    ``texts`` have ``embedding`` and an id of their own; ``threats`` have threat_type, severity and source_agent,
+    ``allowed`` a reason. Where a cache has an id more than once, as texts do that two detectors taught, the most
+    severe threat counts, and the least reason. Caches are small, which ``nearest`` checks.
     """
     ids = texts.select(id_column, "embedding")
     safe = nearest(ids, allowed, ALLOW_DISTANCE, most, id_column).select(id_column, F.col("cached_id").alias("_safe"))
     bad = nearest(ids, threats, THREAT_DISTANCE, most, id_column).select(id_column, F.col("cached_id").alias("_bad"), F.col("distance").alias("_far"))
-    reasons = allowed.select(F.col(id_column).alias("_safe"), F.col("reason").alias("allow_reason"))
-    kinds = threats.select(F.col(id_column).alias("_bad"), "threat_type", "severity", "source_agent")
+    reasons = allowed.groupBy(F.col(id_column).alias("_safe")).agg(F.min("reason").alias("allow_reason"))
+    worst = F.max(F.struct(severity_rank(F.col("severity")).alias("rank"), "threat_type", "severity", "source_agent")).alias("k")
+    kinds = threats.groupBy(F.col(id_column).alias("_bad")).agg(worst).select("_bad", "k.threat_type", "k.severity", "k.source_agent")
     d = texts.join(safe.join(F.broadcast(reasons), "_safe"), id_column, "left").join(bad.join(F.broadcast(kinds), "_bad"), id_column, "left")
     hit = F.when(F.col("_bad").isNotNull() & F.col("allow_reason").isNull(), F.struct("threat_type", "severity", F.round(1 - F.col("_far"), 2).alias("similarity"), F.col("source_agent").alias("source")))
     return d.withColumn("cached_threat", hit).select(*texts.columns, "allow_reason", "cached_threat")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import constants as C
-from corvane.operators import decide
+from corvane.operators import cache, decide
 from corvane.operators.decide import lookup
 
 
@@ -172,13 +172,31 @@ def first_shuffled(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFra
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
+def _variant(decisions: DataFrame, name: str, truth: str) -> DataFrame:
+    return decisions.select(F.lit(name).alias("variant"), F.col(truth).alias("t"), (F.col("action") != "ALLOW").alias("p"))
+
+
+def _variants(rows: DataFrame) -> DataFrame:
+    n = lambda c: F.count(F.when(c, 1))
+    t, p = F.col("t"), F.col("p")
+    return rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), n(t & p).alias("tp"), n(~t & p).alias("fp"), n(~t & ~p).alias("tn"), n(t & ~p).alias("fn"))
+
+
 def ablation(texts: DataFrame, variants: dict[str, decide.Settings], truth: str) -> DataFrame:
     """``variant, n, tp, fp, tn, fn`` of each variant of the engine's settings, in one table; a text counts
     as found if its action isn't ALLOW. ``truth`` is a boolean column."""
     out = None
     for name, settings in variants.items():
-        d = decide.analyze(texts, settings).select(F.lit(name).alias("variant"), F.col(truth).alias("t"), (F.col("action") != "ALLOW").alias("p"))
+        d = _variant(decide.analyze(texts, settings), name, truth)
         out = d if out is None else out.unionByName(d)
-    n = lambda c: F.count(F.when(c, 1))
-    t, p = F.col("t"), F.col("p")
-    return out.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), n(t & p).alias("tp"), n(~t & p).alias("fp"), n(~t & ~p).alias("tn"), n(t & ~p).alias("fn"))
+    return _variants(out)
+
+
+def warmed(warm: DataFrame, test: DataFrame, truth: str, settings: decide.Settings = decide.Settings(), id_column: str = "vec_id") -> DataFrame:
+    """The same table for the variants ``cold`` and ``warmed``: test texts decided without a threat cache, and with
+    what the decisions on the other set taught it. Both sets have ``text`` and ``embedding``; a warm set that
+    teaches more vectors than a cache holds is refused (see ``cache.nearest``)."""
+    threats = cache.learned(decide.analyze(warm, settings), id_column, "embedding")
+    allowed = threats.limit(0).select(id_column, "embedding", F.lit("").alias("reason"))
+    known = decide.analyze(cache.recalled(test, threats, allowed, id_column), settings)
+    return _variants(_variant(decide.analyze(test, settings), "cold", truth).unionByName(_variant(known, "warmed", truth)))
