@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop_path(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -58,7 +58,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
+    atexit.register(drop_path, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     for block in getattr(_written, "blocks", ()):
@@ -69,7 +69,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Deletes the files of materialized tables that nothing reads any more."""
     for t in tables:
-        _drop(t.sparkSession, t._written_to)
+        drop_path(t.sparkSession, t._written_to)
 
 
 @contextlib.contextmanager
@@ -83,7 +83,7 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         blocks.remove(paths)
         for p in paths:
-            _drop(spark, p)
+            drop_path(spark, p)
 
 
 def fresh(taken: Iterable[str], name: str) -> str:
@@ -136,6 +136,26 @@ def running_sums(df: DataFrame, order: list, sums: dict[str, Column], label: str
     return rows.select(*df.columns, *[(F.col(f"_start_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums])
 
 
+FREQUENT = 200
+
+
+def join_by_count(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group. ``groups`` is a written table of one row
+    for each key, with the number of its rows in the column ``size``.
+
+    Groups of more than a share of 1 in ``FREQUENT`` of all rows number less than
+    ``FREQUENT``, whatever the input; they are broadcast and their rows stay where they
+    are. All others meet in a sort-merge join in which no key is frequent.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    often = groups.filter(F.col(size) > max(total // FREQUENT, 1))
+    hot = F.broadcast(often)
+    if often.isEmpty():
+        return rows.join(groups.hint("merge"), key)
+    rare = groups.join(F.broadcast(often.select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rare.hint("merge"), key))
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
 

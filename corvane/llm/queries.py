@@ -96,6 +96,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import exact_dedup
+
+    found = exact_dedup.deduplicate(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex(exact_dedup.DIGEST)).alias("text_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import lexical_search
+
+    index = lexical_search.build_index(common.table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, common.table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -107,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -140,7 +156,30 @@ c AS (SELECT t.a AS r, min(doc_id) AS class_id FROM t JOIN d ON d.r = t.b GROUP
 SELECT doc_id, class_id, (SELECT count(*) FROM e WHERE e.a = d.r) AS n_links FROM d JOIN c USING (r)"""
 
 
+_OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) AS place FROM d)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM r"""
+
+_TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS w FROM documents),
+n AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+i AS (SELECT row_number() OVER () AS k, item_id, list_distinct({_TERMS_SQL}) AS w FROM benchmark),
+it AS (SELECT k, item_id, unnest(w) AS term FROM i),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), n),
+m AS (SELECT r, doc_id, 50 + (50 * len(w)::BIGINT * docs) // terms AS m FROM d, n WHERE len(w) > 0),
+s AS (SELECT k, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM it JOIN p USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL),
+t AS (SELECT item_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM t WHERE rank <= 50"""
+
 ORACLES: dict[str, str] = {
+    "op11_exact_dedup": _OP11,
+    "op12_lexical_search": _OP12,
     "op8_quality_rules": _OP8,
     "op9_jaccard_join": _OP9,
     "op2_decontamination": r"""
