@@ -110,6 +110,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(index, common.table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm import prefix_trie
+
+    nodes = prefix_trie.build(common.table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -123,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -177,9 +185,31 @@ s AS (SELECT k, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * t
 t AS (SELECT item_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM t WHERE rank <= 50"""
 
+# crc32 of a number's decimal digits, a byte and a bit at a time
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda k: ascii(substring(conv_id::VARCHAR, k, 1))::BIGINT)),
+    lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, bit: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+
+_OP13 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, sha256(strlen(role)::VARCHAR || ':' || role || text)) AS own FROM t GROUP BY conv_id),
+h AS (SELECT o.conv_id, o.own, coalesce(b.own, []) AS base, ({_CRC} % 9)::BIGINT AS h FROM o LEFT JOIN (SELECT conv_id AS base_id, own FROM o) b ON base_id = o.conv_id - o.conv_id % 5),
+c AS (SELECT conv_id, list_concat(list_slice(base, 1, h), list_slice(own, h + 1, len(own))) AS s FROM h),
+p AS (SELECT conv_id, len(s) AS n, unnest(range(0, len(s) + 1)) AS depth, s FROM c),
+q AS (SELECT conv_id, n, depth, list_slice(s, 1, depth) AS k, list_slice(s, 1, depth - 1) AS up, s[depth].t AS last FROM p),
+g AS (SELECT k, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, coalesce(strlen(any_value(last)), 0)::BIGINT AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM q GROUP BY k, depth),
+ch AS (SELECT up AS k, depth - 1 AS depth, count(*)::BIGINT AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN ch ON g.k = ch.k AND g.depth = ch.depth),
+a AS (SELECT n_children, n_convs, bytes, k, unnest(range(0, depth + 1)) AS d FROM v),
+x AS (SELECT list_slice(k, 1, d) AS k, d AS depth, count(*) FILTER (n_children = 0)::BIGINT AS n_leaves, sum(CASE WHEN len(k) > 0 THEN (n_convs - 1) * bytes ELSE 0 END)::BIGINT AS saved_tokens FROM a GROUP BY ALL)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN x ON v.k = x.k AND v.depth = x.depth LEFT JOIN v u ON u.k = v.up AND u.depth = v.depth - 1"""
+
+
 ORACLES: dict[str, str] = {
     "op11_exact_dedup": _OP11,
     "op12_lexical_search": _OP12,
+    "op13_prefix_trie": _OP13,
     "op8_quality_rules": _OP8,
     "op9_jaccard_join": _OP9,
     "op2_decontamination": r"""
