@@ -149,7 +149,7 @@ def families(conversations: DataFrame, long: int = LONG) -> DataFrame:
     large = materialize(sizes.filter(F.col("count") > long).select("base"), "long-families")
     some = not large.isEmpty()
     usual = rows.join(large, "base", "left_anti") if some else rows
-    base = usual.filter("conv_id = base")
+    base = usual.filter("conv_id = base").select(*[F.col(c).alias(c) for c in usual.columns])  # columns of its own, or the cogroup can't tell the sides apart
     found = usual.groupBy("base").cogroup(base.groupBy("base")).applyInArrow(family_nodes, NODE_SCHEMA)
     if some:
         found = found.unionByName(_long_nodes(rows.join(large, "base", "left_semi")))
