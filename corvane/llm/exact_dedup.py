@@ -45,6 +45,16 @@ def fingerprints(docs: DataFrame, *carry: str) -> DataFrame:
     return materialize(rows.withColumn("at", F.monotonically_increasing_id()), "digests")
 
 
+def grouped(prints: DataFrame) -> DataFrame:
+    """``digest, keep_id, keep_at, group_size`` for each text of a batch, written once.
+
+    It is written because the optimizer would push an anti-join below the grouping, and
+    shuffle each row of a large group.
+    """
+    texts = prints.groupBy(DIGEST).agg(F.max(F.struct("doc_id", "at")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return materialize(texts.select(DIGEST, F.col("best.doc_id").alias("keep_id"), F.col("best.at").alias("keep_at"), "group_size"), "texts")
+
+
 @dataclass(frozen=True)
 class DigestIndex:
     """A table ``digest, keep_id, keep_at, batch`` of distinct texts, bucketed and sorted by digest."""
@@ -80,17 +90,14 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def unseen(self, prints: DataFrame) -> DataFrame:
-        """``digest, keep_id, keep_at`` of the texts that the index lacks: grouped first, then a sort-merge anti-join."""
-        best = F.max(F.struct("doc_id", "at"))
-        texts = prints.groupBy(DIGEST).agg(best.alias("best"))
-        new = texts.join(self.entries().select(DIGEST).hint("merge"), DIGEST, "left_anti")
-        return new.select(DIGEST, F.col("best.doc_id").alias("keep_id"), F.col("best.at").alias("keep_at"))
+    def unseen(self, texts: DataFrame) -> DataFrame:
+        """Those of the grouped texts that the index lacks, by a sort-merge anti-join."""
+        return texts.join(self.entries().select(DIGEST).hint("merge"), DIGEST, "left_anti")
 
-    def add(self, prints: DataFrame) -> str:
-        """Appends what is new in a batch of fingerprints; returns the name that its entries carry."""
+    def add(self, texts: DataFrame) -> str:
+        """Appends what is new in a batch of grouped texts; returns the name that its entries carry."""
         batch = uuid.uuid4().hex
-        new = self.unseen(prints).withColumn("batch", F.lit(batch))
+        new = self.unseen(texts).select(DIGEST, "keep_id", "keep_at", F.lit(batch).alias("batch"))
         new.write.mode("append").format("parquet").option("compression", "zstd").bucketBy(self.buckets, DIGEST).sortBy(DIGEST).saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
         return batch
@@ -101,19 +108,22 @@ class DigestIndex:
         rows = with_row_key(docs, key)
         plain = rows.select(F.col("doc_id"), F.col("text"), F.col(key).alias("row_key"))
         prints = fingerprints(plain, "row_key")
-        batch = self.add(prints)
+        batch = self.add(grouped(prints))
         stay = self.entries().filter(F.col("batch") == batch).select(F.col(DIGEST), F.col("keep_at").alias("at"))
         kept = prints.join(stay, [DIGEST, "at"], "left_semi").select(F.col("row_key").alias(key))
         return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
-def membership(prints: DataFrame, index: DigestIndex, added: list[str]) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, digest`` for each row, after ``prints`` came in as the batches ``added``.
+def membership(prints: DataFrame, texts: list[DataFrame], index: DigestIndex, added: list[str]) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, digest`` for each row, after the grouped ``texts`` of ``prints`` came in as the batches ``added``.
 
     The group's size counts the rows of ``prints``; a row whose text an earlier batch
     brought isn't kept, and its ``keep_id`` is that earlier row's.
     """
-    sizes = prints.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("group_size"))
+    every = texts[0]
+    for t in texts[1:]:
+        every = every.unionByName(t)
+    sizes = every.groupBy(DIGEST).agg(F.sum("group_size").alias("group_size"))
     entries = index.entries().select(DIGEST, "keep_id", F.when(F.col("batch").isin(added), F.col("keep_at")).alias("keep_at"))
     groups = materialize(sizes.join(entries.hint("merge"), DIGEST), "groups")
     found = join_by_count(prints, groups, DIGEST, "group_size")
@@ -128,7 +138,8 @@ def deduplicate(docs: DataFrame, arrivals: int = 2, index: DigestIndex | None =
     """
     prints = fingerprints(docs)
     index = index or DigestIndex.create(docs.sparkSession, docs.schema["doc_id"].dataType.simpleString())
-    return membership(prints, index, [index.add(batch) for batch in batches(prints, arrivals)])
+    texts = [grouped(batch) for batch in batches(prints, arrivals)]
+    return membership(prints, texts, index, [index.add(t) for t in texts])
 
 
 def batches(prints: DataFrame, n: int) -> list[DataFrame]:
