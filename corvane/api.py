@@ -44,7 +44,7 @@ class Engine:
     def analyze_with_model(self, texts: DataFrame, responders: dict[str, Callable[[str, str], str]]) -> DataFrame:
         """Decisions in which model-backed detectors ask their scorer, ``responders[detector](prompt, text) -> reply``,
         where the gate is open; its findings come before the patterns'."""
-        replies = {name: fresh(texts.columns, f"_reply{k}") for k, name in enumerate(responders)}
+        replies = {name: cache.fresh(texts.columns, f"_reply{k}") for k, name in enumerate(responders)}
         settings = replace(self.settings, replies=replies)
         d = decide.screen_cheap(texts, settings)
         for name, responder in responders.items():
@@ -80,10 +80,3 @@ class Engine:
 
         seen = decide.screen(texts, self.settings)
         return seen.withColumn("model_score", run(F.when(F.col("gate_open"), F.substring("text", 1, model.ASKED))))
-
-
-def fresh(taken, name: str) -> str:
-    """``name``, with underscores after it while a column is called so."""
-    while name.lower() in {t.lower() for t in taken}:
-        name += "_"
-    return name

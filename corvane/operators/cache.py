@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import constants as C
 from corvane.functions.dialect import double_sum, strip
 from corvane.operators.decide import severity_name, severity_rank
+from corvane.operators.vector_index import SMALL, nearest
 
 TTL_SECONDS = 300
 SIMILAR_LENGTH = 40
@@ -60,40 +61,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, cache: DataFrame, limit: float, most: int = 2000, id_column: str = "vec_id") -> DataFrame:
-    """The nearest cached vector of each query within ``limit``; exact.
-
-    The cache holds at most ``most`` vectors: that is checked before it is sent to every task.
-    """
-    rows = cache.select(id_column, "embedding").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a cache holds at most {most} vectors")
-    spark = queries.sparkSession
-    sent = spark.sparkContext.broadcast(sorted((r[0], list(r[1])) for r in rows))
-    id_type = queries.schema[id_column].dataType.simpleString()
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        if not sent.value:
-            return
-        ids = np.array([k for k, _ in sent.value], np.int64)
-        known = np.array([v for _, v in sent.value], np.float64)
-        known = known / np.linalg.norm(known, axis=1, keepdims=True)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            far = 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ known.T
-            k = far.argmin(axis=1)
-            best = far[np.arange(len(k)), k]
-            keep = best <= limit
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(ids[k][keep]), pa.array(np.round(best[keep], 6))], [id_column, "cached_id", "distance"])
-
-    return queries.select(id_column, "embedding").mapInArrow(run, f"{id_column} {id_type}, cached_id bigint, distance double")
-
-
 def newest(entries: DataFrame, most: int = 500) -> DataFrame:
     """What a first-in-first-out cache still holds: the last ``most`` insertions."""
     return entries.orderBy(F.desc("inserted"), F.desc("cache_key")).limit(most)
@@ -103,23 +70,34 @@ def newest(entries: DataFrame, most: int = 500) -> DataFrame:
 THREAT_DISTANCE, ALLOW_DISTANCE = 0.15, 0.10
 
 
-def recalled(texts: DataFrame, threats: DataFrame, allowed: DataFrame, id_column: str = "vec_id", most: int = 2000) -> DataFrame:
+def recalled(texts: DataFrame, threats: DataFrame, allowed: DataFrame, id_column: str = "vec_id", small: int = SMALL) -> DataFrame:
     """Adds ``allow_reason`` and ``cached_threat`` (threat_type, severity, similarity, source), null where no
     known vector is near; ``decide`` takes both into account, the allowlist first.
 
-    ``texts`` have ``embedding`` and an id of their own; ``threats`` have threat_type, severity and source_agent,
+    ``texts`` have ``embedding``; each row keeps its columns and comes once, whatever ids repeat, since rows
+    get their answer by their vector. ``threats`` have ``id_column``, threat_type, severity and source_agent,
     ``allowed`` a reason. Where a cache has an id more than once, as texts do that two detectors taught, the most
-    severe threat counts, and the least reason. Caches are small, which ``nearest`` checks.
+    severe threat counts, and the least reason.
     """
-    ids = texts.select(id_column, "embedding")
-    safe = nearest(ids, allowed, ALLOW_DISTANCE, most, id_column).select(id_column, F.col("cached_id").alias("_safe"))
-    bad = nearest(ids, threats, THREAT_DISTANCE, most, id_column).select(id_column, F.col("cached_id").alias("_bad"), F.col("distance").alias("_far"))
-    reasons = allowed.groupBy(F.col(id_column).alias("_safe")).agg(F.min("reason").alias("allow_reason"))
+    look = fresh(texts.columns, "_vector")
+    keyed = texts.withColumn(look, F.sha2(F.array_join(F.transform("embedding", lambda x: F.coalesce(x.cast("double").cast("string"), F.lit("null"))), ","), 256))
+    asked = keyed.filter(F.col(look).isNotNull()).groupBy(F.col(look).alias(id_column)).agg(F.first("embedding").alias("embedding"))
+    safe = nearest(asked, allowed, ALLOW_DISTANCE, small, id_column).select(F.col(id_column).alias("_k"), F.col("cached_id").alias("_safe"))
+    bad = nearest(asked, threats, THREAT_DISTANCE, small, id_column).select(F.col(id_column).alias("_k"), F.col("cached_id").alias("_bad"), F.col("distance").alias("_far"))
+    reasons = allowed.groupBy(F.col(id_column).alias("_safe")).agg(F.min("reason").alias("_reason"))
     worst = F.max(F.struct(severity_rank(F.col("severity")).alias("rank"), "threat_type", "severity", "source_agent")).alias("k")
-    kinds = threats.groupBy(F.col(id_column).alias("_bad")).agg(worst).select("_bad", "k.threat_type", "k.severity", "k.source_agent")
-    d = texts.join(safe.join(F.broadcast(reasons), "_safe"), id_column, "left").join(bad.join(F.broadcast(kinds), "_bad"), id_column, "left")
-    hit = F.when(F.col("_bad").isNotNull() & F.col("allow_reason").isNull(), F.struct("threat_type", "severity", F.round(1 - F.col("_far"), 2).alias("similarity"), F.col("source_agent").alias("source")))
-    return d.withColumn("cached_threat", hit).select(*texts.columns, "allow_reason", "cached_threat")
+    kinds = threats.groupBy(F.col(id_column).alias("_bad")).agg(worst)
+    threat = F.struct(F.col("k.threat_type").alias("threat_type"), F.col("k.severity").alias("severity"), F.round(1 - F.col("_far"), 2).alias("similarity"), F.col("k.source_agent").alias("source"))
+    known = bad.join(kinds, "_bad").select("_k", threat.alias("_threat")).join(safe.join(reasons, "_safe").select("_k", "_reason"), "_k", "full_outer")
+    d = keyed.join(known, F.col(look) == F.col("_k"), "left")
+    return d.select(*texts.columns, F.col("_reason").alias("allow_reason"), F.when(F.col("_reason").isNull(), F.col("_threat")).alias("cached_threat"))
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores after it while a column is called so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def learned(decisions: DataFrame, *columns: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions import constants as C
 from corvane.functions.dialect import fault, java_regex, strip
 from corvane.operators.decide import lookup
 
-#: Rules or signatures up to this many are folded into one projection; larger sets are joined.
-FOLDED = 200
-
 
 def tested(texts: DataFrame, rule) -> DataFrame:
     """One rule on every text: ``matched, excepted, evidence, match_count, error``."""
@@ -42,33 +43,19 @@ def distinct_rules(rules: DataFrame, search: str = "", severity: str | None = No
     return d.orderBy(F.lower("name"), "id").limit(limit)
 
 
-def match_rules(texts: DataFrame, rules: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every text with every rule whose pattern it has, for rule sets too large to fold.
-
-    The rule table is broadcast only after its size is checked against ``most``; patterns are
-    Java patterns here (``java_regex`` converts).
-    """
-    n = rules.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"{n} rules or more; split the rule table into blocks of {most}")
-    return texts.join(F.broadcast(rules), F.expr("regexp_like(text, java_pattern)"))
-
-
-def with_java_patterns(rules: DataFrame) -> DataFrame:
-    """Adds ``java_pattern``, null where a pattern can't be used; rule tables are small, so a driver-side map does."""
-    return rules.withColumn("java_pattern", lookup({p: java_regex(p, "is") for p, bad in _faults(rules, F.col("pattern")).items() if bad is None}, F.col("pattern")).cast("string"))
-
+def compile_error(pattern: str | None) -> str | None:
+    """Why a rule's pattern doesn't compile, null if it does or is null."""
+    try:
+        if pattern is not None:
+            re.compile(pattern, re.IGNORECASE | re.DOTALL)
+    except (re.error, OverflowError, RecursionError) as bad:
+        return str(bad)
+    return None
 
-#: Rows of a rule table that the driver looks at.
-MOST_RULES = 10_000
 
-
-def _faults(rules: DataFrame, patterns: Column) -> dict[str, str | None]:
-    """Each distinct pattern with the reason why it can't be used; the table's size is checked."""
-    rows = rules.select(patterns.alias("p")).filter("p is not null").distinct().limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} patterns")
-    return {r["p"]: fault(r["p"]) for r in rows}
+@F.pandas_udf(T.StringType())
+def _fault(patterns: pd.Series) -> pd.Series:
+    return pd.Series([compile_error(p) for p in patterns], dtype=object)
 
 
 #: Fixed values. Fields that a rule must have, in the order in which they are asked for.
@@ -78,19 +65,24 @@ RULE_FIELDS = ("id", "name", "pattern", "severity", "description")
 def validated(rules: DataFrame) -> DataFrame:
     """Adds ``valid`` and ``error``, the first reason why a rule can't be saved: a missing field, a
     pattern that doesn't compile, an unknown severity, an exception that doesn't compile."""
-    bad = {p: e for p, e in _faults(rules, F.col("pattern")).items() if e}
-    bad_exceptions = {p: e for p, e in _faults(rules.select(F.explode("exceptions").alias("e")), F.col("e")).items() if e} if "exceptions" in rules.columns else {}
+    d = rules.withColumn("_bad", _fault(F.col("pattern")))
     reasons = [F.when(F.col(f).isNull() if f in rules.columns else F.lit(True), F.lit(f"Missing required field: '{f}'")) for f in RULE_FIELDS]
-    if bad:
-        reasons.append(F.concat(F.lit("Invalid regex pattern: "), lookup(bad, F.col("pattern"))))
+    reasons.append(F.concat(F.lit("Invalid regex pattern: "), F.col("_bad")))
     reasons.append(F.when(~F.upper("severity").isin(*C.SEVERITIES[1:]), F.lit("severity must be one of: LOW, MEDIUM, HIGH, CRITICAL")))
-    if bad_exceptions:
-        first = F.get(F.filter("exceptions", lambda e: e.isin(*bad_exceptions)), F.lit(0))
-        reasons.append(F.concat(F.lit("Invalid exception pattern '"), first, F.lit("': "), lookup(bad_exceptions, first)))
-    d = rules.withColumn("error", F.coalesce(*reasons))
+    if "exceptions" in rules.columns:  # all of a rule's exceptions in one call, the first bad one comes back
+        d = d.withColumn("_first", _bad_exception(F.col("exceptions")))
+        reasons.append(F.concat(F.lit("Invalid exception pattern '"), F.col("_first.pattern"), F.lit("': "), F.col("_first.error")))
+    d = d.withColumn("error", F.coalesce(*reasons)).drop("_bad", "_first")
     return d.withColumn("valid", F.col("error").isNull())
 
 
+@F.pandas_udf(T.StructType([T.StructField("pattern", T.StringType()), T.StructField("error", T.StringType())]))
+def _bad_exception(exceptions: pd.Series) -> pd.DataFrame:
+    none = (None, None)
+    rows = [none if own is None else next(((e, bad) for e in own if (bad := compile_error(e)) is not None), none) for own in exceptions]
+    return pd.DataFrame(rows, columns=["pattern", "error"], dtype=object)
+
+
 def rule_stats(rules: DataFrame) -> DataFrame:
     """One row on the enabled rules: total, by severity, with redaction, with exceptions."""
     level = F.upper(F.coalesce("severity", F.lit("")))
@@ -147,9 +139,17 @@ def retained(rows: DataFrame, as_of: str, at: str = "timestamp", profile: str =
     return rows.filter(days.isNull() | (F.col(at).cast("timestamp") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(days)))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """New rows replace old ones of the same key; ``change`` says added, updated or kept."""
-    a, b = old.alias("a"), new.alias("b")
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """New rows replace old ones of the same key; ``change`` says added, updated or kept.
+
+    Of new rows with one key the last by ``order`` counts, as if they came one after the
+    other; without an order, or where it ties, the greatest row by all its columns. New rows
+    without a key are passed over. ``old`` has each key once.
+    """
+    names = [c for c in new.columns if c != key]
+    rank = F.struct(*([F.col(order).alias("_order")] if order else []), *names) if names or order else F.struct(F.lit(0).alias("_order"))
+    last = new.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(rank).alias("_last"))
+    a, b = old.alias("a"), last.select(key, *[F.col(f"_last.{c}").alias(c) for c in names]).alias("b")
     d = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     both = F.col(f"a.{key}").isNotNull() & F.col(f"b.{key}").isNotNull()
     change = F.when(both, "updated").when(F.col(f"b.{key}").isNotNull(), "added").otherwise("kept")
@@ -208,10 +208,6 @@ def draft_from_adjustment(adjustments: DataFrame) -> DataFrame:
     )
 
 
-def match_signatures(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    return match_rules(texts, with_java_patterns(entries.filter("enabled")))
-
-
 def alerts(decisions: DataFrame, least: str = "HIGH") -> DataFrame:
     """Rows to deliver; sinks write them with ``foreachBatch`` or ``foreachPartition``."""
     return decisions.filter(F.col("severity").isin(*C.SEVERITIES[C.SEVERITIES.index(least) :]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import constants as C
 from corvane.functions.dialect import java_regex
 from corvane.operators import audit as A
-from corvane.operators import cache, decide, evaluate, govern, session
+from corvane.operators import cache, decide, evaluate, govern, rule_index, session, vector_index
 from corvane.plans.tables import AS_OF, CTE, audit, feedback, promotions, read
 from corvane.streaming import guard
 
@@ -190,10 +190,43 @@ def rate_limit(spark, sf_dir):
 # Governance
 
 
-@query("""SELECT doc_id, id FROM documents, (VALUES ('a', '(?is)\\btoken\\b'), ('b', '(?is)licen[sc]ed?'), ('c', '(?is)^the ')) r(id, p) WHERE regexp_matches(text, p)""", False)
+_WORDS = "regexp_extract_all(lower(text), '[a-z]+'{0})"
+#: The pattern of a text: three words of it in a row, whatever white space is between them.
+_PATTERN_SQL = "w[{0}] || '[ \n]+' || w[{0} + 1] || '[ \n]+' || w[{0} + 2]"
+
+
+def _patterns(texts, at: int):
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    d = texts.withColumn("_w", w).filter(F.size("_w") >= at + 2)
+    return d.withColumn("pattern", F.concat_ws("[ \n]+", *[F.get("_w", F.lit(at - 1 + k)) for k in range(3)])).drop("_w")
+
+
+def _exceptions(spark_side: bool, key: str) -> str:
+    return f"CASE WHEN {key} % 4 = 0 THEN {'array' if spark_side else ''}{'(' if spark_side else '['}'licen[sc]e', '(broken'{')' if spark_side else ']'} ELSE {'cast(array() AS array<string>)' if spark_side else '[]'} END"
+
+
+@query(f"""SELECT doc_id, id, regexp_extract(text, '(?is)' || pattern)[1:120] AS evidence, len(regexp_extract_all(text, '(?is)' || pattern))::INT AS match_count
+  FROM (SELECT item_id AS id, {_PATTERN_SQL.format(2)} AS pattern FROM (SELECT item_id, {_WORDS.format("")} AS w FROM benchmark) WHERE len(w) >= 4) JOIN documents
+  ON contains(lower(text), regexp_extract(pattern, '[a-z]+')) AND regexp_matches(text, '(?is)' || pattern) WHERE NOT (id % 4 = 0 AND regexp_matches(text, '(?is)licen[sc]e'))""", False)
 def rule_join(spark, sf_dir):
-    rules = spark.createDataFrame([("a", r"\btoken\b"), ("b", "licen[sc]ed?"), ("c", "^the ")], "id string, pattern string")
-    return govern.match_rules(read(spark, sf_dir, "documents"), govern.with_java_patterns(rules)).select("doc_id", "id")
+    """Rules with exceptions, one for each benchmark passage, against all documents."""
+    rules = _patterns(read(spark, sf_dir, "benchmark"), 2).selectExpr("item_id AS id", "pattern", f"{_exceptions(True, 'item_id')} AS exceptions")
+    return rule_index.match_rules(read(spark, sf_dir, "documents").select("doc_id", "text"), rules).select("doc_id", "id", "evidence", "match_count")
+
+
+_ENTRIES = "CASE doc_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'input' ELSE 'output' END"
+
+
+@query(f"""WITH e AS (SELECT doc_id AS id, {_PATTERN_SQL.format(1)} AS pattern, regexp_extract(w[1], '.*') AS first, {_ENTRIES} AS scope FROM (SELECT doc_id, {_WORDS.format("")} AS w FROM documents) WHERE len(w) >= 3 AND doc_id % 5 <> 0)
+  SELECT page_id, id FROM e JOIN (SELECT page_id, html, lower(html) AS low, CASE WHEN page_id % 2 = 0 THEN 'input' ELSE 'output' END AS target FROM pages) ON scope IN ('both', target) AND contains(low, first) AND regexp_matches(html, '(?is)' || pattern)
+  UNION ALL SELECT doc_id + 1000000000, id FROM e JOIN (SELECT doc_id, text, lower(text) AS low FROM documents) ON scope IN ('both', 'input') AND contains(low, first) AND regexp_matches(text, '(?is)' || pattern)""", False)
+def signature_join(spark, sf_dir):
+    """A feed with an entry for each document but a fifth, which are off, against all pages and documents."""
+    d = read(spark, sf_dir, "documents")
+    entries = _patterns(d, 1).selectExpr("doc_id AS id", "pattern", f"{_ENTRIES} AS scope", "doc_id % 5 <> 0 AS enabled")
+    pages = read(spark, sf_dir, "pages").selectExpr("page_id", "html AS text", "CASE WHEN page_id % 2 = 0 THEN 'input' ELSE 'output' END AS scan_target")
+    texts = pages.unionByName(d.selectExpr("doc_id + 1000000000 AS page_id", "text", "'input' AS scan_target"))
+    return rule_index.match_signatures(texts, entries).select("page_id", "id")
 
 
 @query("""SELECT source, CASE WHEN source IN ('src1') THEN 'strict' ELSE 'balanced' END AS preset, CASE WHEN source IN ('src1') THEN 6.0 ELSE 8.0 END::DOUBLE AS session_flag, count(*) AS n FROM documents GROUP BY ALL""", False)
@@ -362,6 +395,19 @@ def allowlist_cache(spark, sf_dir):
     return _near_all(spark, sf_dir, 50, 70, 0.8)
 
 
+def _halves_sql(limit: float) -> str:
+    return f"""SELECT vec_id, arg_min(c, (d, c)) AS cached_id, round(min(d), 6) AS distance FROM
+  (SELECT q.vec_id, c.vec_id AS c, 1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS d FROM embeddings q JOIN embeddings c ON q.vec_id % 2 <> c.vec_id % 2) GROUP BY vec_id HAVING min(d) <= {limit}"""
+
+
+@query(_halves_sql(0.6), False)
+def vector_join(spark, sf_dir):
+    """Each vector's nearest of the other half of the table, by cells whatever the size."""
+    d = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    even, odd = d.filter("vec_id % 2 = 0"), d.filter("vec_id % 2 <> 0")
+    return vector_index.nearest(even, odd, 0.6, small=0).unionByName(vector_index.nearest(odd, even, 0.6, small=0))
+
+
 @query()
 def stream_guard(spark, sf_dir):
     """Assistant turns, word by word, stopped at a card-like number or a word of the gate."""

@@ -32,6 +32,12 @@ _RULES = "rules AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _RULE.items()
 _VERSIONS = "old AS (SELECT doc_id AS id, quality AS v FROM labels WHERE doc_id % 3 <> 0), new AS (SELECT doc_id AS id, toxic + 10 AS v FROM labels WHERE doc_id % 2 = 0)"
 
 
+#: A feed whose entries come up to three times, in the order of ``seq``.
+_FEED = ["doc_id AS id, toxic + 10 AS v, 1 AS seq", "doc_id AS id, quality + 20 AS v, 2 AS seq", "doc_id AS id, toxic - 5 AS v, 3 AS seq"]
+_FEED_ROWS = ("doc_id % 2 = 0", "doc_id % 3 = 0", "doc_id % 12 = 0")
+_FEED_SQL = "feed AS (" + " UNION ALL ".join(f"SELECT {c} FROM labels WHERE {w}" for c, w in zip(_FEED, _FEED_ROWS, strict=True)) + "), last AS (SELECT id, arg_max(v, seq) AS v FROM feed GROUP BY id)"
+
+
 def query(oracle: str | None = None, *tables: str):
     def add(f):
         QUERIES[f.__name__] = f
@@ -82,9 +88,12 @@ def rule_edits(spark, sf_dir):
     return govern.deleted(govern.toggled(_rules(spark, sf_dir), "r5", True), "r7").select("id", "enabled")
 
 
-@query("SELECT coalesce(new.id, old.id) AS id, coalesce(new.v, old.v) AS v, CASE WHEN old.id IS NULL THEN 'added' WHEN new.id IS NULL THEN 'kept' ELSE 'updated' END AS change FROM old FULL JOIN new ON old.id = new.id", _VERSIONS)
+@query("SELECT coalesce(last.id, old.id) AS id, coalesce(last.v, old.v) AS v, CASE WHEN old.id IS NULL THEN 'added' WHEN last.id IS NULL THEN 'kept' ELSE 'updated' END AS change FROM old FULL JOIN last ON old.id = last.id", _VERSIONS, _FEED_SQL)
 def feed_upsert(spark, sf_dir):
-    return govern.upsert(*_versions(spark, sf_dir))
+    """A feed that holds entries more than once; the last counts."""
+    labels = read(spark, sf_dir, "labels")
+    one, two, three = (labels.filter(w).selectExpr(*c.split(", ")) for c, w in zip(_FEED, _FEED_ROWS, strict=True))
+    return govern.upsert(_versions(spark, sf_dir)[0], one.unionByName(two).unionByName(three), order="seq")
 
 
 @query("SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)", _VERSIONS)

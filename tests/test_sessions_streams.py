@@ -87,14 +87,6 @@ def test_ttl_equals_a_loop(spark):
         assert got[k] == (miss, hit)
 
 
-def test_nearest_checks_the_size_of_what_it_sends(spark):
-    d = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)], "vec_id long, embedding array<float>")
-    assert {r.vec_id: r.cached_id for r in cache.nearest(d, d, 0.01).collect()} == {k: k for k in range(5)}
-    with pytest.raises(ValueError, match="at most 3"):
-        cache.nearest(d, d, 0.01, most=3)
-    assert cache.nearest(d, d.limit(0), 0.5).count() == 0
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d/a.txt").write_text("héllo wörld, this is a plain text file.", encoding="utf-16")
@@ -114,14 +106,6 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
 
-def test_rule_join_checks_its_size(spark):
-    rules = govern.with_java_patterns(spark.createDataFrame([("a", "x{,2}y"), ("b", "z")], "id string, pattern string"))
-    texts = spark.createDataFrame([(1, "XY"), (2, "zz"), (3, "no")], "id int, text string").withColumnRenamed("id", "t")
-    assert sorted((r.t, r.id) for r in govern.match_rules(texts, rules).collect()) == [(1, "a"), (2, "b")]
-    with pytest.raises(ValueError, match="split"):
-        govern.match_rules(texts, rules, most=1)
-
-
 def test_metrics_of_nothing(spark):
     d = spark.createDataFrame([], "t boolean, p boolean")
     r = evaluate.binary_metrics(d, F.col("t"), F.col("p")).first()
