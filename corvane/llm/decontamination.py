@@ -9,9 +9,9 @@ document with a gap between them, so a phrase can't cross two.
 so that what is sent to every task has a bound however many or long the items are;
 several blocks are searched one after another, and only hits are kept between them.
 In a segment, the terms that it shares with the block lead to the phrases whose
-rarest term they are, and only those with all terms present are looked at, so
-phrases that don't occur cost nothing. Such a phrase starts from its rarest list and
-intersects the offset-adjusted lists of the other terms, rarest first.
+rarest term they are, and only those with all terms present are looked at. Such a phrase
+starts from its rarest list and intersects the offset-adjusted lists of the other terms,
+rarest first, all phrases together.
 
 ``slop`` > 0 is proximity search: a phrase is found at a start s inside one document
 if each term k of it stands within ``slop`` places of s + k there; the words hit are
@@ -47,6 +47,8 @@ _RULE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 WINDOW = 13
 SEGMENT = 400_000
 BLOCK = 1 << 17
+#: Places where phrases may start that are looked at together.
+STARTS = 1 << 20
 
 INDEX_SCHEMA = "segment string, doc_ids array<{id}>, starts array<bigint>, sizes array<bigint>, terms array<binary>, bounds binary, places binary"
 
@@ -155,30 +157,56 @@ def _blocks(items: Iterable, size: int) -> Iterator[Phrases]:
         yield Phrases.of(block)
 
 
-def _find(lists: list[np.ndarray], starts: np.ndarray, sizes: np.ndarray, slop: int) -> np.ndarray:
-    """Places of the words that match a phrase whose terms stand at ``lists``, from the rarest outwards."""
-    order = sorted(range(len(lists)), key=lambda k: (len(lists[k]), k))
-    rare = order[0]
-    doc = np.searchsorted(starts, lists[rare], "right") - 1
+def _find(places: np.ndarray, bounds: np.ndarray, terms: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(phrase, place)`` of the words that match, for all phrases together, some at a time.
+
+    ``terms`` has a row for each phrase: numbers of the segment's lists, -1 beyond its end.
+    Each phrase's rarest list is moved to where the phrase would start, and then its other
+    lists, rarest first, are intersected with what is left of all phrases in one search
+    each: lists are kept one after the other, so list and place make one ascending number.
+    """
+    if not len(terms) or not len(starts):
+        return
+    width, span = terms.shape[1], int(starts[-1] + sizes[-1]) + 2 * slop + 2
+    keys = np.repeat(np.arange(len(bounds) - 1, dtype=np.int64) * span, np.diff(bounds)) + places
+    n = np.where(terms >= 0, np.diff(bounds)[terms], np.iinfo(np.int64).max)
+    order = np.argsort(n, axis=1, kind="stable")
+    length = (terms >= 0).sum(axis=1)
+    cost = n[np.arange(len(terms)), order[:, 0]] * (2 * slop + 1)
     moved = np.arange(-slop, slop + 1)
-    start = (lists[rare][:, None] - rare + moved).ravel()
-    low, high = (np.repeat(x, len(moved)) for x in (starts[doc], starts[doc] + sizes[doc] - 1))
-
-    def reach(k: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.searchsorted(lists[k], np.maximum(start + k - slop, low)), np.searchsorted(lists[k], np.minimum(start + k + slop, high), "right")
-
-    for k in order[1:]:
-        first, last = reach(k)
-        keep = first < last
-        start, low, high = start[keep], low[keep], high[keep]
-        if not len(start):
-            return start
-    out = []
-    for k in order:
-        first, last = reach(k)
-        for step in range(2 * slop + 1):
-            out.append(lists[k][(first + step)[first + step < last]])
-    return np.concatenate(out)
+    for block in np.split(np.arange(len(terms)), np.flatnonzero(np.diff(np.cumsum(cost) // STARTS)) + 1):
+        rare = order[block, 0]
+        first, many = bounds[terms[block, rare]], n[block, rare]
+        phrase = np.repeat(block, many)
+        here = places[np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)].astype(np.int64)
+        doc = np.searchsorted(starts, here, "right") - 1
+        start = (here[:, None] - np.repeat(rare, many)[:, None] + moved).ravel()
+        phrase, doc = np.repeat(phrase, len(moved)), np.repeat(doc, len(moved))
+        low, high = starts[doc], starts[doc] + sizes[doc] - 1
+
+        def reach(at: np.ndarray, which: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            base = terms[which, at].astype(np.int64) * span
+            from_, to = np.maximum(begin + at - slop, low), np.minimum(begin + at + slop, high)
+            left = np.searchsorted(keys, base + from_)
+            if slop:
+                return left, np.where(from_ <= to, np.searchsorted(keys, base + to, "right"), left)
+            there = (from_ <= to) & (keys[np.minimum(left, len(keys) - 1)] == base + from_)
+            return left, left + there
+
+        for k in range(1, width):
+            due = k < length[phrase]
+            if not due.any():
+                break
+            left, right = reach(order[phrase[due], k], phrase[due], start[due], low[due], high[due])
+            keep = ~due
+            keep[due] = left < right
+            phrase, start, low, high = phrase[keep], start[keep], low[keep], high[keep]
+        for k in range(width):
+            due = k < length[phrase]
+            left, right = reach(np.full(int(due.sum()), k), phrase[due], start[due], low[due], high[due])
+            for step in range(2 * slop + 1):
+                there = left + step < right
+                yield phrase[due][there], places[(left + step)[there]].astype(np.int64)
 
 
 def search(index: DataFrame, items: DataFrame, slop: int = 0, block: int = BLOCK) -> DataFrame:
@@ -221,17 +249,14 @@ def _pass(index: DataFrame, sent, slop: int, with_places: bool) -> DataFrame:
                 where[known[own]] = own
                 hit = np.zeros(int(starts[-1] + sizes[-1]) if len(starts) else 0, bool)
                 found: dict[int, set] = {}
-                lists: dict[int, np.ndarray] = {}
-                for p in phrases.candidates(where[:-1] >= 0):
-                    phrase = [t for t in phrases.terms[p].tolist() if t >= 0]
-                    for t in phrase:
-                        if t not in lists:
-                            lists[t] = places[bounds[where[t]] : bounds[where[t] + 1]].astype(np.int64)
-                    at = _find([lists[t] for t in phrase], starts, sizes, slop)
-                    if len(at):
-                        hit[at] = True
-                        for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
-                            found.setdefault(d, set()).update(phrases.items[p])
+                there = phrases.candidates(where[:-1] >= 0)
+                lists = np.where(phrases.terms[there] >= 0, where[phrases.terms[there]], -1)
+                pairs: list[np.ndarray] = []
+                for which, at in _find(places, bounds.astype(np.int64), lists, starts, sizes, slop):
+                    hit[at] = True
+                    pairs.append(np.unique((np.searchsorted(starts, at, "right") - 1) * len(there) + which))
+                for pair in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
+                    found.setdefault(pair // len(there), set()).update(phrases.items[there[pair % len(there)]])
                 upto = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = upto[starts + sizes] - upto[starts]
                 items = [sorted(found.get(d, ())) for d in range(len(starts))]
