@@ -41,14 +41,15 @@ class Engine:
         """Decisions on the texts of files, with how well they could be read."""
         return self.analyze(files.documents(self.spark, path).withColumn("scan_target", F.lit("input")))
 
-    def analyze_with_model(self, texts: DataFrame, responders: dict[str, Callable[[str, str], str]]) -> DataFrame:
+    def analyze_with_model(self, texts: DataFrame, responders: dict[str, Callable[[str, str], str]], deadline: float = model.DEADLINE) -> DataFrame:
         """Decisions in which model-backed detectors ask their scorer, ``responders[detector](prompt, text) -> reply``,
-        where the gate is open; its findings come before the patterns'."""
+        where the gate is open; its findings come before the patterns'. A scorer that takes longer than
+        ``deadline`` seconds makes its detector unavailable for the text, which then isn't simply let pass."""
         replies = {name: cache.fresh(texts.columns, f"_reply{k}") for k, name in enumerate(responders)}
         settings = replace(self.settings, replies=replies)
         d = decide.screen_cheap(texts, settings)
         for name, responder in responders.items():
-            d = model.ask(d, name, responder, replies[name])
+            d = model.ask(d, name, responder, replies[name], deadline)
         return decide.decide(decide.screen_models(d, settings), settings).drop(*replies.values())
 
     def analyze_with_memory(self, texts: DataFrame, threats: DataFrame, allowed: DataFrame, id_column: str = "vec_id") -> DataFrame:

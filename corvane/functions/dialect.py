@@ -69,11 +69,24 @@ def compiles(pattern: str, flags: str = "is") -> bool:
     return fault(pattern, flags) is None
 
 
-def required(pattern: str) -> list[frozenset[str]]:
+def _is_space(op, arg) -> bool:
+    """Whether an item matches one character, and white space only."""
+    name = str(op)
+    if name == "LITERAL":
+        return chr(arg).isspace()
+    if name != "IN":
+        return False
+    one = {"LITERAL": lambda x: chr(x).isspace(), "RANGE": lambda x: x[1] - x[0] < 64 and all(chr(c).isspace() for c in range(x[0], x[1] + 1)), "CATEGORY": lambda x: str(x) == "CATEGORY_SPACE"}
+    return all(str(o) in one and one[str(o)](x) for o, x in arg)
+
+
+def required(pattern: str, squeezed: bool = False) -> list[frozenset[str]]:
     """Sets of strings of which every match holds at least one each, the most telling sets first.
 
     A search for plain strings is many times faster than a regular expression, so detectors ask
-    for these first. Case is left as in the pattern; a pattern may have no such set.
+    for these first. Case is left as in the pattern; a pattern may have no such set. ``squeezed``
+    is for texts in which each run of white space is one space, with one at either end: there
+    ``two\\s+words`` needs the string ``two words``.
     """
 
     def weight(s: frozenset[str]) -> tuple[int, int]:
@@ -83,6 +96,14 @@ def required(pattern: str) -> list[frozenset[str]]:
         found, run = [], ""
         for op, arg in items:
             name = str(op)
+            repeat = name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT")
+            if squeezed:
+                many = repeat and len(arg[2]) == 1 and _is_space(*arg[2][0])
+                if _is_space(op, arg) or many and arg[0] > 0:
+                    run = run if run.endswith(" ") else run + " "
+                    continue
+                if many and run.endswith(" "):  # more of it changes nothing
+                    continue
             if name == "LITERAL":
                 run += chr(arg)
                 continue
@@ -93,7 +114,7 @@ def required(pattern: str) -> list[frozenset[str]]:
                 run = ""
             if name == "SUBPATTERN":
                 found += needs(arg[-1])
-            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+            elif repeat and arg[0] > 0:
                 found += needs(arg[2])
             elif name == "IN" and len(arg) <= 3 and all(str(o) == "LITERAL" for o, _ in arg):
                 found.append(frozenset(chr(c) for _, c in arg))

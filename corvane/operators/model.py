@@ -2,23 +2,31 @@
 
 A reply is the model's raw text. It is read tolerantly: code fences are taken off, and
 if the rest is no JSON, the first balanced object in it is read. Anything else, and a
-missing reply, gives no match.
+missing reply, gives no match. A scorer that doesn't answer in time makes its detector
+unavailable, which ``decide`` treats as a finding (fail closed).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import queue
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.dialect import let, strip
 from corvane.operators import detect
 
 #: Characters of a text that a scorer is asked about.
 ASKED = 3000
+#: Seconds that a call may take, calls of a task at a time, and calls lost in a row after which a scorer is down.
+DEADLINE, CALLS, GIVEN_UP = 8.0, 8, 32
 
 
 @dataclass(frozen=True)
@@ -34,14 +42,42 @@ class Form:
 
 #: Fixed values. The forms of replies.
 FORMS = {
-    "Injection Detector": Form("attacks_found", "injection_type", "is_injection", "PROMPT_INJECTION", "LLM classified the text as a prompt injection attempt."),
-    "Unsafe Content Detector": Form("content_found", "content_type", "is_unsafe", "UNSAFE_CONTENT", "LLM classified the text as unsafe content."),
+    "Injection Detector": Form("attacks_found", "injection_type", "is_injection", "PROMPT_INJECTION", "The scorer calls the text an attempt at prompt injection."),
+    "Unsafe Content Detector": Form("content_found", "content_type", "is_unsafe", "UNSAFE_CONTENT", "The scorer calls the text unsafe."),
 }
 
 #: Fixed values. Categories that scorers are asked to choose from.
 CATEGORIES = {
-    "Injection Detector": "PROMPT_INJECTION JAILBREAK ROLE_OVERRIDE SYSTEM_PROMPT_LEAK INDIRECT_INJECTION VIRTUALIZATION_ATTACK TOKEN_SMUGGLING MULTI_PROMPT_ATTACK CONTEXT_MANIPULATION INSTRUCTION_OVERRIDE ENCODING_OBFUSCATION".split(),
-    "Unsafe Content Detector": "VIOLENCE SELF_HARM SEXUAL_EXPLICIT CSAM HATE_SPEECH EXTREMISM WEAPONS DRUG_MANUFACTURING BIOWEAPONS_CHEM CYBERCRIME HUMAN_TRAFFICKING ILLEGAL_ACTIVITY DANGEROUS_MISINFORMATION HARASSMENT PRIVACY_VIOLATION".split(),
+    "Injection Detector": (
+        "PROMPT_INJECTION",
+        "JAILBREAK",
+        "ROLE_OVERRIDE",
+        "SYSTEM_PROMPT_LEAK",
+        "INDIRECT_INJECTION",
+        "VIRTUALIZATION_ATTACK",
+        "TOKEN_SMUGGLING",
+        "MULTI_PROMPT_ATTACK",
+        "CONTEXT_MANIPULATION",
+        "INSTRUCTION_OVERRIDE",
+        "ENCODING_OBFUSCATION",
+    ),
+    "Unsafe Content Detector": (
+        "VIOLENCE",
+        "SELF_HARM",
+        "SEXUAL_EXPLICIT",
+        "CSAM",
+        "HATE_SPEECH",
+        "EXTREMISM",
+        "WEAPONS",
+        "DRUG_MANUFACTURING",
+        "BIOWEAPONS_CHEM",
+        "CYBERCRIME",
+        "HUMAN_TRAFFICKING",
+        "ILLEGAL_ACTIVITY",
+        "DANGEROUS_MISINFORMATION",
+        "HARASSMENT",
+        "PRIVACY_VIOLATION",
+    ),
 }
 
 
@@ -129,21 +165,61 @@ def merged(by_model: Column, by_pattern: Column) -> Column:
     return let(F.concat(by_model, by_pattern), first)
 
 
-def ask(texts: DataFrame, detector: str, responder: Callable[[str, str], str], column: str) -> DataFrame:
-    """Adds the replies of ``responder(prompt, text)`` to the first ``ASKED`` characters where the gate
-    is open (column ``gate_open``); other rows never reach it. A call that fails gives no reply."""
-    told = {t: prompt(detector, t) for t in ("input", "document")}
-
-    @F.pandas_udf("string")
-    def run(text: pd.Series, target: pd.Series) -> pd.Series:
-        def one(x, where):
-            if x is None:
-                return None
+def answers(responder: Callable[[str, str], str], jobs: list[tuple[str, str]], deadline: float, calls: int) -> dict[tuple[str, str], tuple[str | None, str]]:
+    """Reply and outcome (``ok``, ``failed`` or ``timeout``) of each job, a prompt and a text; at most ``calls`` run at a time.
+
+    A call that isn't back after ``deadline`` seconds is left alone: its reply isn't waited
+    for. After ``GIVEN_UP`` such calls in a row the scorer counts as down, and the jobs not
+    yet begun are timeouts without being begun, so that a task ends.
+    """
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work(job: tuple[str, str]) -> None:
+        try:
+            done.put((job, responder(*job), "ok"))
+        except Exception:  # whatever a scorer raises is its outcome
+            done.put((job, None, "failed"))
+
+    out, running, lost, todo = {}, {}, 0, deque(jobs)
+    while todo or running:
+        while todo and len(running) < calls:
+            job = todo.popleft()
+            if lost >= GIVEN_UP:
+                out[job] = None, "timeout"
+                continue
+            running[job] = time.monotonic() + deadline
+            threading.Thread(target=work, args=(job,), daemon=True).start()
+        if running:
             try:
-                return responder(told["document" if where == "document" else "input"], x)
-            except Exception:  # an error of the model is no finding, and no reason to lose the batch
-                return None
+                job, reply, outcome = done.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
+                if running.pop(job, None) is not None:
+                    out[job], lost = (reply, outcome), 0
+            except queue.Empty:
+                for job in [j for j, end in running.items() if end <= time.monotonic()]:
+                    del running[job]
+                    out[job], lost = (None, "timeout"), lost + 1
+    return out
+
 
-        return pd.Series([one(x, t) for x, t in zip(text, target, strict=True)], dtype=object)
+def ask(texts: DataFrame, detector: str, responder: Callable[[str, str], str], column: str, deadline: float = DEADLINE, calls: int = CALLS, errors_close: bool = False) -> DataFrame:
+    """Adds the replies of ``responder(prompt, text)`` to the first ``ASKED`` characters where the gate
+    is open (column ``gate_open``); other rows never reach it.
+
+    Equal texts of a batch are asked about once. A call that fails gives no reply. A detector
+    whose call took longer than ``deadline`` seconds, with ``errors_close`` also one whose call
+    failed, is added to the row's ``unavailable``, from which the decision fails closed.
+    """
+    told = {t: prompt(detector, t) for t in ("input", "document")}
 
-    return texts.withColumn(column, run(F.when(F.col("gate_open"), F.substring("text", 1, ASKED)), F.col("scan_target")))
+    @F.pandas_udf(T.StructType([T.StructField("reply", T.StringType()), T.StructField("outcome", T.StringType())]))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, target in batches:
+            jobs = [None if x is None else (told["document" if where == "document" else "input"], x) for x, where in zip(text, target, strict=True)]
+            got = answers(responder, list(dict.fromkeys(j for j in jobs if j is not None)), deadline, calls)
+            yield pd.DataFrame([got.get(j, (None, None)) for j in jobs], columns=["reply", "outcome"], dtype=object)
+
+    gone = F.coalesce("unavailable", F.array().cast("array<string>")) if "unavailable" in texts.columns else F.array().cast("array<string>")
+    d = texts.withColumn(column, run(F.when(F.col("gate_open"), F.substring("text", 1, ASKED)), F.col("scan_target")))
+    bad = F.coalesce(F.col(f"`{column}`.outcome").isin("timeout", *(["failed"] if errors_close else [])), F.lit(False))
+    d = d.withColumn("unavailable", F.when(bad, F.array_union(gone, F.array(F.lit(detector)))).otherwise(gone))
+    return d.withColumn(column, F.col(f"`{column}`.reply"))

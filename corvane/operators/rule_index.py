@@ -4,8 +4,10 @@ A regular expression over every text for every rule is the cost of a nested-loop
 Here ``dialect.required`` derives from each pattern a set of strings of which every match
 holds one. One gram of each string, 8, 4 or 2 bytes, goes into a table; a task looks up
 all grams of its texts with numpy and gets the strings that a text may hold, then those
-that it does hold, and only their rules' patterns are run. Patterns without such a string
-are run on every text, which nothing spares.
+that it does hold, and only patterns all of whose strings are there are run. Texts are
+looked at without case and with each run of white space as one space, so that words with
+``\\s+`` between them make one string. Patterns without a string are run on every text,
+which nothing spares.
 
 Rules are taken in blocks of at most ``BLOCK`` distinct patterns, one pass over the texts
 each, so that what is sent to the tasks has a bound. What matched is joined with the rule
@@ -100,6 +102,7 @@ class Index:
     strings: list[bytes] = field(default_factory=list)
     rules_of: list[list[int]] = field(default_factory=list)
     tables: dict[int, Grams] = field(default_factory=dict)
+    further: list[list[list[bytes]]] = field(default_factory=list)
     apart: list[int] = field(default_factory=list)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -110,8 +113,9 @@ class Index:
         index = Index([k for k, _, _ in rows], [p for _, p, _ in rows], [e for _, _, e in rows])
         led: dict[bytes, list[int]] = {}
         for n, pattern in enumerate(index.patterns):
-            sets = required(pattern)
-            best = [s.lower().encode() for s in sets[0]] if sets else [b""]
+            sets = [[x.lower().encode() for x in s] for s in required(pattern, True)]
+            best = sets[0] if sets else [b""]
+            index.further.append(sets[1:4])
             if min(map(len, best)) < GRAMS[-1]:
                 index.apart.append(n)
                 continue
@@ -131,7 +135,7 @@ class Index:
         return index
 
     def held(self, raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
-        """``(text, string)`` for the strings that texts hold; ``raw`` is the texts' bytes, text k from ``at[k]`` to ``at[k + 1]``."""
+        """``(text, rule)`` where a text holds what the rule needs; ``raw`` is the texts' bytes, text k from ``at[k]`` to ``at[k + 1]``."""
         whole = raw.tobytes()
         for q, table in self.tables.items():
             place, gram = table.places(windows(raw, q))
@@ -141,7 +145,9 @@ class Index:
             for t, g in zip((pairs // len(table.grams)).tolist(), (pairs % len(table.grams)).tolist(), strict=True):
                 for s in table.strings[table.first[g] : table.first[g + 1]].tolist():
                     if whole.find(self.strings[s], at[t], at[t + 1]) >= 0:
-                        yield t, s
+                        for n in self.rules_of[s]:
+                            if all(any(whole.find(x, at[t], at[t + 1]) >= 0 for x in some) for some in self.further[n]):
+                                yield t, n
 
 
 class Searcher:
@@ -166,7 +172,7 @@ class Searcher:
 
     def matches(self, texts: list[str | None], low: list[str | None]) -> list[list[dict]]:
         rules: list[set[int]] = [set() if t is None else set(self.index.apart) for t in texts]
-        raw = [b"" if t is None else t.encode() for t in low]
+        raw = [b"" if t is None else f" {' '.join(t.split())} ".encode() for t in low]
         first = 0
         while first < len(raw):
             last, size = first, 0
@@ -174,8 +180,8 @@ class Searcher:
                 size += len(raw[last])
                 last += 1
             at = np.concatenate([[0], np.cumsum([len(x) for x in raw[first:last]])])
-            for t, s in self.index.held(np.frombuffer(b"".join(raw[first:last]), np.uint8), at):
-                rules[first + t].update(self.index.rules_of[s])
+            for t, n in self.index.held(np.frombuffer(b"".join(raw[first:last]), np.uint8), at):
+                rules[first + t].add(n)
             first = last
         return [[m for n in sorted(own) if (m := self.look(n, text)) is not None] for own, text in zip(rules, texts, strict=True)]
 

@@ -51,24 +51,34 @@ def _mean(x: Column) -> Column:
     return double_sum(F.transform(x, lambda v: v.cast("double"))) / F.size(x)
 
 
+#: What a history keeps of each message.
+RECORD = {"s": "int", "inj": "boolean", "uns": "boolean", "cred": "array<string>", "role": "boolean", "agents": "array<string>"}
+
+
+def record() -> dict[str, Column]:
+    """``RECORD`` of a turn, from its text, ``severity``, ``threat_types`` and ``triggered_agents``."""
+    kinds = F.array_compact(F.array(*[F.when(found(F.col("text"), p, "i"), F.lit(k)) for k, p in C.CREDENTIAL_REQUESTS.items()]))
+    override = found(F.col("text"), C.ROLE_WORDS, "i") & found(F.col("text"), C.NO_RULES_WORDS, "i")
+    return {
+        "s": decide.severity_rank(F.col("severity")),
+        "inj": F.array_contains("threat_types", "INJECTION"),
+        "uns": F.array_contains("threat_types", "UNSAFE_CONTENT"),
+        "cred": F.coalesce(kinds, F.array().cast("array<string>")),
+        "role": F.coalesce(override, F.lit(False)),
+        "agents": F.col("triggered_agents"),
+    }
+
+
 def patterns(turns: DataFrame) -> DataFrame:
     """Adds ``patterns``: the attack patterns that the history up to the turn shows.
 
     Needs ``severity``, ``threat_types`` and ``triggered_agents`` of each turn.
     """
-    kinds = F.array_compact(F.array(*[F.when(found(F.col("text"), p, "i"), F.lit(k)) for k, p in C.CREDENTIAL_REQUESTS.items()]))
-    override = found(F.col("text"), C.ROLE_WORDS, "i") & found(F.col("text"), C.NO_RULES_WORDS, "i")
-    d = turns.withColumn(
-        "_r",
-        F.struct(
-            decide.severity_rank(F.col("severity")).alias("s"),
-            F.array_contains("threat_types", "INJECTION").alias("inj"),
-            F.array_contains("threat_types", "UNSAFE_CONTENT").alias("uns"),
-            F.coalesce(kinds, F.array().cast("array<string>")).alias("cred"),
-            F.coalesce(override, F.lit(False)).alias("role"),
-            F.col("triggered_agents").alias("agents"),
-        ),
-    ).withColumn("_h", _history(F.col("_r")))
+    return shown(turns.withColumn("_h", _history(F.struct(*[c.alias(n) for n, c in record().items()]))))
+
+
+def shown(d: DataFrame) -> DataFrame:
+    """Adds ``patterns`` in place of a column ``_h``, the records of the history up to the turn."""
     ranks = lambda keep: F.transform(F.filter("_h", keep), lambda m: m["s"])
     d = d.withColumns(
         {
@@ -105,7 +115,7 @@ def patterns(turns: DataFrame) -> DataFrame:
             (F.col("_n") >= 4) & (F.size(F.array_except("_after", "_before")) >= 2) & (F.size(F.array_except("_before", "_after")) >= 1), say("detector_evasion", "MEDIUM", F.lit(0.7), F.col("_n"))
         ),
     )
-    return d.withColumn("patterns", F.array_compact(found_)).drop("_r", "_h", "_n", "_inj", "_uns", "_cred", "_role", "_all", "_rises", "_recent", "_early", "_before", "_after")
+    return d.withColumn("patterns", F.array_compact(found_)).drop("_h", "_n", "_inj", "_uns", "_cred", "_role", "_all", "_rises", "_recent", "_early", "_before", "_after")
 
 
 #: Fixed values. What a pattern of confidence 0.7 or more does; a type not named does nothing.
@@ -117,24 +127,37 @@ def pattern_action(found_patterns: Column) -> Column:
     return F.coalesce(F.array_max(rank), F.lit(0))
 
 
+def crossed(d: DataFrame) -> DataFrame:
+    """Adds ``cross_turn_injection`` in place of ``_joined``, the last four texts as one, and ``_prior``, whether
+    there was a turn before; a hit is one more triggered agent."""
+    d = detect.with_folded(d.withColumn("_norm", detect.normalised(F.col("_joined"))), "_norm")
+    d = d.withColumn("cross_turn_injection", F.col("_prior") & ~F.array_contains("threat_types", "INJECTION") & (F.size(detect.injection("_norm")) > 0))
+    agents = F.when(F.col("cross_turn_injection"), F.concat("triggered_agents", F.array(F.lit("Multi-turn Injection Detector")))).otherwise(F.col("triggered_agents"))
+    return d.withColumn("triggered_agents", agents).drop("_joined", "_prior", "_norm", "_norm_folded")
+
+
+def concluded(d: DataFrame, settings: decide.Settings) -> DataFrame:
+    """Adds ``session_action``: of what score, cross-turn check and patterns ask for, the most severe."""
+    flag = F.coalesce(decide.lookup({k: p.flag for k, p in settings.presets.items()}, F.col("policy_profile")), F.lit(8.0))
+    block = F.coalesce(decide.lookup({k: p.block for k, p in settings.presets.items()}, F.col("policy_profile")), F.lit(12.0))
+    scored = threshold_action(F.col("session_score"), decide.action_rank(F.col("action")), flag, block)
+    total = F.greatest(scored, F.when(F.col("cross_turn_injection"), 3).otherwise(0), pattern_action(F.col("patterns")))
+    return d.withColumn("session_action", decide.action_name(total))
+
+
+def threat_types() -> Column:
+    return F.transform(F.filter("agents", lambda a: a["threat_found"]), lambda a: a["threat_type"])
+
+
 def judge(turns: DataFrame, settings: decide.Settings = decide.Settings()) -> DataFrame:
     """The decision of each turn in the light of its session.
 
     Adds ``session_score``, ``cross_turn_injection``, ``patterns`` and ``session_action``.
     The cross-turn check reads the last four texts as one and bypasses the gate.
     """
-    d = with_scores(turns)
-    flag = F.coalesce(decide.lookup({k: p.flag for k, p in settings.presets.items()}, F.col("policy_profile")), F.lit(8.0))
-    block = F.coalesce(decide.lookup({k: p.block for k, p in settings.presets.items()}, F.col("policy_profile")), F.lit(12.0))
-    types = F.transform(F.filter("agents", lambda a: a["threat_found"]), lambda a: a["threat_type"])
-    d = d.withColumn("threat_types", types).withColumn("_joined", recent_text()).withColumn("_prior", F.row_number().over(ordered()) > 1)
-    d = detect.with_folded(d.withColumn("_norm", detect.normalised(F.col("_joined"))), "_norm")
-    d = d.withColumn("cross_turn_injection", F.col("_prior") & ~F.array_contains("threat_types", "INJECTION") & (F.size(detect.injection("_norm")) > 0))
-    own = d.withColumn("triggered_agents", F.when(F.col("cross_turn_injection"), F.concat("triggered_agents", F.array(F.lit("Multi-turn Injection Detector")))).otherwise(F.col("triggered_agents")))
-    own = patterns(own)
-    scored = threshold_action(F.col("session_score"), decide.action_rank(F.col("action")), flag, block)
-    total = F.greatest(scored, F.when(F.col("cross_turn_injection"), 3).otherwise(0), pattern_action(F.col("patterns")))
-    return own.withColumn("session_action", decide.action_name(total)).drop("_joined", "_prior", "_norm", "_norm_folded")
+    d = with_scores(turns).withColumn("threat_types", threat_types())
+    d = d.withColumn("_joined", recent_text()).withColumn("_prior", F.row_number().over(ordered()) > 1)
+    return concluded(patterns(crossed(d)), settings)
 
 
 def summaries(judged: DataFrame) -> DataFrame:

@@ -88,11 +88,11 @@ def csv_cells(text: Column) -> Column:
     return F.when(text == "", "").otherwise(let(cells, rows))
 
 
-#: Fixed values. Kinds of files, and what is said of extracted text.
+#: Kinds of files. Then what is said of extracted text.
 TEXT_KINDS = (".txt", ".md", ".json", ".log", ".html", ".xml", ".yaml", ".yml")
 IMAGE_KINDS = (".png", ".jpg", ".jpeg")
-SHORT, LOW = "Very little text was extracted from the document.", "Extraction quality looks low. Review the extracted text before trusting the scan result."
-NOISY, STRUCTURE = "OCR-based extraction can be noisier than native text extraction.", "PDF extraction quality depends on the source document structure."
+SHORT, LOW = "The file gave hardly any text.", "Much of the text looks damaged; read it before you rely on the decision."
+NOISY, STRUCTURE = "Text recognised in a picture may hold wrong letters.", "Text of a PDF may be out of order."
 
 
 def warnings(text: Column, quality_: Column, suffix: Column) -> Column:
@@ -106,7 +106,7 @@ def warnings(text: Column, quality_: Column, suffix: Column) -> Column:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """``path, name, text, truncated, mode, quality, warnings`` of files: text family decoded as UTF-8, else UTF-16, else Latin-1; CSV as joined cells.
+    """``path, name, text, oversize, mode, quality, warnings`` of files, whole (``oversize`` says that a text has more than ``LONGEST`` characters): text family decoded as UTF-8, else UTF-16, else Latin-1; CSV as joined cells.
 
     PDF and image readers are optional libraries that are not part of this package; such files get a null text.
     """
@@ -130,7 +130,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     d = files.mapInArrow(decode, "path string, text string").withColumn("name", F.element_at(F.split("path", "/"), -1))
     suffix = F.lower(F.regexp_extract("name", r"\.[^.]+$", 0))
     text = F.when(suffix == ".csv", csv_cells(F.col("text"))).otherwise(F.col("text"))
-    d = d.select("path", "name", suffix.alias("_kind"), F.substring(text, 1, LONGEST).alias("text"), (F.length(text) > LONGEST).alias("truncated"))
+    d = d.select("path", "name", suffix.alias("_kind"), text.alias("text"), (F.length(text) > LONGEST).alias("oversize"))
     mode = F.when(F.col("_kind").isin(*IMAGE_KINDS), "ocr").when(F.col("_kind") == ".pdf", "pdf").when(F.col("_kind") == ".csv", "csv").otherwise("text")
     d = d.withColumn("mode", mode).withColumn("quality", quality(F.col("text"), F.col("_kind")))
     return d.withColumn("warnings", warnings(F.col("text"), F.col("quality"), F.col("_kind"))).drop("_kind")

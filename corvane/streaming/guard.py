@@ -28,8 +28,11 @@ CHECK_EVERY = 150
 #: What is sent in place of text, before the reason.
 STOPPED = "\n\n[STREAM STOPPED BY POLICY] Reason: "
 AFTERWARDS = "\n\n[FOUND UNSAFE AFTERWARDS] The text above does not pass a scan of the whole: "
+FAILED = "\n\n[STREAM FAILED] Nothing more comes: "
+#: Milliseconds without a token after which a stream counts as ended.
+IDLE_MS = 600_000
 
-POINTS = "stream_id string, n int, seq long, buffer string, text string, last boolean"
+POINTS = "stream_id string, n int, seq long, buffer string, text string, last boolean, error string"
 OUTPUT = "stream_id string, seq long, emitted string, stopped boolean"
 STOPPING = ("BLOCK", "REDACT")
 
@@ -49,31 +52,60 @@ def fold(tokens: list[str], unsafe: Callable[[str], str | None], finally_unsafe:
 
 
 class Checkpoints(StatefulProcessor):
-    """State of a stream: the text so far, what waits, how many checks there were."""
+    """State of a stream: the text so far, what waits, how many checks there were, the last token's place.
 
-    def __init__(self, every: int = CHECK_EVERY, ttl_ms: int = 3_600_000):
-        self.every, self.ttl_ms = every, ttl_ms
+    A stream ends with a token that says ``last``, with an ``error`` of its source, after which
+    what waits isn't sent, or by a timer when no token came for ``idle_ms``: then what waits goes
+    out and the whole is looked at, as at any end. Tokens that come later begin anew.
+    """
+
+    def __init__(self, every: int = CHECK_EVERY, idle_ms: int = IDLE_MS):
+        self.every, self.idle_ms = every, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("text", "total string, waiting string, n int", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("text", "total string, waiting string, n int, seq long")
+
+    def _points(self, key, out: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *row) for row in out], columns=["stream_id", "n", "seq", "buffer", "text", "last", "error"])
+
+    def _timers(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at if isinstance(at, int) else at[0])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        total, waiting, n = self.state.get() if self.state.exists() else ("", "", 0)
-        out, ended = [], False
+        total, waiting, n, _ = self.state.get() if self.state.exists() else ("", "", 0, 0)
+        out, ended, seq = [], True, 0
         for token in pd.concat(list(rows)).sort_values("seq").itertuples():
-            text = token.token or ""
-            total, waiting = total + text, waiting + text
-            if len(waiting) >= self.every:
-                out.append((key[0], n, token.seq, waiting, total, False))
-                waiting, n = "", n + 1
-            if token.last:
-                out.append((key[0], n, token.seq, waiting, total, True))
+            text, seq, ended = token.token or "", token.seq, bool(token.last)
+            error = getattr(token, "error", None)
+            if isinstance(error, str):
+                out.append((n, seq, "", total, True, error))
                 ended = True
+            else:
+                total, waiting = total + text, waiting + text
+                if len(waiting) >= self.every:
+                    out.append((n, seq, waiting, total, False, None))
+                    waiting, n = "", n + 1
+                if ended:
+                    out.append((n, seq, waiting, total, True, None))
+            if ended:
+                total, waiting, n = "", "", 0
+        self._timers()
         if ended:
             self.state.clear()
         else:
-            self.state.update((total, waiting, n))
-        yield pd.DataFrame(out, columns=["stream_id", "n", "seq", "buffer", "text", "last"])
+            self.state.update((total, waiting, n, seq))
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._points(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.state.exists():
+            total, waiting, n, seq = self.state.get()
+            out.append((n, seq, waiting, total, True, None))
+            self.state.clear()
+        yield self._points(key, out)
 
     def close(self) -> None:
         pass
@@ -91,9 +123,12 @@ class Emitter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         stopped = self.state.get()[0] if self.state.exists() else False
         out = []
-        for r in pd.concat(list(rows)).sort_values(["n", "last"]).itertuples():
+        for r in pd.concat(list(rows)).sort_values(["seq", "n", "last"]).itertuples():
             bad = r.action in STOPPING
-            if not stopped and not r.last:
+            if isinstance(r.error, str):
+                if not stopped:
+                    out.append((key[0], r.seq, FAILED + r.error, True))
+            elif not stopped and not r.last:
                 stopped = bad
                 out.append((key[0], r.seq, STOPPED + r.reason if bad else r.buffer, bad))
             elif not stopped:
@@ -120,10 +155,11 @@ def _verdicts(points: DataFrame, settings: decide.Settings) -> DataFrame:
     return d.withColumns({"action": F.when(F.col("last"), F.col("action")).otherwise(F.col("policy_action")), "reason": F.when(F.col("last"), F.col("reason")).otherwise(F.col("policy_reason"))})
 
 
-def guard(tokens: DataFrame, settings: decide.Settings = decide.Settings(), every: int = CHECK_EVERY) -> DataFrame:
-    """Guards a stream of ``stream_id, seq, token, last`` (``last`` ends its stream)."""
-    points = tokens.groupBy("stream_id").transformWithStateInPandas(Checkpoints(every), POINTS, "Append", "ProcessingTime")
-    verdicts = _verdicts(points, settings).select("stream_id", "n", "seq", "buffer", "last", "action", "reason")
+def guard(tokens: DataFrame, settings: decide.Settings = decide.Settings(), every: int = CHECK_EVERY, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Guards a stream of ``stream_id, seq, token, last`` (``last`` ends its stream) and perhaps ``error``,
+    what its source failed with. A stream without a token for ``idle_ms`` is ended: what waits goes out."""
+    points = tokens.groupBy("stream_id").transformWithStateInPandas(Checkpoints(every, idle_ms), POINTS, "Append", "ProcessingTime")
+    verdicts = _verdicts(points, settings).select("stream_id", "n", "seq", "buffer", "last", "action", "reason", "error")
     return verdicts.groupBy("stream_id").transformWithStateInPandas(Emitter(), OUTPUT, "Append", "ProcessingTime")
 
 
