@@ -102,9 +102,11 @@ def gate_efficiency(d: DataFrame) -> DataFrame:
     return d.agg(F.count(F.lit(1)).alias("n"), one(F.col("gate_open"))("opened"), one(model)("model_triggered"), one(~F.col("gate_open") & (F.col("action") != "ALLOW"))("stopped_without_model"))
 
 
-def cost_model(spark, prompts: int = 100_000, tokens: int = 500, price: float = 0.59, saved: tuple[float, ...] = (0.0, 0.65)) -> DataFrame:
-    d = spark.range(1).select(F.explode(F.array(*map(F.lit, saved))).alias("saving"))
-    return d.select("saving", F.round(prompts * tokens / 1e6 * price * (1 - F.col("saving")), 4).alias("cost"))
+def cost_model(prompts: DataFrame, tokens: str, *by: str, price: float = 0.59, saved: tuple[float, ...] = (0.0, 0.65)) -> DataFrame:
+    """``by, saving, cost`` of asking a model about all prompts at a price for a million tokens, without and with
+    what a gate saves. One row for each group is summed before the handful of shares comes in."""
+    d = prompts.groupBy(*by).agg(F.sum(tokens).alias("_tokens")).withColumn("saving", F.explode(F.array(*map(F.lit, saved))))
+    return d.select(*by, "saving", (F.col("_tokens") / 1e6 * price * (1 - F.col("saving"))).alias("cost"))
 
 
 def tuned_thresholds(adjustments: DataFrame, least: int = 2, base: float = 0.5) -> DataFrame:

@@ -235,11 +235,16 @@ def preset_fallback(spark, sf_dir):
     return govern.with_preset(d, govern.preset_table(spark)).groupBy("source", "preset", "session_flag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT *, CASE WHEN a = 'request' AND s IN ('not_requested', 'rejected') THEN 'pending' WHEN a = 'approve' AND s = 'pending' AND u <> 'ann' THEN 'approved' WHEN a = 'reject' AND s = 'pending' AND u <> 'ann' THEN 'rejected' WHEN a = 'promote' AND s IN ('approved', 'not_requested') THEN 'promoted' END AS next
-  FROM (VALUES ('not_requested'), ('pending'), ('approved'), ('rejected')) x(s), (VALUES ('request'), ('approve'), ('reject'), ('promote')) y(a), (VALUES ('ann'), ('bob')) z(u)""", False)
+_STEPS = """event_id, CASE event_id % 4 WHEN 0 THEN 'not_requested' WHEN 1 THEN 'pending' WHEN 2 THEN 'approved' ELSE 'rejected' END AS s,
+  CASE user_id % 4 WHEN 0 THEN 'request' WHEN 1 THEN 'approve' WHEN 2 THEN 'reject' ELSE 'promote' END AS a, event_id % 3 AS asked_by, user_id % 3 AS acted"""
+
+
+@query(f"""SELECT event_id, CASE WHEN a = 'request' AND s IN ('not_requested', 'rejected') THEN 'pending' WHEN a = 'approve' AND s = 'pending' AND acted <> asked_by THEN 'approved'
+  WHEN a = 'reject' AND s = 'pending' AND acted <> asked_by THEN 'rejected' WHEN a = 'promote' AND s IN ('approved', 'not_requested') THEN 'promoted' END AS next FROM (SELECT {_STEPS} FROM events)""", False)
 def approvals(spark, sf_dir):
-    rows = [(s, a, u) for s in ("not_requested", "pending", "approved", "rejected") for a in ("request", "approve", "reject", "promote") for u in ("ann", "bob")]
-    return spark.createDataFrame(rows, "s string, a string, u string").withColumn("next", govern.approval(F.col("s"), F.col("a"), F.lit("ann"), F.col("u")))
+    """The next approval state of each event's request, with its user as the actor."""
+    d = spark.sql(f"SELECT {_STEPS} FROM {{events}}", events=read(spark, sf_dir, "events"))
+    return d.select("event_id", govern.approval(F.col("s"), F.col("a"), F.col("asked_by"), F.col("acted")).alias("next"))
 
 
 @query(f"""+ {_ADJUST} SELECT profile || '_draft' AS name, upper(replace(replace(agent, ' Detector', ''), ' ', '_')) AS threat_type, severity, CASE WHEN feedback_type = 'false_negative' THEN 'BLOCK' ELSE 'FLAG' END AS action,
@@ -345,9 +350,11 @@ def value_metrics(spark, sf_dir):
     return evaluate.value_metrics(d, "a", "b").select("tp", "fp", "fn")
 
 
-@query("SELECT s::DOUBLE AS saving, round(100000 * 500 / 1e6 * 0.59 * (1 - s), 4)::DOUBLE AS cost FROM (VALUES (0.0), (0.65)) x(s)", False)
+@query("""SELECT lang, s::DOUBLE AS saving, round(sum(length(coalesce(text, '')) // 4) / 1e6 * 0.59 * (1 - s), 6)::DOUBLE AS cost FROM documents, (VALUES (0.0), (0.65)) x(s) GROUP BY lang, s""", False)
 def cost_model(spark, sf_dir):
-    return evaluate.cost_model(spark)
+    """What asking a model about all documents costs, by language, at four characters a token."""
+    tokens = F.floor(F.length(F.coalesce("text", F.lit(""))) / 4)
+    return evaluate.cost_model(read(spark, sf_dir, "documents").withColumn("tokens", tokens), "tokens", "lang").withColumn("cost", F.round("cost", 6))
 
 
 # Caches and streams

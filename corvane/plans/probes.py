@@ -1,8 +1,9 @@
-"""Hand-written prompts with known findings, the same on both engines."""
+"""Hand-written prompts with known findings, by themselves and inside the conversations, the same on both engines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "probe_id int, session_id string, turn int, scan_target string, workspace_id string, policy_profile string, category string, label string, text string"
 
@@ -73,7 +74,17 @@ def _sql(v) -> str:
     return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
 
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn with a prompt before its text, in the columns of the prompts; one session for each conversation."""
+    n = F.broadcast(probes(spark).select("probe_id", "scan_target", "workspace_id", "policy_profile", "category", "label", F.col("text").alias("said")))  # the fixed list above
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("k", F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(_TEXTS))))
+    d = t.join(n, F.col("k") == F.col("probe_id"))
+    return d.selectExpr("conv_id * 1000 + turn AS probe_id", "concat('s', conv_id) AS session_id", "cast(turn AS int) AS turn", "scan_target", "workspace_id", "policy_profile", "category", "label", "concat(said, ' ', coalesce(text, '')) AS text")
+
+
 def values() -> str:
     """The same rows as a DuckDB subquery named p."""
     names = ", ".join(c.strip().split(" ")[0] for c in SCHEMA.split(","))
-    return f"(VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows())}) AS p({names})"
+    listed = f"(VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows())}) AS v({names})"
+    return f"""(SELECT conv_id * 1000 + c.turn AS probe_id, 's' || conv_id AS session_id, c.turn::INT AS turn, scan_target, workspace_id, policy_profile, category, label, v.text || ' ' || coalesce(c.text, '') AS text
+  FROM conversations c JOIN {listed} ON (conv_id * 7 + c.turn) % {len(_TEXTS)} = v.probe_id) AS p"""

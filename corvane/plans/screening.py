@@ -9,7 +9,7 @@ from corvane.functions import catalog
 from corvane.functions import constants as C
 from corvane.functions.dialect import held, java_regex, quoted
 from corvane.operators import decide, detect, interact, session
-from corvane.plans.probes import probes, values
+from corvane.plans.probes import planted, values
 from corvane.plans.tables import read, spread
 from corvane.sources import files
 
@@ -36,8 +36,8 @@ def _re2(pattern: str, flags: str) -> str:
     return _lit((f"(?{flags})" if flags else "") + pattern)
 
 
-def _probes(spark: SparkSession) -> DataFrame:
-    return detect.with_folded(probes(spark).withColumn("n", detect.normalised(F.col("text"))), "text", "n")
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.with_folded(planted(spark, sf_dir).withColumn("n", detect.normalised(F.col("text"))), "text", "n")
 
 
 def _types(matches) -> F.Column:
@@ -143,7 +143,7 @@ def abuse_patterns_pages(spark, sf_dir):
 
 @query(_families_oracle(values(), "probe_id", "text"))
 def abuse_patterns_probes(spark, sf_dir):
-    return _families(probes(spark).select("probe_id", F.col("text").alias("t")), "probe_id")
+    return _families(planted(spark, sf_dir).select("probe_id", F.col("text").alias("t")), "probe_id")
 
 
 @query()
@@ -193,7 +193,7 @@ def pii_redaction(spark, sf_dir):
 @query("SELECT probe_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {_re2(p, '')}) THEN {_lit(k)} END" for k, p, _, _ in C.SECRETS) + f"], lambda x: x IS NOT NULL), ',') AS found FROM (SELECT probe_id, text AS t FROM {values()})")
 def secret_probes(spark, sf_dir):
     known = F.filter(detect.secrets("text"), lambda m: m["match_type"] != "high_entropy")
-    return _probes(spark).select("probe_id", _types(known).alias("found"))
+    return _probes(spark, sf_dir).select("probe_id", _types(known).alias("found"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, {_re2(p, '')}) THEN {_lit(k)} END" for k, p, _, _ in C.SECRETS) + "], lambda x: x IS NOT NULL), ',') AS found FROM documents")
@@ -219,7 +219,7 @@ _NORMAL = r"replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\x(
 
 @query(_search_oracle(values(), "probe_id", [(k, p) for k, p, _, _ in catalog.INJECTION], "is", _NORMAL))
 def injection_probes(spark, sf_dir):
-    return _probes(spark).select("probe_id", _types(detect.injection("n")).alias("found"))
+    return _probes(spark, sf_dir).select("probe_id", _types(detect.injection("n")).alias("found"))
 
 
 @query(_search_oracle("documents", "doc_id", [(k, p) for k, p, _, _ in catalog.INJECTION], "is"))
@@ -229,17 +229,17 @@ def injection_documents(spark, sf_dir):
 
 @query(f"SELECT probe_id, {_NORMAL} AS normalised FROM {values()}")
 def injection_normalised(spark, sf_dir):
-    return probes(spark).select("probe_id", detect.normalised(F.col("text")).alias("normalised"))
+    return planted(spark, sf_dir).select("probe_id", detect.normalised(F.col("text")).alias("normalised"))
 
 
 @query(_search_oracle(values(), "probe_id", [(k, p) for k, p, _, _ in catalog.UNSAFE], "is"))
 def unsafe_probes(spark, sf_dir):
-    return _probes(spark).select("probe_id", _types(detect.unsafe("text")).alias("found"))
+    return _probes(spark, sf_dir).select("probe_id", _types(detect.unsafe("text")).alias("found"))
 
 
 @query(f"SELECT probe_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(text, {_re2(p, "is")}) THEN {_lit(i)} END' for i, _, p, _, _, _ in C.INTEL)}], lambda x: x IS NOT NULL), ',') AS found FROM {values()}")
 def intel_probes(spark, sf_dir):
-    return probes(spark).select("probe_id", F.array_join(F.transform(detect.intel(F.col("text"), F.col("scan_target")), lambda m: m["ref_id"]), ",").alias("found"))
+    return planted(spark, sf_dir).select("probe_id", F.array_join(F.transform(detect.intel(F.col("text"), F.col("scan_target")), lambda m: m["ref_id"]), ",").alias("found"))
 
 
 RULES = (
@@ -257,7 +257,7 @@ RULES = (
 def custom_rule_probes(spark, sf_dir):
     m = detect.custom_rules(F.col("text"), F.col("scan_target"), F.col("workspace_id"), RULES)
     said = F.transform(m, lambda x: F.concat_ws(":", x["ref_id"], x["confidence"], x["match_count"]))
-    return probes(spark).select("probe_id", F.array_join(said, ",").alias("found"), detect.redact_rules(F.col("text"), F.col("scan_target"), F.col("workspace_id"), RULES).alias("redacted"))
+    return planted(spark, sf_dir).select("probe_id", F.array_join(said, ",").alias("found"), detect.redact_rules(F.col("text"), F.col("scan_target"), F.col("workspace_id"), RULES).alias("redacted"))
 
 
 @query(f"SELECT doc_id, CASE WHEN length(text) >= 800 THEN 1.5 ELSE 0.0 END::DOUBLE + CASE WHEN regexp_matches(text, {_re2(C.GATE_WORDS, 'i')}) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")
@@ -271,22 +271,53 @@ def _policy_rows():
     return ", ".join(base), ", ".join(over)
 
 
-@query(f"""WITH b(t, s, a) AS (VALUES {_policy_rows()[0]}), o(p, t, s, a) AS (VALUES {_policy_rows()[1]}),
-  x AS (SELECT p.p, t.t, s.s FROM (VALUES {', '.join(f'({_lit(p)})' for p in C.PRESETS)}) p(p), (VALUES {', '.join(f'({_lit(t)})' for t in [*C.POLICY, 'OTHER'])}) t(t), (VALUES ('NONE'), ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) s(s))
-  SELECT x.p AS profile, x.t AS threat_type, x.s AS severity, coalesce(o.a, CASE WHEN x.s = 'NONE' AND x.t <> 'OTHER' THEN 'ALLOW' END, b.a, 'FLAG') AS action
-  FROM x LEFT JOIN o ON (o.p, o.t, o.s) = (x.p, x.t, x.s) LEFT JOIN b ON (b.t, b.s) = (x.t, x.s)""")
+_KINDS = [*C.POLICY, "OTHER"]
+
+
+def _picked(values, place: str, spark_side: bool) -> str:
+    """The value of a fixed list at ``place``, counted from 0, in either engine's words."""
+    listed = ", ".join(map(_lit, values))
+    return f"element_at(array({listed}), cast({place} AS int) + 1)" if spark_side else f"([{listed}])[{place} + 1]"
+
+
+def _threats(spark_side: bool) -> str:
+    """A threat for each event: profile, threat type, severity and confidence."""
+    over, n = ("DIV" if spark_side else "//"), len(C.PRESETS)
+    picked = lambda v, place: _picked(v, place, spark_side)
+    return f"""event_id, {picked(C.PRESETS, f'(event_id % {n})')} AS profile, {picked(_KINDS, f'(event_id {over} {n}) % {len(_KINDS)}')} AS threat_type,
+  {picked(C.SEVERITIES, f'(event_id {over} {n * len(_KINDS)}) % 5')} AS severity, least(floor(abs(value)) / 100, 1.0) AS confidence"""
+
+
+@query(f"""WITH b(t, s, a) AS (VALUES {_policy_rows()[0]}), o(p, t, s, a) AS (VALUES {_policy_rows()[1]}), x AS (SELECT {_threats(False)} FROM events)
+  SELECT event_id, coalesce(o.a, CASE WHEN x.severity = 'NONE' AND x.threat_type <> 'OTHER' THEN 'ALLOW' END, b.a, 'FLAG') AS action
+  FROM x LEFT JOIN o ON (o.p, o.t, o.s) = (x.profile, x.threat_type, x.severity) LEFT JOIN b ON (b.t, b.s) = (x.threat_type, x.severity)""")
 def policy_actions(spark, sf_dir):
-    rows = [(p, t, s) for p in C.PRESETS for t in [*C.POLICY, "OTHER"] for s in C.SEVERITIES]
-    d = spark.createDataFrame(rows, "profile string, threat_type string, severity string")
+    d = read(spark, sf_dir, "events").selectExpr(*_columns(_threats(True)))
     rank = decide.policy_action(F.col("profile"), F.col("threat_type"), decide.severity_rank(F.col("severity")), decide.BUILT_IN)
-    return d.withColumn("action", decide.action_name(rank))
+    return d.select("event_id", decide.action_name(rank).alias("action"))
+
+
+def _columns(listed: str) -> list[str]:
+    """The expressions of a SELECT list, parted at commas outside brackets."""
+    out, depth, now = [], 0, ""
+    for c in listed:
+        depth += (c in "([") - (c in ")]")
+        if c == "," and not depth:
+            out.append(now)
+            now = ""
+        else:
+            now += c
+    return [*out, now]
+
+
+def _by_type(place: int, default: float) -> str:
+    return "CASE threat_type " + " ".join(f"WHEN {_lit(k)} THEN {v[place]}" for k, v in C.CALIBRATION.items()) + f" ELSE {default} END::DOUBLE"
 
 
-@query("""SELECT t AS threat_type, c AS confidence, round(least(greatest(c * CASE WHEN t IN ('INJECTION', 'UNSAFE_CONTENT') THEN 1.05 ELSE 1.0 END::DOUBLE + CASE WHEN t IN ('INJECTION', 'UNSAFE_CONTENT') THEN -0.02 ELSE 0.0 END::DOUBLE, 0), 1), 4)::DOUBLE AS probability
-  FROM (VALUES ('PII'), ('INJECTION'), ('UNSAFE_CONTENT')) x(t), (SELECT (unnest([0.0, 0.31, 0.5, 0.85, 0.97, 1.0]))::DOUBLE AS c)""")
+@query(f"SELECT event_id, round(least(greatest(confidence * {_by_type(0, 1.0)} + {_by_type(1, 0.0)}, 0), 1), 4)::DOUBLE AS probability FROM (SELECT {_threats(False)} FROM events)")
 def calibration(spark, sf_dir):
-    d = spark.createDataFrame([(t, c) for t in ("PII", "INJECTION", "UNSAFE_CONTENT") for c in (0.0, 0.31, 0.5, 0.85, 0.97, 1.0)], "threat_type string, confidence double")
-    return d.withColumn("probability", decide.calibrated(F.col("threat_type"), F.col("confidence")))
+    d = read(spark, sf_dir, "events").selectExpr(*_columns(_threats(True)))
+    return d.select("event_id", decide.calibrated(F.col("threat_type"), F.col("confidence")).alias("probability"))
 
 
 @query()
@@ -303,7 +334,7 @@ def decision_summary(spark, sf_dir):
 
 @query()
 def probe_decisions(spark, sf_dir):
-    d = decide.explain(decide.analyze(probes(spark), decide.Settings(gate_enabled=False, rules=RULES)))
+    d = decide.explain(decide.analyze(planted(spark, sf_dir), decide.Settings(gate_enabled=False, rules=RULES)))
     return d.select(
         "probe_id", "action", "severity", "risk_score", "risk_level", "ensemble_risk", "adversary_tier", "reason", "redacted_text", "confidence_level", "recommendation",
         F.array_join(F.transform("top_findings", lambda f: f["finding"]), ",").alias("findings"), F.to_json("matched_threats").alias("matched"),
@@ -319,7 +350,7 @@ def session_decisions(spark, sf_dir):
 
 @query()
 def probe_sessions(spark, sf_dir):
-    d = session.judge(decide.analyze(probes(spark).withColumn("scan_target", F.lit("input")), decide.Settings(gate_enabled=False)))
+    d = session.judge(decide.analyze(planted(spark, sf_dir).withColumn("scan_target", F.lit("input")), decide.Settings(gate_enabled=False)))
     return d.select("probe_id", "session_id", "turn", "session_score", "cross_turn_injection", F.array_join(F.transform("patterns", lambda p: F.concat_ws(":", p["type"], p["confidence"])), ",").alias("patterns"), "session_action")
 
 

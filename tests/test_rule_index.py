@@ -17,7 +17,7 @@ def rows(rng, n):
 
 PATTERNS = [
     "ignore.*previous", "instruct(ion)?s?", r"\btoken\s+(\w+)", "a1|xyz", "k", "[0-9]+", "secret", "(broken", "", "kelvin k", "previous instruction", "stra(ss|ß)e", "line.break", "x{2}", r"^\s*$", "(?i:TOKEN)", "nothing here at all",
-    "xy", "s3", "a" * 40, None, "previous", "previous",
+    "xy", "s3", "a" * 40, r"ignore\s+previous", r"token[ \n]+a1\s*", r"xyz\s*s3", r"line\s*?\s+break", r"\stoken", r"previous  instruction|s3 \s*a1", r"(line|token)\s(break|s3)", None, "previous", "previous",
 ]
 
 
@@ -73,7 +73,7 @@ def test_no_nested_loop_and_few_patterns_are_run(spark, monkeypatch):
     assert "NestedLoop" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
     assert sorted((x.t, x.r) for x in got.collect()) == [(k, k) for k in range(300)]
     index = rule_index.Index.of([(bytes([k % 256]), rf"item\s+number {k:05d}\b", []) for k in range(5000)])
-    raw = b"an order of item number 00042 for you"
+    raw = b" an order of item number 00042 for you "
     assert len(list(index.held(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))) == 1
 
 

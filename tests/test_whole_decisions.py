@@ -99,8 +99,8 @@ def test_session_decisions(spark):
 
 def test_probe_sessions(spark):
     own = {}
-    for _, s, turn, _, _, profile, _, _, text in probes.rows():
-        own.setdefault(s, []).append((turn, text, profile))
+    for r in probes.planted(spark, DATA).orderBy("turn").collect():
+        own.setdefault(r.session_id, []).append((r.turn, r.text, r.policy_profile))
     got = {(r.session_id, r.turn): r for r in registry.QUERIES["probe_sessions"](spark, DATA).collect()}
     for s, t in own.items():
         for (turn, *_), want in zip(t, plain.session([x[1] for x in t], [x[2] for x in t], gate=False), strict=True):
