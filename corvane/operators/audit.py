@@ -8,7 +8,7 @@ feedback_type, notes. Time-dependent operators take ``as_of``; there is no clock
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.dialect import escaped
@@ -196,10 +196,6 @@ def per_minute_excess(requests: DataFrame, limit: int, by: str = "user_id", at:
     return requests.groupBy(by, minute.alias("minute")).agg(F.count(F.lit(1)).alias("requests")).filter(F.col("requests") > limit)
 
 
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
-
-
 def feedback_for(feedback: DataFrame, entry: int) -> DataFrame:
     """An audit entry's feedback, newest first."""
     return feedback.filter(F.col("audit_log_id") == entry).orderBy(F.desc("id"))
@@ -211,6 +207,20 @@ def submitted(feedback: DataFrame, audit: DataFrame, new: DataFrame) -> DataFram
     return feedback.unionByName(good.select(*feedback.columns))
 
 
-def cleared(audit: DataFrame) -> DataFrame:
-    """The audit table after all its rows were deleted."""
-    return audit.limit(0)
+def clear(spark: SparkSession, path: str, where: str = "true") -> int:
+    """Deletes the rows of a parquet table for which ``where`` holds, all by default; returns how many.
+
+    What stays is written beside the table first and then takes its place, so a run that
+    breaks off leaves the old table.
+    """
+    old = spark.read.parquet(path)
+    gone = old.filter(where).count()
+    if gone:
+        new = path.rstrip("/") + "-kept"
+        old.filter(f"NOT coalesce({where}, false)").write.mode("overwrite").parquet(new)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(folder(path), True)
+        files.rename(folder(new), folder(path))
+        spark.catalog.refreshByPath(path)
+    return gone

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import chain
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +53,45 @@ def percentiles(d: DataFrame, value: str, *by: str, accuracy: int | None = None)
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *[at(p).alias(f"p{p}") for p in (50, 95, 99)])
 
 
+def exact_percentiles(d: DataFrame, value: str, *by: str, at: tuple[int, ...] = (50, 95, 99), room: int = 100_000, cuts: int = 200) -> DataFrame:
+    """``by, n, mean`` and ``p<k>`` for each of ``at``, exact by linear interpolation, for groups of any size.
+
+    A group is counted by distinct values first. For each wanted rank its values are then
+    cut into about ``cuts`` ranges, the ranges are counted, and only the one that holds the
+    rank is kept, as often as it takes until no more than ``room`` distinct values are left;
+    these are ranked. No task gets a group, and nothing is sorted as a whole. Nulls count as
+    nowhere; a null in ``by`` is a group.
+    """
+    keyed = d.filter(F.col(value).isNotNull()).select(F.to_json(F.struct(F.lit(1).alias("_"), *by)).alias("_g"), *by, F.col(value).cast("double").alias("v"))
+    counted = keyed.groupBy("_g", "v").agg(F.count(F.lit(1)).alias("c"))
+    group = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), *[F.first(b).alias(b) for b in by])
+    place = {p: (F.col("n") - 1) * p / 100 for p in at}
+    wanted = group.select("_g", F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in place.values()])))).alias("r"))
+    wanted = wanted.select("_g", F.col("r").cast("bigint").alias("r"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0).cast("bigint").alias("before"))
+    while True:
+        within = (F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high")))
+        left = counted.join(wanted, "_g").filter(within)
+        edges = left.groupBy("_g", "r").agg(F.count(F.lit(1)).alias("values"), F.percentile_approx("v", [k / cuts for k in range(1, cuts)], 100 * cuts).alias("e")).persist()
+        most = edges.agg(F.max("values")).first()[0]
+        if most is None or most <= room:
+            edges.unpersist()
+            break
+        cell = left.join(edges.drop("values"), ["_g", "r"]).withColumn("cell", F.size(F.filter("e", lambda x: x < F.col("v"))))
+        cells = cell.groupBy("_g", "r", "before", "cell").agg(F.sum("c").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("c").over(Window.partitionBy("_g", "r").orderBy("cell"))  # at most `cuts` rows each
+        cells = cells.withColumn("upto", F.col("before") + upto).filter((F.col("upto") > F.col("r")) & (F.col("upto") - F.col("c") <= F.col("r")))
+        # a handful of rows for each group; written out of the plan by persisting, or each round would repeat those before
+        wanted = cells.select("_g", "r", "low", "high", (F.col("upto") - F.col("c")).alias("before")).persist()
+        wanted.count()
+        edges.unpersist()
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("_g", "r").orderBy("v"))
+    found = left.withColumn("upto", upto).filter((F.col("upto") > F.col("r")) & (F.col("upto") - F.col("c") <= F.col("r"))).select("_g", "r", "v")
+    one = found.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m"))  # two for each wanted percentile
+    near = lambda x: F.element_at("m", x.cast("bigint"))
+    between = {p: near(F.floor(x)) + (near(F.ceil(x)) - near(F.floor(x))) * (x - F.floor(x)) for p, x in place.items()}
+    return group.join(one, "_g").select(*by, "n", "mean", *[c.alias(f"p{p}") for p, c in between.items()])
+
+
 def throughput(mean_ms: Column) -> Column:
     """Texts a second at a mean latency, one after the other."""
     return F.when(mean_ms > 0, 1000 / mean_ms).otherwise(0.0)
@@ -159,10 +198,6 @@ def error_buckets(d: DataFrame, truth: Column, predicted: Column, by: str) -> Da
     return d.groupBy(by).agg(c["fp"].alias("fp"), c["fn"].alias("fn"), F.count(F.lit(1)).alias("total"))
 
 
-def labelled(values: dict) -> Column:
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in values.items()))
-
-
 def macro_averages(metrics: DataFrame) -> DataFrame:
     """Means of precision, recall, F1 and accuracy over the rows of ``breakdown``, each weighing the same."""
     names = [c for c in ("precision", "recall", "f1", "accuracy") if c in metrics.columns]
@@ -184,20 +219,31 @@ def _variants(rows: DataFrame) -> DataFrame:
     return rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), n(t & p).alias("tp"), n(~t & p).alias("fp"), n(~t & ~p).alias("tn"), n(t & ~p).alias("fn"))
 
 
+#: Switches that variants may differ in and still share one run of the detectors.
+SWITCHES = ("gate_enabled", "gate_threshold", "model_detectors", "ensemble_enabled")
+
+
 def ablation(texts: DataFrame, variants: dict[str, decide.Settings], truth: str) -> DataFrame:
     """``variant, n, tp, fp, tn, fn`` of each variant of the engine's settings, in one table; a text counts
-    as found if its action isn't ALLOW. ``truth`` is a boolean column."""
-    out = None
+    as found if its action isn't ALLOW. ``truth`` is a boolean column.
+
+    Variants that differ in ``SWITCHES`` alone share the detectors' results: each detector runs
+    once for a text, and the decisions are made for each variant.
+    """
+    alike: dict[str, dict[str, decide.Settings]] = {}
     for name, settings in variants.items():
-        d = _variant(decide.analyze(texts, settings), name, truth)
+        alike.setdefault(repr(replace(settings, **{s: getattr(decide.Settings(), s) for s in SWITCHES})), {})[name] = settings
+    out = None
+    for own in alike.values():
+        d = decide.analyze_variants(texts, own).select("variant", F.col(truth).alias("t"), (F.col("action") != "ALLOW").alias("p"))
         out = d if out is None else out.unionByName(d)
     return _variants(out)
 
 
 def warmed(warm: DataFrame, test: DataFrame, truth: str, settings: decide.Settings = decide.Settings(), id_column: str = "vec_id") -> DataFrame:
     """The same table for the variants ``cold`` and ``warmed``: test texts decided without a threat cache, and with
-    what the decisions on the other set taught it. Both sets have ``text`` and ``embedding``; a warm set that
-    teaches more vectors than a cache holds is refused (see ``cache.nearest``)."""
+    what the decisions on the other set taught it. Both sets have ``text`` and ``embedding``; the warm one
+    may teach any number of vectors."""
     threats = cache.learned(decide.analyze(warm, settings), id_column, "embedding")
     allowed = threats.limit(0).select(id_column, "embedding", F.lit("").alias("reason"))
     known = decide.analyze(cache.recalled(test, threats, allowed, id_column), settings)

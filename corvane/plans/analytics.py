@@ -300,6 +300,12 @@ def suggested_calibration(spark, sf_dir):
     return evaluate.suggested_calibration(evaluate.error_buckets(_scored(spark, sf_dir), F.col("truth"), F.col("score") >= 0.2, "lang")).drop("bias")
 
 
+@query(f"WITH {_SCORED}, g AS (SELECT lang, (sum((truth AND score < 0.2)::INT) - sum((NOT truth AND score >= 0.2)::INT)) / count(*) AS gap FROM s GROUP BY lang) SELECT lang, (CASE WHEN gap > 0.08 THEN 1.25 WHEN gap < -0.08 THEN 0.95 ELSE 1.1 END)::DOUBLE AS weight FROM g", False)
+def suggested_weights(spark, sf_dir):
+    buckets = evaluate.error_buckets(_scored(spark, sf_dir), F.col("truth"), F.col("score") >= 0.2, "lang")
+    return evaluate.suggested_weights(buckets, F.lit(1.1)).select("lang", "weight")
+
+
 @query(f"WITH {_SCORED}, m AS (SELECT sum((NOT truth AND score >= 0.2)::INT) AS fp, sum((truth AND score < 0.2)::INT) AS fn FROM s) SELECT (CASE WHEN fn > fp THEN 1.7 WHEN fp > fn THEN 1.9 ELSE 1.8 END)::DOUBLE AS flag, (CASE WHEN fn > fp THEN 2.5 WHEN fp > fn THEN 2.7 ELSE 2.6 END)::DOUBLE AS redact, (CASE WHEN fn > fp THEN 3.4 WHEN fp > fn THEN 3.6 ELSE 3.5 END)::DOUBLE AS block FROM m", False)
 def suggested_ensemble(spark, sf_dir):
     return evaluate.suggested_ensemble(evaluate.error_buckets(_scored(spark, sf_dir), F.col("truth"), F.col("score") >= 0.2, "lang"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import constants as C
 from corvane.operators import audit as A
-from corvane.operators import cache, decide, evaluate, govern
+from corvane.operators import cache, decide, evaluate, govern, validate
 from corvane.plans.analytics import _RATES, _SCORED, _metrics_sql, _scored
-from corvane.plans.tables import AS_OF, CTE, audit, feedback, read
+from corvane.plans.tables import AS_OF, CTE, audit, feedback, read, spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -146,7 +146,8 @@ def feedback_submitted(spark, sf_dir):
 def leaderboard(spark, sf_dir):
     """Languages ranked as variants are, their size in place of the latency."""
     d = evaluate.binary_metrics(_scored(spark, sf_dir), F.col("truth"), F.col("score") >= 0.2, "lang").withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
-    return d.select("lang", F.round(evaluate.weighted_score(F.col("precision"), F.col("recall"), F.col("f1"), F.col("n").cast("double")), 6).alias("score"))
+    score = F.round(evaluate.weighted_score(F.col("precision"), F.col("recall"), F.col("f1"), F.col("n").cast("double")), 6)
+    return d.select("lang", score.alias("score")).orderBy(F.desc("score"), "lang")
 
 
 @query(f"SELECT round(avg(precision), 4) AS macro_precision, round(avg(recall), 4) AS macro_recall, round(avg(f1), 4) AS macro_f1, round(avg(accuracy), 4) AS macro_accuracy FROM (SELECT {_RATES} FROM m)", _SCORED, f"m AS (SELECT lang, {_metrics_sql()} FROM s GROUP BY lang)")
@@ -202,3 +203,76 @@ def dashboard_days(spark, sf_dir):
 def cache_newest(spark, sf_dir):
     """What a first-in-first-out cache of 500 entries still holds of all insertions."""
     return cache.newest(read(spark, sf_dir, "documents").selectExpr("cast(doc_id AS string) AS cache_key", "doc_id AS inserted"))
+
+
+# Checks of requests and saved rows
+
+
+def _length_sql(name: str, required: bool, least: int | None, most: int | None) -> str:
+    missing = f"WHEN {name} IS NULL THEN '{name} is missing' " if required else ""
+    few = f"WHEN length({name}) < {least} THEN '{name} must have at least {least} characters' " if least else ""
+    many = f"WHEN length({name}) > {most} THEN '{name} must have at most {most} characters' " if most else ""
+    return f"CASE {missing}{few}{many}END"
+
+
+_REQUEST = {"text": "CASE WHEN doc_id % 17 = 0 THEN null WHEN doc_id % 19 = 0 THEN '' ELSE text END", "policy_profile": "CASE WHEN doc_id % 13 = 0 THEN '' ELSE source END", "workspace_id": "CASE WHEN doc_id % 11 = 0 THEN repeat('w', 101) ELSE lang END"}
+_REQUEST_SQL = "requests AS (SELECT doc_id, " + ", ".join(f"{e} AS {n}" for n, e in _REQUEST.items()) + " FROM documents)"
+
+
+@query(f"""SELECT doc_id, error, error IS NULL AS valid FROM (SELECT doc_id, coalesce({_length_sql("text", True, 1, 100_000)}, {_length_sql("policy_profile", False, 1, 100)}, {_length_sql("workspace_id", False, 1, 100)}) AS error FROM requests)""", _REQUEST_SQL)
+def request_faults(spark, sf_dir):
+    """Documents as requests, some of them faulty; whole texts beyond the greatest length are found at every size."""
+    d = read(spark, sf_dir, "documents").selectExpr("doc_id", *[f"{e} AS {n}" for n, e in _REQUEST.items()])
+    return validate.checked(d, "analyze").select("doc_id", "error", "valid")
+
+
+_RULE_FORM = f"""coalesce({_length_sql("name", True, 1, 100)}, {_length_sql("pattern", True, 1, 500)}, {_length_sql("description", True, 1, 200)},
+  CASE WHEN severity NOT IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN 'severity must be one of LOW, MEDIUM, HIGH, CRITICAL' END,
+  CASE WHEN scope NOT IN ('input', 'output', 'both') THEN 'scope must be one of input, output, both' END, {_length_sql("workspace_id", False, 1, 100)})"""
+
+
+@query(f"SELECT id, error, error IS NULL AS valid FROM (SELECT id, {_RULE_FORM} AS error FROM rules)", _RULES)
+def rule_faults(spark, sf_dir):
+    """Rules of the made table that can't be saved: those without a description or workspace."""
+    return validate.checked(_rules(spark, sf_dir), "rule").select("id", "error", "valid")
+
+
+_PRESET = {"name": "CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END", "session_flag_threshold": "value", "session_block_threshold": "value * 2 - 20", "allowlist_max_severity": "CASE user_id % 6 WHEN 0 THEN 'NONE' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' WHEN 4 THEN 'CRITICAL' ELSE 'NOISE' END"}
+_RANGES = " ".join(f"WHEN {n} < 0 THEN '{n} must be at least 0' WHEN {n} > 100 THEN '{n} must be at most 100'" for n in ("session_flag_threshold", "session_block_threshold"))
+
+
+@query(f"""SELECT event_id, error, error IS NULL AS valid FROM (SELECT event_id, coalesce({_length_sql("name", True, 1, 100)}, CASE {_RANGES} END,
+  CASE WHEN allowlist_max_severity NOT IN ('NONE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN 'allowlist_max_severity must be one of NONE, LOW, MEDIUM, HIGH, CRITICAL' END) AS error
+  FROM (SELECT event_id, {", ".join(f"{e} AS {n}" for n, e in _PRESET.items())} FROM events))""")
+def preset_faults(spark, sf_dir):
+    d = read(spark, sf_dir, "events").selectExpr("event_id", *[f"{e} AS {n}" for n, e in _PRESET.items()])
+    return validate.checked(d, "preset").select("event_id", "error", "valid")
+
+
+_EXACT = "count(*) AS n, round(avg(value), 6) AS mean, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (50, 95, 99))
+
+
+@query(f"SELECT 'all' AS kind, {_EXACT} FROM events UNION ALL SELECT event_type, {_EXACT} FROM events GROUP BY event_type")
+def exact_latencies(spark, sf_dir):
+    """Exact percentiles of one group of all rows and of each kind, found by ranges and never in one task."""
+    d = read(spark, sf_dir, "events")
+    one = evaluate.exact_percentiles(d.withColumn("kind", F.lit("all")), "value", "kind", room=1000)
+    by = evaluate.exact_percentiles(d.withColumnRenamed("event_type", "kind"), "value", "kind", room=1000)
+    return one.unionByName(by).select("kind", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
+
+
+VARIANTS = {
+    "full": decide.Settings(),
+    "no gate": decide.Settings(gate_enabled=False),
+    "no models": decide.Settings(model_detectors=False),
+    "no ensemble": decide.Settings(ensemble_enabled=False),
+    "high gate": decide.Settings(gate_threshold=2.0),
+}
+
+
+@query()
+def ablation_variants(spark, sf_dir):
+    """Five variants of the engine over all labelled documents; toxic ones are to be found."""
+    labels = read(spark, sf_dir, "labels").filter("toxic IS NOT NULL").select("doc_id", (F.col("toxic") == 1).alias("bad"))
+    texts = spread(read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return evaluate.ablation(texts, VARIANTS, "bad")

@@ -168,7 +168,10 @@ def test_small_audit_and_evaluation_operators(spark, tmp_path):
     assert [r.id for r in audit.feedback_for(f, 7).collect()] == [3, 1]
     log = spark.createDataFrame([(7,), (8,)], "id int")
     new = spark.createDataFrame([(4, 7, "false_positive", ""), (5, 99, "false_positive", ""), (6, 7, "odd", "")], f.schema)
-    assert sorted(r.id for r in audit.submitted(f, log, new).collect()) == [1, 2, 3, 4] and audit.cleared(f).count() == 0
+    assert sorted(r.id for r in audit.submitted(f, log, new).collect()) == [1, 2, 3, 4]
+    f.write.parquet(path := str(tmp_path / "feedback"))
+    assert audit.clear(spark, path, "feedback_type = 'false_negative'") == 2 and [r.id for r in spark.read.parquet(path).collect()] == [1]
+    assert audit.clear(spark, path) == 1 and audit.clear(spark, path) == 0 and spark.read.parquet(path).columns == f.columns
     d = spark.createDataFrame([(k, k % 2 == 0, k % 3 == 0, "ab"[k % 2]) for k in range(12)], "id int, t boolean, p boolean, g string")
     by = evaluate.binary_metrics(d, F.col("t"), F.col("p"), "g")
     want = [sum(r[c] for r in by.collect()) / 2 for c in ("precision", "recall", "f1", "accuracy")]
