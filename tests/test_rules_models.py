@@ -158,9 +158,9 @@ def test_reports(spark):
     got = {r.id: r for r in Engine(spark).report(d).collect()}
     told = json.loads(got[1].report)
     assert told["action"] == "BLOCK" and told["agent_details"][0]["sample_matches"] == ["ssn_us"] and told["agent_details"][0]["confidence"] == "High"
-    assert got[1].contributing_factors == ["Critical severity level assigned", "PII Detector detected PII", "Content meets threshold for blocking"]
-    assert got[1].recommendations[-1] == "Verify user consent for PII handling" and got[1].markdown.startswith("# BLOCK (CRITICAL)")
-    assert "No threats detected" in got[2].risk_explanation and got[2].risk_recommendations == []
+    assert got[1].contributing_factors == ["Critical is the worst severity found", "PII Detector found PII", "The policy stops such a text"]
+    assert got[1].recommendations[-1] == "Check that the person agreed to this use" and got[1].markdown.startswith("# BLOCK (CRITICAL)")
+    assert "No detector found anything" in got[2].risk_explanation and got[2].risk_recommendations == []
 
 
 def test_small_audit_and_evaluation_operators(spark, tmp_path):
