@@ -54,6 +54,44 @@ def _guard_sql(name: str, pattern: str, flags: str) -> str:
     return "".join("(" + " OR ".join(f"contains({column}, {quoted(x)})" for x in s) + ") AND " for s in sets)
 
 
+def _needs_sql(name: str, pattern: str, flags: str) -> str:
+    """All that a match of the pattern needs to be in the column, as ``_guard_sql`` has the first of it."""
+    low = "i" in flags
+    column = f"{name}_folded" if low else name
+    sets = [sorted({x.lower() if low else x for x in s}) for s in required(pattern)]
+    return " AND ".join("(" + " OR ".join(f"contains({column}, {quoted(x)})" for x in s) + ")" for s in sets) or "true"
+
+
+def may_find(name: str, signatures: Sequence[Signature]) -> Column:
+    """Whether the cheap detectors could find anything but context flooding, measures of weight 2 or less and
+    random credentials in column ``name`` or in any beginning of it.
+
+    What is asked holds for a text if it holds for one of its beginnings: strings that a pattern
+    needs, and counts that only grow. Of words the last one of a beginning may be cut, which makes
+    one more of a kind at most. Needs ``with_folded``.
+    """
+    text, lim = F.col(name), C.ABUSE
+    digit = f"{name} RLIKE '\\\\p{{Nd}}'"
+    needs = [_needs_sql(name, p, _pii_flags(d)) + ("" if k in NO_DIGIT else f" AND {digit}") for k, p, d, _ in catalog.PII]
+    needs += [_needs_sql(name, p, "") for _, p, _, _ in C.SECRETS]
+    needs += [_needs_sql(name, p, "im" if k == "sql_injection" else "i") for k, v in catalog.ABUSE_PATTERNS.items() for p, _ in v]
+    needs += [_needs_sql(name, s.pattern, "is") for s in signatures if s.enabled]
+    said = F.expr(" OR ".join(f"({n})" for n in dict.fromkeys(needs)))
+    w = F.transform(words(F.lower(text)), lambda x: F.xxhash64(x))
+    counts = (
+        (F.length(text) > lim["length"])
+        | text.rlike(r"(?s)(.)\1{%d}" % (lim["char_run"] - 1))
+        | let(w, lambda h: has_repeated(h, lim["word"] - 1) | has_repeated(hashed_phrases(h), lim["phrase"] - 1))
+        | (F.instr(text, "\x00") > 0)
+        | (F.regexp_count(text, F.lit(r"https?://\S+")) > lim["urls"])
+        | (nesting_depth(text) > lim["nesting"])
+        | (members(text, C.HOMOGLYPHS) >= lim["homoglyphs"])
+        | (members(text, C.INVISIBLE) >= lim["invisible"])
+        | (F.regexp_count(text, F.lit(r"%[0-9]*[nspxdoufFeEgGaAcS]")) >= lim["formats"])
+    )
+    return F.coalesce(said | counts, F.lit(True))
+
+
 def with_folded(d: DataFrame, *names: str) -> DataFrame:
     """Adds ``<name>_folded``, which the pattern searches over column ``name`` ask first."""
     return d.withColumns({f"{n}_folded": folded(F.col(n)) for n in names})

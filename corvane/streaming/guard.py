@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corvane.functions import constants as C
-from corvane.functions.dialect import let
-from corvane.operators import decide
+from corvane.functions.dialect import held, let
+from corvane.operators import decide, detect
 
 CHECK_EVERY = 150
 
@@ -201,11 +201,46 @@ def guard_batch(tokens: DataFrame, pattern: str, every: int = CHECK_EVERY) -> Da
     return _stopped(points, F.col("_first"))
 
 
+def _stops(settings: decide.Settings, kind: str, rank: int) -> bool:
+    """Whether the policy of streams stops at a threat of a type and severity."""
+    severity = C.SEVERITIES[rank]
+    own = settings.presets["balanced"].overrides.get(kind, {}) if "balanced" in settings.presets else {}
+    return own.get(severity, C.POLICY[kind][4 - rank]) in STOPPING
+
+
+def _few_checks(settings: decide.Settings) -> bool:
+    """Whether it is known beforehand which checks can stop a stream: no rules, plug-ins or allowlist of the user's,
+    flooding stops, and what ``detect.may_find`` leaves out doesn't."""
+    plain = not settings.rules and not settings.plugins and "balanced" in settings.presets and not settings.presets["balanced"].allow
+    return plain and _stops(settings, "DOS", 4) and not _stops(settings, "ABUSE", 2) and not _stops(settings, "SECRET", 1)
+
+
+def _due(points: DataFrame, settings: decide.Settings) -> DataFrame:
+    """Adds ``due``, number and place of the checks that can be the first bad one.
+
+    A text beyond the flooding limit is stopped, so no check after the first such one counts;
+    and where the text up to there holds nothing that a detector needs, no other check does.
+    """
+    cuts = F.transform("cuts", lambda c, i: F.struct(i.alias("n"), c["pos"].alias("pos")))
+    if not _few_checks(settings):
+        return points.withColumn("due", cuts)
+    kept = F.filter(cuts, lambda c: (c["n"] == 0) | (F.get("cuts", c["n"] - 1)["pos"] <= settings.flooding_limit))
+    d = points.withColumn("_kept", kept)
+    tested = F.substring("total", F.lit(1), F.coalesce(F.element_at("_kept", -1)["pos"], F.lit(0)))
+    d = detect.with_folded(d.withColumn("_tested", F.when(F.size("_kept") > 0, tested).otherwise("")), "_tested")
+    d = d.withColumn("_may", held(detect.may_find("_tested", settings.signatures)))
+    return d.withColumn("due", F.filter("_kept", lambda c: F.col("_may") | (c["pos"] > settings.flooding_limit))).drop("_kept", "_tested", "_tested_folded", "_may")
+
+
 def screened(tokens: DataFrame, settings: decide.Settings = decide.Settings(), every: int = CHECK_EVERY) -> DataFrame:
     """The guard over finished streams, with detectors and policy: ``stream_id, checks, stopped_at, emitted_chars,
-    reason`` (why it stopped) and ``retrospective`` (what the full pipeline says of a stream that went out)."""
+    reason`` (why it stopped) and ``retrospective`` (what the full pipeline says of a stream that went out).
+
+    Only checks that can be the first bad one are made, each on all text up to it; with the default
+    settings these are at most as many as fit into the flooding limit, however long a stream is."""
     points = checkpoints(tokens, every)
-    each = points.select("stream_id", "total", F.posexplode(F.concat(F.transform("cuts", lambda c: c["pos"]), F.array(F.lit(None).cast("int")))).alias("n", "pos"))
+    last = F.array(F.struct(F.size("cuts").alias("n"), F.lit(None).cast("int").alias("pos")))
+    each = _due(points, settings).select("stream_id", "total", F.explode(F.concat("due", last)).alias("_d")).select("stream_id", "total", "_d.*")
     each = each.select("stream_id", "n", F.col("pos").isNull().alias("last"), F.coalesce(F.substring("total", F.lit(1), F.col("pos")), "total").alias("text"))
     # no filter by verdict: it would be pushed below the detectors, with all of them in it
     stops = F.col("action").isin(*STOPPING)
