@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,24 +36,34 @@ def distinct_requests(texts: DataFrame, key: Column, order: str) -> DataFrame:
 def ttl_hits(requests: DataFrame, key: str, at: str, ttl: int = TTL_SECONDS) -> DataFrame:
     """Hits and misses of each key when an entry lives ``ttl`` seconds from its insertion and hits don't renew it.
 
-    A fold over a key's arrival times; times are pre-aggregated to one for each distinct second.
+    Times are pre-aggregated to one for each distinct second, dealt by key and sorted; a task folds over its
+    keys' seconds as they stream by and holds none of them.
     """
-    seconds = F.unix_seconds(F.col(at).cast("timestamp"))
+    seconds = F.unix_seconds(F.col(at).cast("timestamp")).cast("bigint")
+    kind = requests.schema[key].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, since, misses, hits, out = None, True, 0, 0, 0, []
+        names, kinds = [key, "misses", "hits"], None
+        for batch in batches:
+            kinds = batch.schema.field(0).type
+            for k, s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first or k != now:
+                    out += [] if first else [(now, misses, hits)]
+                    now, first, since, misses, hits = k, False, None, 0, 0
+                if since is None or s is None or s - since >= ttl:
+                    since, misses, hits = s, misses + 1, hits + n - 1
+                else:
+                    hits += n
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (kinds, pa.int64(), pa.int64()), strict=True)], names)
+                out = []
+        out += [] if first else [(now, misses, hits)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (kinds, pa.int64(), pa.int64()), strict=True)], names)
+
     d = requests.groupBy(key, seconds.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    times = F.array_sort(F.collect_list(F.struct("_s", "_n")))
-    d = d.groupBy(key).agg(times.alias("_t"))
-    start = F.struct(F.lit(None).cast("long").alias("since"), F.lit(0).cast("long").alias("miss"), F.lit(0).cast("long").alias("hit"))
-
-    def step(acc: Column, x: Column) -> Column:
-        alive = F.coalesce(x["_s"] - acc["since"] < ttl, F.lit(False))
-        return F.struct(
-            F.when(alive, acc["since"]).otherwise(x["_s"]).alias("since"),
-            (acc["miss"] + F.when(alive, 0).otherwise(1)).alias("miss"),
-            (acc["hit"] + x["_n"] - F.when(alive, 0).otherwise(1)).alias("hit"),
-        )
-
-    d = d.withColumn("_r", F.aggregate("_t", start, step))
-    return d.select(key, F.col("_r.miss").alias("misses"), F.col("_r.hit").alias("hits"))
+    return d.repartition(key).sortWithinPartitions(key, "_s").mapInArrow(fold, f"{key} {kind}, misses bigint, hits bigint")
 
 
 def dot(a: Column, b: Column) -> Column:
