@@ -1,5 +1,5 @@
 """Training-data operators.
 
-Ten operators that prepare text corpora for model training. Nothing else in
+Thirteen operators that prepare text corpora for model training. Nothing else in
 the library imports this subpackage; its queries are in ``queries.py``.
 """

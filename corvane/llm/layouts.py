@@ -1,7 +1,8 @@
 """Pages with known main text, composed from many site structures: training data for the block labeller.
 
-Every block of article text starts with a mark that no other block has, so that
-truth is known after parsing; ``is_main`` reads it from a set instead of the text.
+``compose`` gives a page and the set of its article texts; ``is_main`` finds a parsed block
+in it. Of a page that was cut off, or a text that a tag ends early, the block is a
+beginning of an article text.
 """
 
 from __future__ import annotations

@@ -106,7 +106,3 @@ class Rolling:
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Of words ``first .. last - 1``; equal runs hash alike wherever they stand."""
         return mix((self.sums[last] - self.sums[first]) * self.back[first] + (last - first).astype(np.uint64))
-
-
-def strings(column: pa.Array) -> list[str]:
-    return ["" if x is None else x for x in column.to_pylist()]
