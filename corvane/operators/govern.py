@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from corvane.functions import constants as C
 from corvane.functions.dialect import fault, java_regex, strip
+from corvane.operators import validate
 from corvane.operators.decide import lookup
 
 
@@ -129,6 +132,16 @@ def compliance_presets(spark) -> DataFrame:
     return d.select(F.concat(F.lit("compliance_"), "profile").alias("name"), F.lit("compliance_profile").alias("source"), F.lit(True).alias("enabled"), "session_flag", "session_block", none("action_overrides").alias("action_overrides"), "retention_days")
 
 
+def obligations(rows: DataFrame, profile: str = "policy_profile") -> DataFrame:
+    """Adds what a row's compliance profile asks for: ``log_decision``, ``explain_decision``, ``redact_widely``,
+    ``screen_output``, ``keep_session`` and ``needs_consent``. A row whose action isn't ALLOW is logged in any case."""
+    name = F.upper(profile)
+    strict = F.coalesce(name.isin(*[n for n, p in C.COMPLIANCE.items() if p.strict]), F.lit(False))
+    consent = F.coalesce(name.isin(*[n for n, p in C.COMPLIANCE.items() if p.consent]), F.lit(False))
+    stopped = F.coalesce(F.col("action") != "ALLOW", F.lit(False)) if "action" in rows.columns else F.lit(False)
+    return rows.withColumns({"log_decision": strict | stopped, "explain_decision": strict, "redact_widely": strict, "screen_output": strict, "keep_session": strict, "needs_consent": consent})
+
+
 def recommended_profile(industry: Column) -> Column:
     return lookup(C.INDUSTRIES, F.lower(industry))
 
@@ -139,29 +152,54 @@ def retained(rows: DataFrame, as_of: str, at: str = "timestamp", profile: str =
     return rows.filter(days.isNull() | (F.col(at).cast("timestamp") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(days)))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "id", order: str | None = None) -> DataFrame:
     """New rows replace old ones of the same key; ``change`` says added, updated or kept.
 
     Of new rows with one key the last by ``order`` counts, as if they came one after the
     other; without an order, or where it ties, the greatest row by all its columns. New rows
     without a key are passed over. ``old`` has each key once.
     """
-    names = [c for c in new.columns if c != key]
+    keys = [key] if isinstance(key, str) else list(key)
+    names = [c for c in new.columns if c not in keys]
     rank = F.struct(*([F.col(order).alias("_order")] if order else []), *names) if names or order else F.struct(F.lit(0).alias("_order"))
-    last = new.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(rank).alias("_last"))
-    a, b = old.alias("a"), last.select(key, *[F.col(f"_last.{c}").alias(c) for c in names]).alias("b")
-    d = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
-    both = F.col(f"a.{key}").isNotNull() & F.col(f"b.{key}").isNotNull()
-    change = F.when(both, "updated").when(F.col(f"b.{key}").isNotNull(), "added").otherwise("kept")
-    there = F.col(f"b.{key}").isNotNull()
-    return d.select(*[F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in old.columns], change.alias("change"))
+    last = new.dropna(subset=keys).groupBy(*keys).agg(F.max(rank).alias("_last"))
+    a, b = old.withColumn("_old", F.lit(True)).alias("a"), last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in names], F.lit(True).alias("_new")).alias("b")
+    d = a.join(b, reduce(and_, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]), "full_outer")
+    there = F.col("b._new").isNotNull()
+    change = F.when(there & F.col("a._old").isNotNull(), "updated").when(there, "added").otherwise("kept")
+    pick = lambda c: F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) if c in new.columns else F.col(f"a.{c}")
+    return d.select(*[pick(c).alias(c) for c in old.columns], change.alias("change"))
+
 
+def stored(table: DataFrame, new: DataFrame, form: str, key: list[str], order: str | None = None) -> DataFrame:
+    """A table of presets, signatures or workspaces after new rows were saved: those that pass the form's checks
+    (``validate.FORMS``), whose patterns compile and whose names aren't blank; a row with a known key replaces it.
 
-def overlay(built_in: DataFrame, custom: DataFrame, key: str = "name") -> DataFrame:
-    """Custom rows win over built-in ones of the same name."""
+    Names are trimmed, and a blank workspace is the global one.
+    """
+    own = new.withColumn("name", strip(F.col("name")))
+    if "workspace_id" in own.columns:
+        own = own.withColumn("workspace_id", F.coalesce(F.nullif(strip(F.col("workspace_id")), F.lit("")), F.lit("global")))
+    good = validate.checked(own, form).filter("valid").drop("valid", "error")
+    if "pattern" in good.columns:
+        good = good.filter(_fault(F.col("pattern")).isNull())
+    if "allowlist_patterns" in good.columns:
+        good = good.filter(_bad_exception(F.col("allowlist_patterns"))["pattern"].isNull())
+    return upsert(table, good, key, order)
+
+
+def overlay(built_in: DataFrame, custom: DataFrame, key: str | list[str] = "name") -> DataFrame:
+    """Custom rows win over built-in ones of the same key, such as name, or name and workspace."""
     return built_in.join(custom, key, "left_anti").unionByName(custom)
 
 
+def draft_rules(suggestions: DataFrame, workspace: str = "default") -> DataFrame:
+    """Suggestions (``audit.mined_rules``) as rules that are off until someone promotes them."""
+    said = {"description": F.concat(F.lit("Seen in "), F.col("support"), F.lit(" missed texts")), "threat_type": F.lit("CUSTOM_RULE"), "scope": F.lit("both"), "status": F.lit("draft"), "source": F.lit("feedback_suggestion"), "enabled": F.lit(False), "approval_status": F.lit("not_requested"), "workspace_id": F.lit(workspace)}
+    d = suggestions.withColumns(said)
+    return d.select(rule_id(F.col("name"), F.col("pattern"), F.col("workspace_id")).alias("id"), "name", "pattern", "severity", F.col("support").cast("int").alias("support"), *said)
+
+
 def preset_table(spark) -> DataFrame:
     rows = [(n, f, b, t, "global") for n, (_, f, b, t) in C.PRESETS.items()]
     return spark.createDataFrame(rows, "name string, session_flag double, session_block double, model_threshold double, workspace_id string")

@@ -165,6 +165,12 @@ def mined_rules(spark, sf_dir):
     return A.mined_rules(_both(spark, sf_dir))
 
 
+@query(f"SELECT name, pattern, severity, support::INT AS support, 'Seen in ' || support || ' missed texts' AS description, 'draft' AS status, false AS enabled FROM ({ORACLES['mined_rules']})", False)
+def suggested_drafts(spark, sf_dir):
+    """The suggested rules as drafts."""
+    return govern.draft_rules(A.mined_rules(_both(spark, sf_dir))).select("name", "pattern", "severity", "support", "description", "status", "enabled")
+
+
 @query("SELECT * FROM promotions WHERE workspace_id = 'ws1' ORDER BY id DESC LIMIT 10")
 def promotion_history(spark, sf_dir):
     return A.promotion_history(promotions(spark, sf_dir), 10, "ws1")

@@ -276,3 +276,43 @@ def ablation_variants(spark, sf_dir):
     labels = read(spark, sf_dir, "labels").filter("toxic IS NOT NULL").select("doc_id", (F.col("toxic") == 1).alias("bad"))
     texts = spread(read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
     return evaluate.ablation(texts, VARIANTS, "bad")
+
+
+# Saving
+
+
+_OLD_PRESETS = "'p' || (doc_id % 60) AS name, 'ws' || (doc_id % 3) AS workspace_id, max(doc_id % 9)::DOUBLE AS session_flag_threshold FROM documents GROUP BY 1, 2"
+_NEW_PRESETS = {"name": "CASE WHEN event_id % 50 = 0 THEN '  ' ELSE concat(' p', user_id % 80, ' ') END", "workspace_id": "CASE WHEN event_id % 4 = 3 THEN '' ELSE concat('ws', event_id % 4) END", "session_flag_threshold": "value * 1.5 - 10", "seq": "event_id"}
+
+
+@query(f"""SELECT coalesce(l.name, o.name) AS name, coalesce(l.workspace_id, o.workspace_id) AS workspace_id, coalesce(l.v, o.session_flag_threshold) AS session_flag_threshold,
+  CASE WHEN l.name IS NULL THEN 'kept' WHEN o.name IS NULL THEN 'added' ELSE 'updated' END AS change FROM old_presets o FULL JOIN last_presets l ON o.name = l.name AND o.workspace_id = l.workspace_id""",
+  f"old_presets AS (SELECT {_OLD_PRESETS})", f"new_presets AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _NEW_PRESETS.items())} FROM events)",
+  """last_presets AS (SELECT trim(name) AS name, CASE WHEN workspace_id = '' THEN 'global' ELSE workspace_id END AS workspace_id, arg_max(session_flag_threshold, seq) AS v FROM new_presets
+    WHERE trim(name) <> '' AND session_flag_threshold BETWEEN 0 AND 100 GROUP BY 1, 2)""")
+def presets_saved(spark, sf_dir):
+    """Presets by name and workspace; some of those to be saved are faulty, and the last of each counts."""
+    d = read(spark, sf_dir, "documents").selectExpr("concat('p', doc_id % 60) AS name", "concat('ws', doc_id % 3) AS workspace_id", "doc_id % 9 AS v")
+    old = d.groupBy("name", "workspace_id").agg(F.max("v").cast("double").alias("session_flag_threshold"))
+    new = read(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in _NEW_PRESETS.items()])
+    return govern.stored(old, new, "preset", ["name", "workspace_id"], "seq")
+
+
+@query("""SELECT coalesce(l.id, o.id) AS id, coalesce(l.pattern, o.pattern) AS pattern, coalesce(l.severity, o.severity) AS severity, CASE WHEN l.id IS NULL THEN 'kept' WHEN o.id IS NULL THEN 'added' ELSE 'updated' END AS change
+  FROM (SELECT id, pattern, severity FROM rules) o FULL JOIN (SELECT 'r' || (doc_id + 100) AS id, source AS pattern, 'HIGH' AS severity FROM documents WHERE source IS NOT NULL AND doc_id % 3 <> 0) l ON o.id = l.id""", _RULES)
+def signatures_saved(spark, sf_dir):
+    """Signatures; a third of those to be saved have an unknown severity or a pattern that doesn't compile."""
+    d = read(spark, sf_dir, "documents")
+    new = d.selectExpr("concat('r', doc_id + 100) AS id", "'n' AS name", "CASE WHEN doc_id % 6 = 0 THEN '(' ELSE source END AS pattern", "CASE WHEN doc_id % 6 = 3 THEN 'high' ELSE 'HIGH' END AS severity")
+    return govern.stored(_rules(spark, sf_dir).select("id", "pattern", "severity"), new, "signature", ["id"])
+
+
+_STRICT, _CONSENT = ([n for n, p in C.COMPLIANCE.items() if getattr(p, a)] for a in ("strict", "consent"))
+_ANY = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
+@query(f"""SELECT event_id, p IN ({_ANY(_STRICT)}) OR event_type IN ('error', 'purchase', 'signup') AS log_decision, p IN ({_ANY(_STRICT)}) AS explain_decision, p IN ({_ANY(_CONSENT)}) AS needs_consent
+  FROM (SELECT event_id, event_type, {_PROFILE_OF} AS p FROM events)""")
+def compliance_obligations(spark, sf_dir):
+    d = read(spark, sf_dir, "events").selectExpr("event_id", f"{_PROFILE_OF} AS policy_profile", "CASE WHEN event_type IN ('error', 'purchase', 'signup') THEN 'BLOCK' ELSE 'ALLOW' END AS action")
+    return govern.obligations(d).select("event_id", "log_decision", "explain_decision", "needs_consent")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import audit, decide, evaluate, validate
+from corvane.operators import audit, decide, evaluate, govern, validate
 
 
 def test_forms_name_the_first_fault(spark):
@@ -67,6 +67,17 @@ def test_variants_share_their_detectors_and_equal_separate_runs(spark):
     assert plan.count("ssn_us") <= decide.analyze(texts)._jdf.queryExecution().optimizedPlan().toString().count("ssn_us")
 
 
+def test_saving_takes_good_rows_alone(spark):
+    old = spark.createDataFrame([("a", "global", 1.0), ("a", "ws", 2.0)], "name string, workspace_id string, session_flag_threshold double")
+    new = [(" a ", "", 3.0, ["x"]), ("a", "ws", 101.0, None), ("  ", "ws", 4.0, None), (None, "ws", 4.0, None), ("b", None, None, ["x", "("]), ("c", "ws", float("nan"), []), ("d", None, 0.0, [])]
+    got = govern.stored(old, spark.createDataFrame(new, old.schema.simpleString()[7:-1].replace(":", " ") + ", allowlist_patterns array<string>"), "preset", ["name", "workspace_id"])
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "global", 3.0, "updated"), ("a", "ws", 2.0, "kept"), ("d", "global", 0.0, "added")]
+    drafts = govern.draft_rules(spark.createDataFrame([("n", "p", "HIGH", 3, "e")], "name string, pattern string, severity string, support long, example string"))
+    r = drafts.first()
+    assert (r.enabled, r.status, r.description, r.support) == (False, "draft", "Seen in 3 missed texts", 3) and r.id.startswith("rule_")
+    assert validate.checked(drafts, "rule").first().valid and govern.validated(drafts).first().valid
+
+
 def test_audit_rows_hold_no_secret_text(spark):
     d = decide.analyze(spark.createDataFrame([(1, "my ssn is 123-45-6789"), (2, None)], "id int, text string"))
     rows = {r.id: r for r in audit.audit_rows(d, "id", F.lit("2024-01-01")).collect()}
