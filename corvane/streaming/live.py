@@ -103,6 +103,7 @@ class Responses(StatefulProcessor):
     """A response cache with a time to live and a greatest size, first in first out, for each key of its own.
 
     Entries are kept by their place of insertion; a hit neither renews an entry nor moves it.
+    Without a time to live nothing is kept.
     """
 
     def __init__(self, ttl: float = cache.TTL_SECONDS, most: int = 500):
@@ -119,7 +120,7 @@ class Responses(StatefulProcessor):
         own = pd.concat(list(rows)).sort_values(["at", "request_id"])
         out = []
         for r in own.itertuples():
-            held = {k: v for k, v in held.items() if r.at - v[0] <= self.ttl}
+            held = {k: v for k, v in held.items() if r.at - v[0] <= self.ttl} if self.ttl > 0 else {}
             entry = held.get(r.cache_key)
             if entry is None:
                 # one that was dropped comes in last; only living ones keep their place
