@@ -23,6 +23,7 @@ whatever their names.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 from dataclasses import dataclass
 
@@ -74,9 +75,15 @@ class DigestIndex:
         at = path or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}"
         index = DigestIndex.open(spark, doc_id_type, at, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         if path is None:
-            atexit.register(drop_path, spark, at)
+            atexit.register(index.forget)
         return index
 
+    def forget(self) -> None:
+        """Deletes the index, its files too."""
+        with contextlib.suppress(Exception):  # the session may have ended before this process
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        drop_path(self.spark, self.path)
+
     @staticmethod
     def open(spark: SparkSession, doc_id_type: str, path: str, buckets: int) -> DigestIndex:
         """The index whose files are at ``path``; type and buckets are those that it was made with."""

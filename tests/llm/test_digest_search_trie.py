@@ -52,6 +52,8 @@ def test_index_persists_and_admits_only_new_texts(spark, tmp_path):
     rows = again.admitted(later).collect()
     assert sorted(tuple(r) for r in rows) == [(10, "z", "t", 5), (12, "", "v", 7)]
     assert sorted(r.keep_id for r in again.entries().collect()) == [2, 3, 10, 12]
+    again.forget()
+    assert not (tmp_path / "index").exists()
 
 
 def test_index_side_of_the_anti_join_is_not_shuffled(spark):
@@ -191,7 +193,7 @@ def found_nodes(df):
     return sorted((r.conv_id, r.depth, -99 if r.parent_conv_id is None else r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("long", [pt.LONG, 40, 0])
+@pytest.mark.parametrize("long", [pt.LONG, 40])
 def test_trie_equals_brute_force_whatever_counts_as_long(spark, long):
     rows = trie_rows()
     c = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, key string, depth int").repartition(4)
