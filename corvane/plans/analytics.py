@@ -220,18 +220,21 @@ def rule_join(spark, sf_dir):
     return rule_index.match_rules(read(spark, sf_dir, "documents").select("doc_id", "text"), rules).select("doc_id", "id", "evidence", "match_count")
 
 
-_ENTRIES = "CASE doc_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'input' ELSE 'output' END"
+_SCOPE = "CASE k % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'input' ELSE 'output' END"
 
 
-@query(f"""WITH e AS (SELECT doc_id AS id, {_PATTERN_SQL.format(1)} AS pattern, regexp_extract(w[1], '.*') AS first, {_ENTRIES} AS scope FROM (SELECT doc_id, {_WORDS.format("")} AS w FROM documents) WHERE len(w) >= 3 AND doc_id % 5 <> 0)
-  SELECT page_id, id FROM e JOIN (SELECT page_id, html, lower(html) AS low, CASE WHEN page_id % 2 = 0 THEN 'input' ELSE 'output' END AS target FROM pages) ON scope IN ('both', target) AND contains(low, first) AND regexp_matches(html, '(?is)' || pattern)
-  UNION ALL SELECT doc_id + 1000000000, id FROM e JOIN (SELECT doc_id, text, lower(text) AS low FROM documents) ON scope IN ('both', 'input') AND contains(low, first) AND regexp_matches(text, '(?is)' || pattern)""", False)
+@query(f"""WITH e AS (SELECT item_id * 10000 + k AS id, array_to_string(w[k:k + 4], ' ') AS said, {_SCOPE} AS scope
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM (SELECT item_id, {_WORDS.format("")} AS w FROM benchmark)) WHERE k % 5 <> 0),
+  t AS (SELECT page_id, regexp_replace(lower(html), '[ \n]+', ' ', 'g') AS low, CASE WHEN page_id % 2 = 0 THEN 'input' ELSE 'output' END AS target FROM pages
+    UNION ALL SELECT doc_id + 1000000000, regexp_replace(lower(text), '[ \n]+', ' ', 'g'), 'input' FROM documents)
+  SELECT page_id, id FROM e JOIN t ON scope IN ('both', target) AND contains(low, said)""", False)
 def signature_join(spark, sf_dir):
-    """A feed with an entry for each document but a fifth, which are off, against all pages and documents."""
-    d = read(spark, sf_dir, "documents")
-    entries = _patterns(d, 1).selectExpr("doc_id AS id", "pattern", f"{_ENTRIES} AS scope", "doc_id % 5 <> 0 AS enabled")
+    """A feed with an entry for each five words of the benchmark's passages, a fifth of them off, against all pages and documents."""
+    words = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).filter("size(w) >= 5")
+    each = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 4)).alias("k"))
+    entries = each.select((F.col("item_id") * 10000 + F.col("k")).alias("id"), F.array_join(F.slice("w", F.col("k"), F.lit(5)), "[ \n]+").alias("pattern"), F.expr(_SCOPE).alias("scope"), (F.col("k") % 5 != 0).alias("enabled"))
     pages = read(spark, sf_dir, "pages").selectExpr("page_id", "html AS text", "CASE WHEN page_id % 2 = 0 THEN 'input' ELSE 'output' END AS scan_target")
-    texts = pages.unionByName(d.selectExpr("doc_id + 1000000000 AS page_id", "text", "'input' AS scan_target"))
+    texts = pages.unionByName(read(spark, sf_dir, "documents").selectExpr("doc_id + 1000000000 AS page_id", "text", "'input' AS scan_target"))
     return rule_index.match_signatures(texts, entries).select("page_id", "id")
 
 
