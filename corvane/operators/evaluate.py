@@ -71,19 +71,17 @@ def exact_percentiles(d: DataFrame, value: str, *by: str, at: tuple[int, ...] =
     while True:
         within = (F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high")))
         left = counted.join(wanted, "_g").filter(within)
-        edges = left.groupBy("_g", "r").agg(F.count(F.lit(1)).alias("values"), F.percentile_approx("v", [k / cuts for k in range(1, cuts)], 100 * cuts).alias("e")).persist()
-        most = edges.agg(F.max("values")).first()[0]
+        most = left.groupBy("_g", "r").agg(F.count(F.lit(1)).alias("values")).agg(F.max("values")).first()[0]
         if most is None or most <= room:
-            edges.unpersist()
             break
-        cell = left.join(edges.drop("values"), ["_g", "r"]).withColumn("cell", F.size(F.filter("e", lambda x: x < F.col("v"))))
+        edges = left.groupBy("_g", "r").agg(F.percentile_approx("v", [k / cuts for k in range(1, cuts)], 100 * cuts).alias("e"))
+        cell = left.join(edges, ["_g", "r"]).withColumn("cell", F.size(F.filter("e", lambda x: x < F.col("v"))))
         cells = cell.groupBy("_g", "r", "before", "cell").agg(F.sum("c").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
         upto = F.sum("c").over(Window.partitionBy("_g", "r").orderBy("cell"))  # at most `cuts` rows each
         cells = cells.withColumn("upto", F.col("before") + upto).filter((F.col("upto") > F.col("r")) & (F.col("upto") - F.col("c") <= F.col("r")))
         # a handful of rows for each group; written out of the plan by persisting, or each round would repeat those before
         wanted = cells.select("_g", "r", "low", "high", (F.col("upto") - F.col("c")).alias("before")).persist()
         wanted.count()
-        edges.unpersist()
     upto = F.col("before") + F.sum("c").over(Window.partitionBy("_g", "r").orderBy("v"))
     found = left.withColumn("upto", upto).filter((F.col("upto") > F.col("r")) & (F.col("upto") - F.col("c") <= F.col("r"))).select("_g", "r", "v")
     one = found.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m"))  # two for each wanted percentile

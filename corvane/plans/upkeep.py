@@ -256,8 +256,8 @@ _EXACT = "count(*) AS n, round(avg(value), 6) AS mean, " + ", ".join(f"round(qua
 def exact_latencies(spark, sf_dir):
     """Exact percentiles of one group of all rows and of each kind, found by ranges and never in one task."""
     d = read(spark, sf_dir, "events")
-    one = evaluate.exact_percentiles(d.withColumn("kind", F.lit("all")), "value", "kind", room=1000)
-    by = evaluate.exact_percentiles(d.withColumnRenamed("event_type", "kind"), "value", "kind", room=1000)
+    one = evaluate.exact_percentiles(d.withColumn("kind", F.lit("all")), "value", "kind")
+    by = evaluate.exact_percentiles(d.withColumnRenamed("event_type", "kind"), "value", "kind")
     return one.unionByName(by).select("kind", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
 
 
