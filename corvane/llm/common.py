@@ -48,8 +48,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 _written = threading.local()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with further options of the writer, and read it back.
 
     Cuts the lineage durably: a lost executor costs a re-read, not a
     recomputation of everything before. The files go with ``release``, at the end
@@ -57,7 +57,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     atexit.register(drop_path, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path

@@ -3,10 +3,13 @@
 ``build_index`` cuts the documents into shards of about ``SHARD`` tokens. A shard holds
 for each of its terms the documents with it in ascending order, how often it stands in
 each, and two figures that bound the term's impact there whatever the table's averages
-turn out to be. The index is a table in the shared folder, of use for many searches.
+turn out to be. The index is a table in the shared folder, of use for many searches. Each
+shard is a row group of its own, so that a task writes and reads one shard at a time and
+needs the same memory however many shards its part of the files has.
 
-``search`` takes the items in blocks of at most ``BLOCK`` different terms, so that what
-is sent to every task has a bound however many items there are. A first pass over a
+``search`` takes the items in blocks of at most ``BLOCK`` different terms and ``ITEMS``
+items, so that what is sent to every task, and its heaps, have a bound however many items
+there are. A first pass over a
 block sums the documents of each term; the second searches. An item walks a shard like
 this: the terms' maximal impacts, cheapest first, are summed up to the pivot, the first
 term with which the sum can reach the heap's threshold; a document with none of the terms
@@ -47,10 +50,14 @@ from corvane.llm.decontamination import words
 
 SHARD = 400_000
 BLOCK = 1 << 17
+ITEMS = 4096
 RUN = 256
 TOP = 50
 MERGE = 64
 
+#: A row of the index has megabytes; the writer would gather a hundred before it looks at their size, and a reader takes a whole row group.
+ONE_BY_ONE = {"parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
+
 INDEX_SCHEMA = "doc_ids array<{id}>, sizes array<bigint>, n_docs bigint, n_terms bigint, terms array<binary>, bounds binary, docs binary, counts binary, most binary, least binary"
 
 
@@ -87,6 +94,7 @@ class _Shard:
         self.total += len(found)
 
     def row(self, kind: pa.DataType) -> pa.RecordBatch:
+        self.numbers.default_factory = None  # it holds the numbers, and in such a ring one shard after another would stay
         sizes = np.array(self.sizes, np.int64)
         term, count = np.concatenate(self.terms), np.concatenate(self.counts)
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), [len(t) for t in self.terms])
@@ -123,7 +131,7 @@ def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
         if now.ids:
             yield now.row(arrow)
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, INDEX_SCHEMA.format(id=kind.simpleString())), "lexical")
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, INDEX_SCHEMA.format(id=kind.simpleString())), "lexical", **ONE_BY_ONE)
 
 
 @dataclass(frozen=True)
@@ -140,11 +148,11 @@ class Items:
         return Items(vocabulary, [(k, item, np.array(sorted(number[w] for w in terms))) for k, item, terms in rows])
 
 
-def _blocks(items: Iterable, size: int) -> Iterator[Items]:
+def _blocks(items: Iterable, size: int, most: int = ITEMS) -> Iterator[Items]:
     rows, held = [], set()
     for k, (item_id, text) in enumerate(items):
         if terms := set(words(text)):
-            if rows and len(held | terms) > size:
+            if rows and (len(rows) == most or len(held | terms) > size):
                 yield Items.of(rows)
                 rows, held = [], set()
             rows.append((k, item_id, terms))

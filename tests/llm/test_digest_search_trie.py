@@ -134,6 +134,33 @@ def test_walk_scores_few_documents_and_bounds_hold(spark):
     assert scored < 0.25 * len(items) * n_docs
 
 
+def test_memory_of_a_task_does_not_grow_with_its_shards_or_items(spark):
+    import gc
+    import sys
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('word', id, ' and words') AS text").coalesce(1)
+    index = ls.build_index(docs, 9)
+    for path in index.inputFiles():
+        meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+        assert meta.num_rows == 20 and all(meta.row_group(k).num_rows == 1 for k in range(meta.num_row_groups))
+    gc.disable()  # a shard must go without it
+    try:
+        word = b"".join([b"wo", b"rd"])
+        held = sys.getrefcount(word)
+        shard = ls._Shard()
+        shard.add(1, [word, b"b"])
+        shard.row(pa.int64())
+        del shard
+        assert sys.getrefcount(word) == held
+    finally:
+        gc.enable()
+    items = [(k, "the same words") for k in range(10)]
+    assert [len(b.rows) for b in ls._blocks(items, 1 << 17, 4)] == [4, 4, 2]
+
+
 def test_search_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id string, text string"), spark.createDataFrame([], "item_id string, text string")
     assert ls.search(ls.build_index(docs), items).count() == 0
