@@ -130,6 +130,25 @@ def required(pattern: str, squeezed: bool = False) -> list[frozenset[str]]:
     return sorted(set(kept), key=lambda s: (-min(map(len, s)), len(s), sorted(s)))
 
 
+def ignores_case(pattern: str) -> bool:
+    """Whether a pattern, or a part of it, ignores case by a flag that it sets itself."""
+
+    def within(items) -> bool:
+        for op, arg in items:
+            if str(op) == "SUBPATTERN" and arg[1] & re.IGNORECASE:
+                return True
+            if str(op) == "BRANCH":
+                inner = arg[1]
+            else:
+                inner = [x for x in (arg if isinstance(arg, (tuple, list)) else [arg]) if isinstance(x, re._parser.SubPattern)]
+            if any(within(x) for x in inner):
+                return True
+        return False
+
+    tree = re._parser.parse(pattern)
+    return bool(tree.state.flags & re.IGNORECASE) or within(tree)
+
+
 def folded(text: Column) -> Column:
     """Lower case in which every letter that a pattern without case takes for an ASCII one is that one."""
     plain = F.lower(text)

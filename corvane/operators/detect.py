@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import catalog
 from corvane.functions import constants as C
-from corvane.functions.dialect import compiles, count_of, double_sum, first_match, folded, found, java_regex, let, quoted, required, strip, words
+from corvane.functions.dialect import compiles, count_of, double_sum, first_match, folded, found, ignores_case, java_regex, let, quoted, required, strip, words
 
 MATCH = "struct<match_type:string,description:string,evidence:string,confidence:double,weight:int,ref_id:string,redact:boolean,match_count:int>"
 
@@ -48,7 +48,7 @@ def _match_sql(kind: str, description: str, evidence: str, confidence: float, we
 
 def _guard_sql(name: str, pattern: str, flags: str) -> str:
     """Conjuncts that any match fulfils: strings that the column, folded where case is ignored, must hold."""
-    low = "i" in flags
+    low = "i" in flags or ignores_case(pattern)
     column = f"{name}_folded" if low else name
     sets = [sorted({x.lower() if low else x for x in s}) for s in required(pattern)[:2]]
     return "".join("(" + " OR ".join(f"contains({column}, {quoted(x)})" for x in s) + ") AND " for s in sets)
@@ -56,7 +56,7 @@ def _guard_sql(name: str, pattern: str, flags: str) -> str:
 
 def _needs_sql(name: str, pattern: str, flags: str) -> str:
     """All that a match of the pattern needs to be in the column, as ``_guard_sql`` has the first of it."""
-    low = "i" in flags
+    low = "i" in flags or ignores_case(pattern)
     column = f"{name}_folded" if low else name
     sets = [sorted({x.lower() if low else x for x in s}) for s in required(pattern)]
     return " AND ".join("(" + " OR ".join(f"contains({column}, {quoted(x)})" for x in s) + ")" for s in sets) or "true"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import catalog
 from corvane.functions import constants as C
-from corvane.functions.dialect import java_regex, required
+from corvane.functions.dialect import ignores_case, java_regex, required
 from corvane.operators import decide, detect
 from corvane.plans import probes
 
@@ -92,6 +92,14 @@ def test_every_secret_family(spark):
         assert (r.id in r.f) if r.id != "none" else not r.f
 
 
+def test_a_part_that_ignores_case_is_found_in_any_case(spark):
+    assert [ignores_case(p) for p in (r"\b(?i:key)=x", r"(?i)a", r"b|(?:c(?i:d))+", r"(a|b)+c", r"(?=(?i:x))y")] == [True, True, True, False, True]
+    texts = ["TOKEN = 9233A8EC", "Password: LONGENOUGH", "token=9233a8ec", "API-KEY = '9233A8EC", "TO\u212aEN = 9233A8EC", "no TOKEN"]
+    d = detect.with_folded(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text")
+    rows = d.select("id", F.transform(detect.secrets("text"), lambda m: m["match_type"]).alias("f"), detect.may_find("text", ()).alias("may")).orderBy("id").collect()
+    assert [r.f for r in rows] == [["assignment"]] * 5 + [[]] and all(r.may for r in rows[:5])
+
+
 @pytest.mark.parametrize(("pattern", "text"), [(r"a{,2}b", "aab"), (r"[[x]", "["), (r"[a&&b]+", "&"), (r"\bcaf\b", "café"), (r"x\Z", "x")])
 def test_dialect(spark, pattern, text):
     got = spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(java_regex(pattern)).alias("r")).first().r
