@@ -10,12 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_LISTED = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def java_regex(pattern: str, flags: str = "") -> str:
     """The Java form of a Python pattern: Unicode classes and case, ``\\n`` as the only line end.
 
-    Rewrites what Java reads differently: ``{,n}``, a ``[`` or ``&&`` inside a class, ``\\Z``.
+    Rewrites what Java reads differently: ``{,n}``, a ``[`` or ``&&`` inside a class, ``\\Z``. ASCII letters and
+    digits of a range are listed where case counts: Java looks listed characters up in one table, but asks
+    one range after another.
     """
     out, in_class, k = [], False, 0
+    listed = "i" not in flags and not ignores_case(pattern)
     while k < len(pattern):
         c = pattern[k]
         if c == "\\":
@@ -25,6 +31,11 @@ def java_regex(pattern: str, flags: str = "") -> str:
             continue
         if in_class:
             first = out[-1] in ("[", "[^")
+            a, dash, z = (pattern[k : k + 3] + "   ")[:3]
+            if listed and dash == "-" and any(a in x and z in x and a <= z for x in _LISTED):
+                out.append("".join(map(chr, range(ord(a), ord(z) + 1))))
+                k += 3
+                continue
             if c == "]" and not first:
                 in_class = False
                 out.append(c)

@@ -46,12 +46,17 @@ def _match_sql(kind: str, description: str, evidence: str, confidence: float, we
     return "named_struct(" + ", ".join(f"'{f}', {v}" for f, v in zip(_FIELDS, values, strict=True)) + ")"
 
 
+BASE64_RUN = r"(?:[A-Za-z0-9+/]{4}){10,}"
+
+
 def _guard_sql(name: str, pattern: str, flags: str) -> str:
-    """Conjuncts that any match fulfils: strings that the column, folded where case is ignored, must hold."""
+    """Conjuncts that any match fulfils: strings that the column, folded where case is ignored, must hold,
+    or a run of its characters, listed, where a pattern starts with a run of the Base64 alphabet."""
     low = "i" in flags or ignores_case(pattern)
     column = f"{name}_folded" if low else name
     sets = [sorted({x.lower() if low else x for x in s}) for s in required(pattern)[:2]]
-    return "".join("(" + " OR ".join(f"contains({column}, {quoted(x)})" for x in s) + ") AND " for s in sets)
+    run = f"{column} RLIKE {quoted(java_regex('[A-Za-z0-9+/]{40}'))} AND " if pattern.startswith(BASE64_RUN) else ""
+    return run + "".join("(" + " OR ".join(f"contains({column}, {quoted(x)})" for x in s) + ") AND " for s in sets)
 
 
 def _needs_sql(name: str, pattern: str, flags: str) -> str:
@@ -161,7 +166,7 @@ def pii(name: str) -> Column:
 def secrets(name: str) -> Column:
     text = F.col(name)
     known = _gathered_sql([_search_sql(name, kind, p, f"Possible {kind.replace('_', ' ')}", c, w, "", 80) for kind, p, w, c in C.SECRETS])
-    token = F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{20,}"), F.lit(0)), lambda t: (entropy(t) >= 4.5) & t.rlike("[0-9]") & t.rlike("[a-z]") & t.rlike("[A-Z]"))
+    token = F.filter(F.regexp_extract_all(text, F.lit(java_regex("[A-Za-z0-9+/_=-]{20,}")), F.lit(0)), lambda t: (entropy(t) >= 4.5) & t.rlike("[0-9]") & t.rlike("[a-z]") & t.rlike("[A-Z]"))
     random = F.when(F.size(token) > 0, match("high_entropy", "Possible random credential", F.substring(F.get(token, F.lit(0)), 1, 80), 0.6, 1))
     return F.concat(known, gathered([random]))
 
@@ -178,6 +183,23 @@ def entropy(text: Column) -> Column:
     return let(F.length(text).cast("double"), within)
 
 
+def may_be_below(text: Column, bits: float) -> Column:
+    """Whether the entropy of a text could be below ``bits``: it is never less than that of a few
+    groups of frequent characters with all others taken for one, for which nothing is sorted."""
+
+    def taken(rest: Column, groups: Sequence[str], sizes: list[Column]) -> Column:
+        sizes = [*sizes, F.length(rest)]
+        if groups:
+            return let(F.regexp_replace(rest, f"[{groups[0]}]+", ""), lambda r: taken(r, groups[1:], sizes))
+        shares = F.transform(F.array(*[a - b for a, b in zip(sizes, sizes[1:])], sizes[-1]), lambda k: k / F.greatest(sizes[0], F.lit(1)))
+        return double_sum(F.transform(shares, lambda p: F.when(p > 0, -p * F.log2(p)).otherwise(0.0))) < bits + 1e-6
+
+    return taken(text, _FREQUENT, [])
+
+
+_FREQUENT = (" ", "e", "ao", "in", "tr", "sl", "dhu")
+
+
 def most_frequent(items: Column) -> Column:
     """``n`` and ``item`` of the most frequent item; of equals the one that comes first."""
 
@@ -244,8 +266,12 @@ def special_ratio(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"(?U)[\p{L}\p{N}\s]+", "")) / F.length(text)
 
 
+#: What Python's isdigit takes for a digit.
+DIGITS = r"\p{Nd}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089"
+
+
 def digit_ratio(text: Column) -> Column:
-    return count_of(text, r"\p{Nd}\u00b2\u00b3\u00b9\u2070\u2074-\u2079\u2080-\u2089") / F.length(text)
+    return count_of(text, DIGITS) / F.length(text)
 
 
 def letters(text: Column) -> Column:
@@ -256,6 +282,25 @@ def upper_ratio(text: Column) -> Column:
     return count_of(text, r"\p{Lu}") / letters(text)
 
 
+def kinds(text: Column) -> Column:
+    """``special``, ``digits``, ``letters`` and ``upper``: how many code points of a text are in the classes of the
+    ratios above. ASCII letters, digits and white space go first, by classes that list their characters
+    (Java finds those in one look); the Unicode classes are searched in what is left."""
+    left = lambda t, x: F.regexp_replace(t, java_regex(f"[{x}]+"), "")
+    less = lambda a, b: F.octet_length(a) - F.octet_length(b)
+
+    def count(no_letters: Column, no_digits: Column, rest: Column) -> Column:
+        other = is_ascii(rest)
+        return F.struct(
+            F.length(F.regexp_replace(rest, r"(?U)[\p{L}\p{N}\s]+", "")).alias("special"),
+            (less(no_letters, no_digits) + F.when(other, 0).otherwise(count_of(rest, DIGITS))).alias("digits"),
+            (less(text, no_letters) + F.when(other, 0).otherwise(letters(rest))).alias("letters"),
+            (less(text, left(text, "A-Z")) + F.when(other, 0).otherwise(count_of(rest, r"\p{Lu}"))).alias("upper"),
+        )
+
+    return let(left(text, "A-Za-z"), lambda a: let(left(a, "0-9"), lambda b: let(left(b, r"\t-\r "), lambda c: count(a, b, c))))
+
+
 def is_ascii(text: Column) -> Column:
     """Whether no code point takes more than one byte: a look at two lengths, no search."""
     return F.octet_length(text) == F.length(text)
@@ -274,7 +319,8 @@ def abuse(name: str) -> Column:
     w = words(F.lower(text))
     say = F.format_string
     share = lambda name, x, most: F.concat(say(f"{name}: %.1f%%", x * 100), F.lit(f", threshold: {most:.1%}"))
-    newlines, urls, depth = count_of(text, r"\n\r"), F.regexp_count(text, F.lit(r"https?://\S+")), nesting_depth(text)
+    newlines = F.octet_length(text) - F.octet_length(F.replace(F.replace(text, F.lit("\n")), F.lit("\r")))
+    urls, depth = F.regexp_count(text, F.lit(r"https?://\S+")), nesting_depth(text)
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(F.length(x).alias("n"), (i + 1).alias("i"))), lambda x: x["n"] > lim["line"])
     formats = F.regexp_extract_all(text, F.lit(r"%[0-9]*[nspxdoufFeEgGaAcS]"), F.lit(0))
     size = lambda most: say(f"Length: %d chars (~%d tokens), limit: {most}", n, F.floor(n / 4))
@@ -295,13 +341,15 @@ def abuse(name: str) -> Column:
         lambda h: F.when(has_repeated(h, lim["word"]), match("word_repetition_attack", "Same word repeated excessively (padding/inflation attack)", repeated("Word", w), 1.0, 3)),
         lambda h: F.when((F.size(h) >= lim["phrase"] + 2) & has_repeated(hashed_phrases(h), lim["phrase"]), match("phrase_repetition_attack", "Repeated phrase detected (prompt stuffing attack)", repeated("Phrase", phrases(w)), 1.0, 3)),
     ]
-    # the words are split and hashed once for both
-    both = F.when(n >= 2 * min(lim["word"], lim["phrase"] + 2) - 1, let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: gathered([r(h) for r in repeats]))).otherwise(gathered([F.lit(None).cast(MATCH)]))
-    later_measures = [
-        F.when((n >= 50) & (entropy(text) < lim["entropy"]), match("low_entropy_input", "Extremely low entropy — highly repetitive/uniform content", say(f"Shannon entropy: %.3f bits (threshold: {lim['entropy']})", entropy(text)), 1.0, 2)),
-        F.when((n >= 20) & (special_ratio(text) > lim["special"]), match("special_char_flood", "Abnormally high ratio of special characters", share("Special char ratio", special_ratio(text), lim["special"]), 1.0, 2)),
-        F.when((n >= 20) & (digit_ratio(text) > lim["digits"]), match("digit_flood", "Abnormally high ratio of digits (possible data exfiltration or obfuscation)", share("Digit ratio", digit_ratio(text), lim["digits"]), 1.0, 2)),
-        F.when((letters(text) >= 20) & (upper_ratio(text) > lim["upper"]), match("uppercase_flood", "Abnormally high uppercase ratio (screaming/obfuscation attempt)", share("Uppercase ratio", upper_ratio(text), lim["upper"]), 1.0, 1)),
+    # the words are split and hashed once for both; the first word of a phrase is as frequent as the phrase
+    none = gathered([F.lit(None).cast(MATCH)])
+    often = min(lim["word"], lim["phrase"])
+    both = F.when(n >= 2 * min(lim["word"], lim["phrase"] + 2) - 1, let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.when(has_repeated(h, often), gathered([r(h) for r in repeats])).otherwise(none))).otherwise(none)
+    later_measures = lambda k: [
+        F.when((n >= 50) & may_be_below(text, lim["entropy"]) & (entropy(text) < lim["entropy"]), match("low_entropy_input", "Extremely low entropy — highly repetitive/uniform content", say(f"Shannon entropy: %.3f bits (threshold: {lim['entropy']})", entropy(text)), 1.0, 2)),
+        F.when((n >= 20) & (k["special"] / n > lim["special"]), match("special_char_flood", "Abnormally high ratio of special characters", share("Special char ratio", k["special"] / n, lim["special"]), 1.0, 2)),
+        F.when((n >= 20) & (k["digits"] / n > lim["digits"]), match("digit_flood", "Abnormally high ratio of digits (possible data exfiltration or obfuscation)", share("Digit ratio", k["digits"] / n, lim["digits"]), 1.0, 2)),
+        F.when((k["letters"] >= 20) & (k["upper"] / k["letters"] > lim["upper"]), match("uppercase_flood", "Abnormally high uppercase ratio (screaming/obfuscation attempt)", share("Uppercase ratio", k["upper"] / k["letters"], lim["upper"]), 1.0, 1)),
         F.when(F.instr(text, "\x00") > 0, match("null_byte_injection", "Null bytes detected (possible injection or evasion attempt)", say("Found %d null byte(s)", count_of(text, r"\x00")), 1.0, 4)),
         F.when(newlines > lim["newlines"], match("newline_flood", "Excessive newlines detected (log poisoning or padding attack)", say(f"Found %d newlines, limit: {lim['newlines']}", newlines), 1.0, 2)),
         F.when(
@@ -319,13 +367,16 @@ def abuse(name: str) -> Column:
         one = [_search_sql(name, kind, p, d, 1.0, catalog.ABUSE_PATTERN_WEIGHTS[kind], flags, 80) for p, d in patterns]
         (families if kind in ("script_injection", "path_traversal", "encoding_obfuscation") else later).extend([f"coalesce({', '.join(one)})"] if kind == "path_traversal" else one)
     printf = F.when(F.size(formats) >= lim["formats"], match("format_string_attack", "Multiple format string specifiers detected", F.concat(F.lit("Found: ['"), F.array_join(F.slice(formats, 1, 5), "', '"), F.lit("']")), 1.0, 3))
-    return F.concat(gathered(first), both, gathered(later_measures), _gathered_sql(families), gathered([printf]), _gathered_sql(later))
+    return F.concat(gathered(first), both, let(kinds(text), lambda k: gathered(later_measures(k))), _gathered_sql(families), gathered([printf]), _gathered_sql(later))
 
 
 def normalised(text: Column) -> Column:
     """Escaped white space becomes spaces, zero-width characters go, NUL becomes a space."""
     for pattern, by in ((r"(?i)\\x(?:20|09|0a|0d)", " "), (r"(?i)\\u(?:0020|0009|000a|000d)", " "), ("[\u200b\u200c\u200d\ufeff]", ""), ("\x00", " ")):
-        text = F.regexp_replace(text, pattern, by)
+        if pattern.startswith("(?i)"):
+            text = F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, pattern, by)).otherwise(text)
+        else:
+            text = F.regexp_replace(text, pattern, by)
     return text
 
 

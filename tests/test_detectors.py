@@ -100,6 +100,19 @@ def test_a_part_that_ignores_case_is_found_in_any_case(spark):
     assert [r.f for r in rows] == [["assignment"]] * 5 + [[]] and all(r.may for r in rows[:5])
 
 
+def test_cheap_measures_equal_the_plain_ones(spark):
+    assert java_regex("[A-Ca-c0-2_-]+") == "(?Uud)[ABCabc012_-]+" and java_regex("[a-c]", "i") == "(?Uudi)[a-c]" and java_regex("(?i:[a-c])") == "(?Uud)(?i:[a-c])"
+    texts = ["", "a", "Ab 12 \u0663\u00b2 \u00c9\u00e9\u00df\x0b\u00a0\u2003!", "ABC DEF", "aaaa" * 20, "ab" * 40, "The rain in Spain stays mainly on a plain of no great size, \u00e9t\u00e9", "e ea ao in tr sl dhu" * 9, "\U0001d41a\u0436\u0416\n\r" * 20]
+    t = F.col("text")
+    d = spark.createDataFrame([(x,) for x in texts], "text string").withColumns({"k": detect.kinds(t), "low": detect.may_be_below(t, 2.5), "h": detect.entropy(t)})
+    plain = {"special": F.regexp_replace(t, r"(?U)[\p{L}\p{N}\s]+", ""), "digits": F.regexp_replace(t, f"(?U)[^{detect.DIGITS}]+", ""), "letters": F.regexp_replace(t, r"[^\p{L}]+", ""), "upper": F.regexp_replace(t, r"[^\p{Lu}]+", "")}
+    rows = d.select("text", "k", "low", "h", *[F.length(c).alias(n) for n, c in plain.items()]).collect()
+    for r in rows:
+        assert r.k.asDict() == {n: r[n] for n in plain}, r.text
+        assert not r.text or r.low or r.h >= 2.5, r.text
+    assert [r.low for r in rows if r.text.startswith(("aaaa", "The"))] == [True, False]
+
+
 @pytest.mark.parametrize(("pattern", "text"), [(r"a{,2}b", "aab"), (r"[[x]", "["), (r"[a&&b]+", "&"), (r"\bcaf\b", "café"), (r"x\Z", "x")])
 def test_dialect(spark, pattern, text):
     got = spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(java_regex(pattern)).alias("r")).first().r
